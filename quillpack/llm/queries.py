@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,5 +23,17 @@ def op7_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), BYTE_BPE, end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op1_bit_planes, op7_mixture_packing)}
+def op8_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .matroska import media
+
+    return media(documents(spark, sf_dir))
+
+
+def op10_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import count_tokens
+
+    return count_tokens(documents(spark, sf_dir), PIECE_BPE, limit=4096)
+
+
+QUERIES = {f.__name__: f for f in (op1_bit_planes, op7_mixture_packing, op8_matroska, op10_transducer_counts)}
 ORACLES: dict[str, str] = {}

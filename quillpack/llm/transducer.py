@@ -1,73 +1,246 @@
 """A byte-pair tokenizer compiled into a deterministic transducer whose transitions carry token counts.
 
-Merging by rank has two properties (for a total order of merges that ranks equal scores from left to right):
+Merging by rank, equal ranks from left to right, has two properties:
 
 * an encoding cut at one of its token boundaries is the encoding of the text cut there;
-* [.., u, t] encodes a text exactly if [.., u] encodes it without t and the pair u t encodes to itself.
-
-So the encoding of every prefix of a text has one last token, found among the vocabulary's entries that end there,
-and the number of tokens of that prefix is one more than that of the prefix in front of that token. What later
-characters need to know is finite: the longest end of the text that begins an entry (a node of a trie with failure
-links), and the last token and the relative count in front of each such end. These are the states. They are built
-when a text first needs them, kept in a dense table (state x character class) of target and count, and dropped all
-together when the table is full.
-
-Long inputs are cut into chunks that run in lockstep, one table look-up for all of them a step. No entry holds a
-character followed by a word mark, so after such a pair every state is the start state of the mark: a chunk's map
-from entry state to (exit state, count) is constant behind its first such place. A chunk is thus the piece in front
-of that place, run when its entry state is known, and a constant; maps of this shape compose associatively, and one
-scan over the chunks of a text gives its count.
+* [.., u, t] encodes a text exactly if [.., u] encodes it without t, and the pair u t encodes to itself.
+
+So every prefix of a text has one last token, found among the vocabulary's entries that end there, and holds one
+token more than the prefix in front of that token. A state is thus a node of the trie with failure links (the
+longest end of the text that begins an entry) with the last tokens and counts in front of the ends that the node
+stands for; a transition is the look-up of a node, of the entries that end there, longest first, and of whether the
+pair is stable, and emits the difference of the counts. Nodes, transitions and pairs are compiled as texts need them.
+
+No entry holds a character followed by a word mark: where one follows the other, every state goes to the same state.
+The map of a chunk that begins with a word mark, from entry state to (exit state, count), is therefore a constant,
+and a text cut in front of its word marks is counted by looking up its chunks' maps and adding them up. Where a
+chunk is long, it is cut anywhere; a Map then keeps the characters up to its first such place as its head. Maps compose
+associatively, and a scan over them in pairs gives the whole.
 """
 
 from __future__ import annotations
 
+import gc
+import re
 from functools import lru_cache
+from typing import NamedTuple
+
+MARK = "▁"
+#: A chunk longer than this many characters is cut and its parts' maps composed.
+CHUNK = 1 << 15
+#: Chunk maps and stable pairs remembered per worker (those met first); others are worked out again.
+WORDS, PAIRS = 500_000, 1_000_000
+START = 0
+
+
+class State(NamedTuple):
+    """node, and last tokens and counts of the text's last prefixes, as many as the longest entry has characters."""
+
+    node: int
+    last: tuple[int, ...]
+    count: tuple[int, ...]
 
-import numpy as np
 
-#: States and character classes of the dense table: at most 40 bytes of tables a thousand cells.
-STATES, CLASSES = 150_000, 160
+class Map(NamedTuple):
+    """head: what must be run from the entry state; then a constant: tokens counted behind it, and the exit state (None: all is head)."""
 
+    head: str
+    count: int
+    exit: State | None
 
-class Vocabulary:
-    """Entries with merge order; score: higher merges first."""
 
-    def __init__(self, pieces: dict[str, float]):
-        self.score = pieces
-        self.longest = max(map(len, pieces))
+class Transducer:
+    """scores: entries and when they merge (higher first); a character without an entry counts as its UTF-8 bytes."""
+
+    def __init__(self, scores: dict[str, float]):
+        self.scores, self.longest = scores, max(map(len, scores))
+        self.names = ["", *scores]
+        number = {p: i for i, p in enumerate(self.names)}
         self.children: list[dict[str, int]] = [{}]
-        self.fail = [0]
-        self.text = [""]
-        self.entry = [False]
-        for p in pieces:
+        texts = [""]
+        for p in scores:
             node = 0
             for c in p:
                 at = self.children[node].get(c)
                 if at is None:
-                    at = self.children[node][c] = len(self.children)
+                    at = self.children[node][c] = len(texts)
+                    texts.append(texts[node] + c)
                     self.children.append({})
-                    self.text.append(self.text[node] + c)
-                    self.entry.append(False)
                 node = at
-            self.entry[node] = True
-        self.node = {t: i for i, t in enumerate(self.text)}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        where = {t: i for i, t in enumerate(texts)}
+        self.fail = [next(where[t[k:]] for k in range(1, len(t) + 1) if t[k:] in where) if t else 0 for t in texts]
+        self.ends = [tuple((len(t) - k, number[t[k:]]) for k in range(len(t)) if t[k:] in scores) for t in texts]
+        self.single = {p for p in scores if len(p) == 1}
+        self.beside = {p[i : i + 2] for p in scores for i in range(len(p) - 1)}
+        self.moves: list[dict[str, int]] = [{} for _ in texts]
+        self.pairs: dict[int, bool] = {}
+        self.words: dict[str, int] = {}
+        self.parts: dict[str, int] = {}
+        if any(MARK in p.lstrip(MARK) for p in scores):
+            raise ValueError("an entry reaches over the beginning of a word")
 
-    def encode(self, text: str) -> list[str]:
-        """Merges by definition, for short texts."""
+    def merge(self, text: str) -> list[str]:
+        """The encoding by its definition; for texts of two entries' length."""
         out = list(text)
-        while True:
-            best, at = None, -1
+        while len(out) > 1:
+            best, at = None, 0
             for i in range(len(out) - 1):
-                s = self.score.get(out[i] + out[i + 1])
+                s = self.scores.get(out[i] + out[i + 1])
                 if s is not None and (best is None or s > best):
                     best, at = s, i
             if best is None:
-                return out
+                break
             out[at : at + 2] = [out[at] + out[at + 1]]
+        return out
+
+    def _move(self, node: int, c: str) -> int:
+        """-1: no entry has this character."""
+        at = node
+        if c not in self.single:
+            to = -1
+        else:
+            while c not in self.children[at]:
+                at = self.fail[at]
+            to = self.children[at][c]
+        self.moves[node][c] = to
+        return to
 
-    def pair(self, u: str, t: str) -> bool:
-        found = self.pairs.get((u, t))
-        if found is None:
-            found = self.pairs[u, t] = self.encode(u + t) == [u, t] if u else self.encode(t) == [t]
+    def _pair(self, u: int, t: int) -> bool:
+        a, b = self.names[u], self.names[t]
+        found = self.merge(a + b) == ([a, b] if a else [b])
+        if len(self.pairs) < PAIRS:
+            self.pairs[u << 20 | t] = found
         return found
+
+    start = State(0, (START,), (0,))
+
+    def run(self, text: str, state: State = start) -> State:
+        """The state behind text; its last count grows by the text's tokens."""
+        at, last, count = state.node, list(state.last), list(state.count)
+        moves, ends, pairs = self.moves, self.ends, self.pairs
+        for c in text:
+            node = moves[at].get(c)
+            if node is None:
+                node = self._move(at, c)
+            if node < 0:
+                at = 0
+                last.append(START)
+                count.append(count[-1] + len(c.encode("utf-8", "surrogatepass")))
+                continue
+            at = node
+            for n, t in ends[node]:
+                u = last[-n]
+                stable = pairs.get(u << 20 | t)
+                if stable is None:
+                    stable = self._pair(u, t)
+                if stable:
+                    count.append(count[-n] + 1)
+                    last.append(t)
+                    break
+        return State(at, tuple(last[-self.longest - 1 :]), tuple(count[-self.longest - 1 :]))
+
+    def chunk(self, text: str) -> Map:
+        """The map of any run of characters; constant behind the first two characters that no entry holds together."""
+        at = next((i for i in range(1, len(text)) if text[i - 1 : i + 1] not in self.beside), 0)
+        if not at:
+            return Map(text, 0, None)
+        end = self.run(text[at:])
+        return Map(text[:at], end.count[-1], self._based(end))
+
+    @staticmethod
+    def _based(state: State) -> State:
+        return State(state.node, state.last, tuple(x - state.count[-1] for x in state.count))
+
+    def compose(self, a: Map, b: Map) -> Map:
+        """First a, then b."""
+        if a.exit is None:
+            return Map(a.head + b.head, b.count, b.exit)
+        end = self.run(b.head, a.exit)
+        if b.exit is None:
+            return Map(a.head, a.count + end.count[-1], self._based(end))
+        return Map(a.head, a.count + end.count[-1] + b.count, b.exit)
+
+    def scan(self, maps: list[Map]) -> Map:
+        """Composition of all, in pairs."""
+        while len(maps) > 1:
+            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+        return maps[0]
+
+    def tokens(self, text: str) -> int:
+        """Tokens of a run of characters from the start state."""
+        if len(text) <= CHUNK:
+            return self._short(text)
+        whole = self.scan([self.chunk(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)])
+        return self.run(whole.head).count[-1] + whole.count
+
+    def _short(self, text: str) -> int:
+        """run() from the start state, for the count alone."""
+        at, last, count = 0, [START], [0]
+        moves, ends, pairs = self.moves, self.ends, self.pairs
+        for c in text:
+            node = moves[at].get(c)
+            if node is None:
+                node = self._move(at, c)
+            if node < 0:
+                at = 0
+                last.append(START)
+                count.append(count[-1] + len(c.encode("utf-8", "surrogatepass")))
+                continue
+            at = node
+            for n, t in ends[node]:
+                u = last[-n]
+                stable = pairs.get(u << 20 | t)
+                if stable is None:
+                    stable = self._pair(u, t)
+                if stable:
+                    count.append(count[-n] + 1)
+                    last.append(t)
+                    break
+        return count[-1]
+
+    def _part(self, text: str) -> int:
+        n = self.parts.get(text)
+        if n is None:
+            n = self.tokens(text)
+            if len(self.parts) < WORDS:
+                self.parts[text] = n
+        return n
+
+    def _word(self, word: str) -> int:
+        """Tokens of a word mark and a word; cut again where no entry holds the two characters that meet."""
+        if word.isalpha():
+            return self._part(MARK + word)
+        cut, parts = MARK + word, []
+        for i in range(len(cut) - 1, 0, -1):
+            if not (cut[i].isalpha() and cut[i - 1].isalpha()) and cut[i - 1 : i + 1] not in self.beside:
+                parts.append(cut[i:])
+                cut = cut[:i]
+        return sum(map(self._part, parts), self._part(cut))
+
+    def counts(self, texts: list[str]) -> list[int]:
+        """Tokens of whole texts, a word mark in front; meant for some MB at a time."""
+        gc.disable()
+        chunks = []
+        for t in texts:
+            words = t.replace(MARK, " ").split(" ") if t else []
+            if "" in words:  # word marks in a row belong to the chunk that they begin
+                words = [w[1:] for w in re.findall(f"{MARK}+[^{MARK}]*", MARK + MARK.join(words))]
+            chunks.append(words)
+        new = list(set().union(*chunks).difference(self.words))
+        self.words.update(zip(new, map(self._word, new), strict=True))
+        get = self.words.__getitem__
+        out = [sum(map(get, ws)) for ws in chunks]
+        for w in new[max(0, WORDS - len(self.words) + len(new)) :]:
+            del self.words[w]
+        gc.enable()
+        return out
+
+
+@lru_cache(maxsize=2)
+def compiled(path: str) -> Transducer:
+    """The transducer of a sentencepiece byte-pair model with byte fallback; one per worker."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    n = model.get_piece_size()
+    return Transducer({model.id_to_piece(i): model.get_score(i) for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))})
