@@ -17,6 +17,12 @@ def op1_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(documents(spark, sf_dir), BYTE_BPE, end_id=2)
 
 
+def op4_byte_index_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_copies
+
+    return near_copies(documents(spark, sf_dir))
+
+
 def op7_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -35,5 +41,5 @@ def op10_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), PIECE_BPE, limit=4096)
 
 
-QUERIES = {f.__name__: f for f in (op1_bit_planes, op7_mixture_packing, op8_matroska, op10_transducer_counts)}
+QUERIES = {f.__name__: f for f in (op1_bit_planes, op4_byte_index_simhash, op7_mixture_packing, op8_matroska, op10_transducer_counts)}
 ORACLES: dict[str, str] = {}
