@@ -23,6 +23,12 @@ def op4_byte_index_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(documents(spark, sf_dir))
 
 
+def op5_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import repeated_passages
+
+    return repeated_passages(documents(spark, sf_dir)).drop("spans")
+
+
 def op7_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -41,5 +47,5 @@ def op10_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), PIECE_BPE, limit=4096)
 
 
-QUERIES = {f.__name__: f for f in (op1_bit_planes, op4_byte_index_simhash, op7_mixture_packing, op8_matroska, op10_transducer_counts)}
+QUERIES = {f.__name__: f for f in (op1_bit_planes, op4_byte_index_simhash, op5_suffix_trees, op7_mixture_packing, op8_matroska, op10_transducer_counts)}
 ORACLES: dict[str, str] = {}
