@@ -17,6 +17,12 @@ def op1_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(documents(spark, sf_dir), BYTE_BPE, end_id=2)
 
 
+def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination
+
+    return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("k2")
+
+
 def op4_byte_index_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_copies
 
@@ -47,5 +53,24 @@ def op10_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), PIECE_BPE, limit=4096)
 
 
-QUERIES = {f.__name__: f for f in (op1_bit_planes, op4_byte_index_simhash, op5_suffix_trees, op7_mixture_packing, op8_matroska, op10_transducer_counts)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_bit_planes, op2_winnowing, op4_byte_index_simhash, op5_suffix_trees, op7_mixture_packing, op8_matroska, op10_transducer_counts)}
+ORACLES: dict[str, str] = {
+    "op2_winnowing": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        iw AS (SELECT DISTINCT item_id, least(len(w), 10) AS l, array_to_string(w[p : p + least(len(w), 10) - 1], ' ') AS t FROM b, unnest(range(1, greatest(len(w) - 8, 2))) AS u(p) WHERE len(w) > 0),
+        lens AS (SELECT DISTINCT l FROM iw),
+        dw AS (SELECT doc_id, l, p, array_to_string(w[p : p + l - 1], ' ') AS t FROM d, lens, unnest(range(1, greatest(len(w) - l + 2, 1))) AS u(p)),
+        hit AS (SELECT DISTINCT doc_id, p, l, item_id FROM dw JOIN iw USING (l, t)),
+        cov AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + l)) AS q FROM hit) GROUP BY doc_id),
+        it AS (SELECT doc_id, count(*) AS k, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM hit) GROUP BY doc_id)
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_hit, coalesce(k, 0)::BIGINT AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n, 0) > 0 AS contaminated
+        FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id)""",
+    "op5_suffix_trees": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        win AS (SELECT doc_id, p, sha256(array_to_string(w[p : p + 34], ' ')) AS t FROM d, unnest(range(1, greatest(len(w) - 33, 1))) AS u(p)),
+        many AS (SELECT t FROM win GROUP BY t HAVING count(*) > 1),
+        gone AS (SELECT DISTINCT doc_id, q FROM (SELECT doc_id, unnest(range(p, p + 35)) AS q FROM win SEMI JOIN many USING (t))),
+        kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY q) AS s, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS q FROM d) ANTI JOIN gone USING (doc_id, q) GROUP BY doc_id)
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
+}
