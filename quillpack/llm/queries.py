@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, fold
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -35,6 +36,14 @@ def op5_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(documents(spark, sf_dir)).drop("spans")
 
 
+def op6_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxic_scores
+
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    out = toxic_scores(docs, labels.where(fold("doc_id", 3) != 1))
+    return out.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op7_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -53,7 +62,7 @@ def op10_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), PIECE_BPE, limit=4096)
 
 
-QUERIES = {f.__name__: f for f in (op1_bit_planes, op2_winnowing, op4_byte_index_simhash, op5_suffix_trees, op7_mixture_packing, op8_matroska, op10_transducer_counts)}
+QUERIES = {f.__name__: f for f in (op1_bit_planes, op2_winnowing, op4_byte_index_simhash, op5_suffix_trees, op6_weak_supervision, op7_mixture_packing, op8_matroska, op10_transducer_counts)}
 ORACLES: dict[str, str] = {
     "op2_winnowing": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
