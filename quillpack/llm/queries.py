@@ -24,6 +24,14 @@ def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("k2")
 
 
+def op3_crf_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langcrf import languages
+
+    docs = documents(spark, sf_dir)
+    out = languages(docs, docs.where(fold("doc_id", 4) != 2))
+    return out.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op4_byte_index_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_copies
 
@@ -62,7 +70,7 @@ def op10_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), PIECE_BPE, limit=4096)
 
 
-QUERIES = {f.__name__: f for f in (op1_bit_planes, op2_winnowing, op4_byte_index_simhash, op5_suffix_trees, op6_weak_supervision, op7_mixture_packing, op8_matroska, op10_transducer_counts)}
+QUERIES = {f.__name__: f for f in (op1_bit_planes, op2_winnowing, op3_crf_languages, op4_byte_index_simhash, op5_suffix_trees, op6_weak_supervision, op7_mixture_packing, op8_matroska, op10_transducer_counts)}
 ORACLES: dict[str, str] = {
     "op2_winnowing": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
