@@ -64,13 +64,19 @@ def op8_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media(documents(spark, sf_dir))
 
 
+def op9_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bilinear import text_scores
+
+    return text_scores(documents(spark, sf_dir), "crc32(cast(doc_id as string)) % 10 = 0")
+
+
 def op10_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
     return count_tokens(documents(spark, sf_dir), PIECE_BPE, limit=4096)
 
 
-QUERIES = {f.__name__: f for f in (op1_bit_planes, op2_winnowing, op3_crf_languages, op4_byte_index_simhash, op5_suffix_trees, op6_weak_supervision, op7_mixture_packing, op8_matroska, op10_transducer_counts)}
+QUERIES = {f.__name__: f for f in (op1_bit_planes, op2_winnowing, op3_crf_languages, op4_byte_index_simhash, op5_suffix_trees, op6_weak_supervision, op7_mixture_packing, op8_matroska, op9_log_bilinear, op10_transducer_counts)}
 ORACLES: dict[str, str] = {
     "op2_winnowing": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
