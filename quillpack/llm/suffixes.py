@@ -225,7 +225,8 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, prefix: int = PREFI
                 keys, twice, _ = w.labels(own)
                 yield _sent(row["blob"], keys, twice, buckets)
 
-    half = table.join(level1.withColumnRenamed("parts", "parts1"), "blob", "left")
+    # merged at every size: what the bits need grows with the input, so they are never broadcast
+    half = table.hint("merge").join(level1.withColumnRenamed("parts", "parts1"), "blob", "left")
     level2 = materialise(_repeated(map_arrow(half, second, SENT), 2), "windows")
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -260,6 +261,6 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, prefix: int = PREFI
                     spans.append([{"first": int(a), "last": int(b) - 1} for a, b in zip(turn[::2], turn[1::2], strict=True)])
                 yield {"doc_id": column(batch, "doc_id"), "n_words": list(map(len, w.words)), "n_removed": removed, "kept_sha256": sha, "spans": spans}
 
-    both = half.join(level2.withColumnRenamed("parts", "parts2"), "blob", "left")
+    both = half.hint("merge").join(level2.withColumnRenamed("parts", "parts2"), "blob", "left")
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) if clean else "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<first:int,last:int>>"
     return map_arrow(both, last, ddl)
