@@ -7,11 +7,14 @@ stochastic steps from the same start, and the tasks' parameters are averaged by
 normalised: exp of the score is a product of one factor of (a, t) and one of (b, t), so the sums over t of all context pairs are one matrix
 product, and a token's log-probability is three look-ups.
 
-Counts cover all training tokens. The HEAD most frequent ones travel with the code; counts of other tokens are joined.
+Counts cover all training tokens. They are kept by buckets of tokens, as compressed lists. The HEAD most frequent tokens
+travel with the code; of the others, each blob of some MB of texts asks every bucket once for the distinct ones it has.
 """
 
 from __future__ import annotations
 
+import heapq
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -19,13 +22,15 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, map_arrow, materialise, slices
 
-END = b" "
+#: The end of a text; no token holds white space.
+END = b"\n"
 HEAD, VOCABULARY = 100_000, 1022
 WIDTH, NOISE, BATCH, RATE = 24, 48, 4096, 0.15
 #: Tokens a task counts before it hands its counts on; groups in which tasks' parameters are averaged first.
@@ -37,21 +42,76 @@ def tokens(text: str) -> list[bytes]:
     return [*text.encode("utf-8", "surrogatepass").lower().split(), END]
 
 
-def token_counts(train: DataFrame) -> DataFrame:
-    """w, c: how often each token, ends included, occurs in train's texts. Partial sums before the shuffle."""
+def packed(words: list[bytes], numbers: list[int] | np.ndarray) -> tuple[bytes, bytes]:
+    press = zstandard.ZstdCompressor(level=3).compress
+    return press(b" ".join(words)), press(np.asarray(numbers, "i8").tobytes())
+
+
+def unpacked_words(data: bytes) -> list[bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    return raw.split(b" ") if raw else []
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "i8")
+
+
+def parted(words: list[bytes], buckets: int) -> dict[int, list[bytes]]:
+    """Ordered words by bucket, still in order."""
+    out: dict[int, list[bytes]] = {}
+    for w in words:
+        out.setdefault(zlib.crc32(w) % buckets, []).append(w)
+    return out
+
+
+COUNTS = "bucket int, words binary, counts binary, total long, n long"
+
+
+def token_counts(train: DataFrame, buckets: int) -> DataFrame:
+    """For each bucket its tokens (ends included) in order, how often each occurs in train's texts, the sum, and how many they are.
+
+    Tasks hand on partial counts, a compressed list a bucket; a task holds the distinct tokens of a bucket.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         held: Counter[bytes] = Counter()
+
+        def made() -> Iterator[dict]:
+            for k, words in parted(sorted(held), buckets).items():
+                w, c = packed(words, [held[x] for x in words])
+                yield {"bucket": [k], "words": [w], "counts": [c], "total": [0], "n": [0]}
+
         for batch in batches:
             for _, texts in slices(batch):
                 for t in texts:
                     held.update(tokens(t))
                 if len(held) > HELD:
-                    yield {"w": list(held), "c": list(held.values())}
-                    held = Counter()
-        yield {"w": list(held), "c": list(held.values())}
+                    yield from made()
+                    held.clear()
+        yield from made()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        now, held = None, {}
 
-    return map_arrow(train.select("text"), run, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c"))
+        def made() -> dict:
+            words = sorted(held)
+            w, c = packed(words, [held[x] for x in words])
+            return {"bucket": [now], "words": [w], "counts": [c], "total": [sum(held.values())], "n": [len(held)]}
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["bucket"] != now:
+                    if held:
+                        yield made()
+                    now, held = row["bucket"], {}
+                get = held.get
+                for w, c in zip(unpacked_words(row["words"]), unpacked(row["counts"]).tolist(), strict=True):
+                    held[w] = get(w, 0) + c
+        if held:
+            yield made()
+
+    parts = map_arrow(train.select("text"), run, COUNTS)
+    return map_arrow(parts.repartition("bucket").sortWithinPartitions("bucket"), merge, COUNTS)
 
 
 class Head(NamedTuple):
@@ -74,12 +134,21 @@ class Head(NamedTuple):
 
     def rest(self) -> float:
         """Smoothed mass of the class of other tokens: each one seen, and one unseen."""
-        return float(self.by_class()[0] + 0.1 * (self.distinct - self.n + 2))
+        others = self.distinct - (self.n - 2) - int(self.counts[1] > 0)
+        return float(self.by_class()[0] + 0.1 * (others + 1))
 
 
 def head(counts: DataFrame, most: int = HEAD, vocabulary: int = VOCABULARY) -> Head:
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = [(bytes(r["w"]), r["c"]) for r in counts.orderBy(F.desc("c"), "w").limit(most).collect()]
+    total = counts.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("v")).first()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                pairs = zip(unpacked(row["counts"]).tolist(), unpacked_words(row["words"]), strict=True)
+                top = heapq.nsmallest(most, ((-c, w) for c, w in pairs if c > 1 or total["v"] <= most))
+                yield {"w": [w for _, w in top], "c": [-c for c, _ in top]}
+
+    top = [(bytes(r["w"]), r["c"]) for r in map_arrow(counts, run, "w binary, c long").orderBy(F.desc("c"), "w").limit(most).collect()]
     ends = next((c for w, c in top if w == END), 0)
     words = [x for x in top if x[0] != END]
     place = {END: 1} | {w: i + 2 for i, (w, _) in enumerate(words)}
@@ -218,7 +287,36 @@ class Tables:
 
 
 _tables: dict[int, Tables] = {}
-SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_head long, base double, score double, others long, tail array<struct<w:binary,m:long>>"
+#: A blob's texts: of each, what the head tells of it, and where its other tokens begin in `tail`, indices into `words`.
+SCORED = "blob long, doc_id array<long>, held_out array<boolean>, n_tokens array<long>, n_head array<long>, base array<double>, score array<double>, others array<long>, ends array<long>, tail binary, words binary"
+ASKED = "bucket int, asks int, blob long, words binary, counts binary"
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def looked_up(scored: DataFrame, counts: DataFrame, buckets: int) -> DataFrame:
+    """blob, found: for each bucket the counts of the blob's words there, in order."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                for k, words in parted(unpacked_words(row["words"]), buckets).items():
+                    yield {"bucket": [k], "asks": [1], "blob": [row["blob"]], "words": [packed(words, [])[0]], "counts": [None]}
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        now, held = None, {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["bucket"] != now:
+                    now, held = row["bucket"], {}
+                if not row["asks"]:
+                    held = dict(zip(unpacked_words(row["words"]), unpacked(row["counts"]).tolist(), strict=True))
+                else:
+                    yield {"blob": [row["blob"]], "bucket": [now], "counts": [packed([], [held.get(w, 0) for w in unpacked_words(row["words"])])[1]]}
+
+    known = counts.select("bucket", F.lit(0).alias("asks"), F.lit(None).cast("long").alias("blob"), "words", "counts")
+    asked = map_arrow(scored.select("blob", "words"), ask, ASKED).union(known)
+    got = map_arrow(asked.repartition("bucket").sortWithinPartitions("bucket", "asks"), answer, "blob long, bucket int, counts binary")
+    return got.groupBy("blob").agg(F.collect_list(F.struct("bucket", "counts")).alias("found"))
 
 
 def text_scores(docs: DataFrame, held_out: str) -> DataFrame:
@@ -229,11 +327,12 @@ def text_scores(docs: DataFrame, held_out: str) -> DataFrame:
     """
     rows = docs.select("doc_id", "text", F.expr(held_out).alias("held"))
     learning = rows.where("not held")
-    counts = materialise(token_counts(learning), "counts")
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = materialise(token_counts(learning, buckets), "counts")
     h = head(counts)
     model = learn(learning, h)
     held = docs.sparkSession.sparkContext.broadcast((h, model))
-    scale, rest = float(np.log10(h.total + 0.1 * (h.distinct + 1))), float(np.log10(h.rest()))
+    total, scale, rest = int(h.total), float(np.log10(h.total + 0.1 * (h.distinct + 1))), float(np.log10(h.rest()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         h, model = held.value
@@ -242,9 +341,9 @@ def text_scores(docs: DataFrame, held_out: str) -> DataFrame:
             _tables[id(model)] = Tables(model)
         tables, log_c = _tables[id(model)], np.log10(h.counts + 0.1)
         log_c[0] = 0
-        row = TaskContext.get().partitionId() << 33
+        blob = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for a, texts in slices(batch):
+            for a, texts in slices(batch, limit=2 << 20):
                 words = [tokens(t) for t in texts]
                 n = np.array(list(map(len, words)))
                 ends = np.cumsum(n)
@@ -252,26 +351,40 @@ def text_scores(docs: DataFrame, held_out: str) -> DataFrame:
                 ids = h.classes[place]
                 owner = np.repeat(np.arange(len(texts)), n)
                 p = tables.log10(*contexts(ids, ends))
-                other = ids == 0
+                sums = lambda x, owner=owner, k=len(texts): np.bincount(owner, x, k)
+                far = np.flatnonzero(place == 0)
+                flat = [w for ws in words for w in ws]
+                tail = [flat[i] for i in far.tolist()]
+                distinct = sorted(set(tail))
+                number = dict(zip(distinct, range(len(distinct)), strict=True))
+                press = zstandard.ZstdCompressor(level=3).compress
+                yield {
+                    "blob": [blob], "doc_id": [column(batch, "doc_id").slice(a, len(texts)).to_pylist()], "held_out": [column(batch, "held").slice(a, len(texts)).to_pylist()], "n_tokens": [n.tolist()],
+                    "n_head": [sums((place > 0) & (h.counts[place] > 0)).astype("i8").tolist()], "base": [sums(log_c[place]).tolist()], "score": [(sums(p) + sums(np.where(ids == 0, log_c[place], 0))).tolist()],
+                    "others": [sums(ids == 0).astype("i8").tolist()], "ends": [np.searchsorted(far, ends).tolist()], "tail": [press(np.fromiter(map(number.__getitem__, tail), "u4", len(tail)).tobytes())], "words": [packed(distinct, [])[0]],
+                }
+                blob += 1
 
-                def sums(x: np.ndarray, owner=owner, k=len(texts)) -> np.ndarray:
-                    return np.bincount(owner, x, k)
+    scored = materialise(map_arrow(rows, run, SCORED), "scored")
 
-                tails = []
-                begin = ends - n
-                for ws, s, e in zip(words, begin.tolist(), ends.tolist(), strict=True):
-                    tails.append([{"w": w, "m": k} for w, k in Counter([ws[i] for i in np.flatnonzero(place[s:e] == 0).tolist()]).items()])
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                found = {x["bucket"]: unpacked(x["counts"]) for x in row["found"] or []}
+                words, c = unpacked_words(row["words"]), []
+                at = {k: iter(v.tolist()) for k, v in found.items()}
+                c = np.array([next(at[zlib.crc32(w) % buckets]) for w in words], "f8")
+                tail = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["tail"]), "u4")
+                owner = np.repeat(np.arange(len(row["doc_id"])), np.diff(np.r_[0, row["ends"]]))
+                more, known = np.zeros(len(row["doc_id"])), np.array(row["n_head"])
+                if len(tail):
+                    more = np.bincount(owner, np.log10(c + 0.1)[tail], len(row["doc_id"]))
+                    known = known + np.bincount(owner, (c > 0)[tail], len(row["doc_id"])).astype("i8")
+                n, others = np.array(row["n_tokens"]), np.array(row["others"])
                 yield {
-                    "row": row + np.arange(len(texts)), "doc_id": column(batch, "doc_id").slice(a, len(texts)), "held_out": column(batch, "held").slice(a, len(texts)), "n_tokens": n,
-                    "n_head": sums((place > 0) & (h.counts[place] > 0)).astype("i8"), "base": sums(log_c[place]), "score": sums(p) + sums(np.where(other, log_c[place], 0)), "others": sums(other).astype("i8"), "tail": tails,
+                    "doc_id": row["doc_id"], "held_out": [h is not False for h in row["held_out"]], "n_tokens": row["n_tokens"], "n_known": known, "train_tokens": [total] * len(n),
+                    "base_score": np.array(row["base"]) + more - n * scale, "score": np.array(row["score"]) + more - others * rest,
                 }
-                row += len(texts)
 
-    scored = materialise(map_arrow(rows, run, SCORED), "scored")
-    tail = scored.select("row", F.explode("tail").alias("x")).select("row", F.col("x.w").alias("w"), F.col("x.m").alias("m"))
-    found = tail.join(counts, "w", "left").groupBy("row").agg(F.sum(F.col("m") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1))).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("n"))
-    more = F.coalesce("more", F.lit(0.0))
-    return scored.drop("tail").join(found, "row", "left").select(
-        "doc_id", F.coalesce("held_out", F.lit(True)).alias("held_out"), "n_tokens", (F.col("n_head") + F.coalesce("n", F.lit(0))).alias("n_known"), F.lit(int(h.total)).cast("long").alias("train_tokens"),
-        (F.col("base") + more - F.col("n_tokens") * F.lit(scale)).alias("base_score"), (F.col("score") + more - F.col("others") * F.lit(rest)).alias("score"),
-    )
+    # merged at every size: what is looked up grows with the input, so it is never broadcast
+    return map_arrow(scored.hint("merge").join(looked_up(scored, counts, buckets), "blob", "left"), finish, RESULT)
