@@ -10,6 +10,7 @@ the words and beginnings, is fitted to the posterior, and scores whole texts fro
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 import zlib
@@ -25,12 +26,14 @@ from pyspark.sql import functions as F
 from .common import column, map_arrow, slices
 
 #: Labelled rows that the model is fitted on at most, of class 1 and of class 0; chosen by a hash of their id.
-SAMPLE, SAMPLE_CLEAN = 2500, 6000
+SAMPLE, SAMPLE_CLEAN = 2000, 5000
 WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5, 6)
 #: A voter's feature must be so much likelier in class 1 (logarithm), and its texts so unlikely by chance
 #: (logarithm, above the one of the number of features tried).
 EVIDENCE, SURPRISE = 2.5, 5.0
+#: Texts of class 1 that a feature must be in at least to be tried.
+LEAST = 4
 #: Lexicon voters; features of the classifier at most, the strongest; its ridge.
 GROUPS, FEATURES, RIDGE = 6, 400, 0.02
 CUT = 0.7
@@ -63,20 +66,31 @@ def known(text: str, weights: dict[str, float]) -> list[str]:
     return list(out)
 
 
-def voters(found: list[set[str]], texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, list[str]]:
-    """Votes (1, 0, or -1: none) of each voter on each text, and the features that voters of class 1 hold."""
-    # copies of a text count once: texts are told apart by the least hash of their words
+def held_features(texts: list[str], labels: np.ndarray) -> list[str]:
+    """The features that speak for class 1. Sets of features are made and dropped text by text; those of class 0 only count where
+    class 1 has them."""
     toxic, clean, seen = Counter(), Counter(), set()
     n1 = n0 = 0
-    for f, y in zip(found, labels, strict=True):
-        sketch = (min(map(crc, f), default=0), bool(y))
-        if sketch in seen:
-            continue
-        seen.add(sketch)
-        n1, n0 = n1 + bool(y), n0 + (not y)
-        (toxic if y else clean).update(f)
+    for wanted in (True, False):
+        for t, y in zip(texts, labels, strict=True):
+            if bool(y) != wanted:
+                continue
+            f = features(t)
+            # copies of a text count once: texts are told apart by the three least hashes of their features
+            sketch = (*heapq.nsmallest(3, map(crc, f)), wanted)
+            if sketch in seen:
+                continue
+            seen.add(sketch)
+            n1, n0 = n1 + wanted, n0 + (not wanted)
+            if wanted:
+                toxic.update(f)
+            else:
+                clean.update(f & toxic.keys())
+        if wanted:
+            tried = len(toxic)
+            toxic = Counter({f: k for f, k in toxic.items() if k >= LEAST})
     q = n1 / (n1 + n0)
-    strength, least = {}, SURPRISE + math.log(len(toxic) + 1)
+    strength, least = {}, SURPRISE + math.log(tried + 1)
     for f, k in toxic.items():
         n = k + clean[f]
         r = k / n
@@ -93,6 +107,11 @@ def voters(found: list[set[str]], texts: list[str], labels: np.ndarray) -> tuple
     for f in held:
         related.setdefault(f.lstrip("^")[: BEGINNINGS[0]], []).append(f)
     held = [f for f in held if not any(g != f and (g.lstrip("^").startswith(f.lstrip("^")) or f.lstrip("^").startswith(g.lstrip("^"))) and beaten(f, g) for g in related[f.lstrip("^")[: BEGINNINGS[0]]])][:FEATURES]
+    return held
+
+
+def voters(found: list[set[str]], texts: list[str], held: list[str]) -> np.ndarray:
+    """Votes (1, 0, or -1: none) of each voter on each text; found: the held features that each text has."""
     groups = [set(held[k::GROUPS]) for k in range(GROUPS) if held[k::GROUPS]]
     words = {f for f in held if f[0] != "^"}
     rows = []
@@ -100,13 +119,14 @@ def voters(found: list[set[str]], texts: list[str], labels: np.ndarray) -> tuple
         shout = len(re.findall(r"\b[A-Z]{4,}\b|!{2,}|\?{2,}", t))
         any_held = bool(f & words) or any(f & g for g in groups)
         rows.append([1 if f & g else -1 for g in groups] + [1 if f & words else -1, 1 if shout > 20 else -1, -1 if any_held else 0])
-    return np.array(rows, "i1").reshape(len(texts), -1), held
+    return np.array(rows, "i1").reshape(len(texts), -1)
 
 
 def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> np.ndarray:
     """The posterior of class 1 for each row of votes."""
     n, m = votes.shape
-    p = np.where((votes == 1).any(1), 0.9, 0.01)
+    # to begin with, the share of those who vote that vote 1
+    p = ((votes == 1).sum(1) + 0.1 * prior) / ((votes != -1).sum(1) + 0.1)
     share = np.ones(m)
     for _ in range(rounds):
         w1, w0 = p.sum() + 2, (1 - p).sum() + 2
@@ -135,8 +155,9 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     y = np.array(labels, bool)
     if not len(y) or y.all() or not y.any():
         return Model({}, 6.0 if len(y) and y.all() else -6.0)
-    found = [features(t) for t in texts]
-    votes, held = voters(found, texts, y)
+    held = held_features(texts, y)
+    found = [set(known(t, dict.fromkeys(held, 1.0))) for t in texts]
+    votes = voters(found, texts, held)
     # the annotator of the sampled rows is one more voter, with accuracies to be estimated like any other's
     p = label_model(np.column_stack([votes, y.astype("i1")]), float(y.mean()))
     # Newton's method on the logistic loss with a small ridge; the last column is the bias
