@@ -132,9 +132,9 @@ def frames_fps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.array_join(f.cast("array<string>"), ",").alias("frames"))
 
 
-@query("""SELECT user_id, event_id, lead(event_id) OVER w - event_id AS delta, lag(event_id) OVER w IS NULL AS is_first, lead(event_id) OVER w IS NULL AS is_last FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""")
+@query("""SELECT user_id, event_id, coalesce(lead(event_id) OVER w - event_id, -1) AS delta, lag(event_id) OVER w IS NULL AS is_first, lead(event_id) OVER w IS NULL AS is_last FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""")
 def frame_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.frame_deltas(table(spark, sf_dir, "events"), ["user_id"], "event_id")
+    return L.frame_deltas(table(spark, sf_dir, "events"), ["user_id"], "event_id").withColumn("delta", F.coalesce("delta", F.lit(-1).cast("long")))
 
 
 # decoding: an embedding is a sequence of 64 positions with a confidence each
