@@ -71,3 +71,38 @@ def cut_at(ids: Column, end: int) -> Column:
     """ids up to the first `end`, which stays."""
     at = F.array_position(ids, F.lit(end))
     return F.when(at > 0, F.slice(ids, F.lit(1), at.cast("int"))).otherwise(ids)
+
+
+def unpatchify(patches: Column, channels: int, height: int, width: int, patch: int) -> Column:
+    """Rows of patches as [c, h, w] values again."""
+    n = width // patch
+
+    def at(c: int, y: int, x: int) -> Column:
+        return F.get(F.get(patches, F.lit((y // patch) * n + x // patch)), F.lit(((y % patch) * patch + x % patch) * channels + c))
+
+    return F.array(*[at(c, y, x) for c in range(channels) for y in range(height) for x in range(width)])
+
+
+def pixel(x: Column) -> Column:
+    """[-1, 1] to 0..255, cut off, not rounded."""
+    return F.floor(F.greatest(F.least(x * 0.5 + 0.5, F.lit(1.0)), F.lit(0.0)) * 255).cast("int")
+
+
+def interpolated_ids(height: int, width: int, side: int) -> list[int]:
+    """Position ids of a grid of patches mapped onto a table of side x side, by buckets of 32-bit fractions."""
+    import numpy as np
+
+    bounds = np.arange(1 / side, 1.0, 1 / side, dtype="f4")
+    ends = lambda n: np.searchsorted(bounds, np.arange(0, 1 - 1e-6, 1 / n, dtype="f4"), side="right")
+    return (ends(height)[:, None] * side + ends(width)).ravel().tolist()
+
+
+def composition(total: int, decay: float, seed: int) -> tuple[list[int], list[int]]:
+    """A random composition of total, and its running sums from 0. The number of parts is uniform at decay 1, else geometric."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    weights = decay ** np.arange(total)
+    n = 1 + int(rng.choice(total, p=weights / weights.sum()))
+    ends = [0, *sorted((1 + rng.choice(total - 1, n - 1, replace=False)).tolist()), total] if total > 1 else [0, total]
+    return np.diff(ends).tolist(), ends

@@ -93,3 +93,43 @@ def learning_rate(step: Column, top: float, warm: int, total: int, least: float
         raise ValueError(f"unknown schedule {kind}")
     part = (step - warm) / max(total - warm, 1)
     return F.when(step < warm, rise).otherwise(least + (top - least) * F.greatest(F.lit(0.0), 0.5 * (1.0 + F.cos(math.pi * part))))
+
+
+def rotary_angles(pos: Column, width: int, base: float = 10000.0, factor: float = 1.0, longest: int | None = None, length: int | None = None) -> Column:
+    """pos / base^(2i / width) for half the width. factor stretches positions; with longest, a length beyond it raises the base instead."""
+    if longest and length and length > longest:
+        base, factor = base * ((factor * length / longest) - (factor - 1)) ** (width / (width - 2)), 1.0
+    return F.transform(F.sequence(F.lit(0), F.lit(width // 2 - 1)), lambda i: pos / factor / F.pow(F.lit(base), 2.0 * i / width))
+
+
+def rotated_half(x: Column) -> Column:
+    """The second half, negated, in front of the first."""
+    half = F.floor(F.size(x) / 2).cast("int")
+    return F.concat(F.transform(F.slice(x, half + 1, half), lambda v: -v), F.slice(x, F.lit(1), half))
+
+
+def rotated(x: Column, angles: Column) -> Column:
+    both = F.concat(angles, angles)
+    return F.zip_with(F.zip_with(x, both, lambda v, a: v * F.cos(a)), F.zip_with(rotated_half(x), both, lambda v, a: v * F.sin(a)), lambda a, b: a + b)
+
+
+def latent(z: Column, scale: float = 0.3611, shift: float = 0.1159) -> Column:
+    return scale * (z - shift)
+
+
+def from_latent(z: Column, scale: float = 0.3611, shift: float = 0.1159) -> Column:
+    return z / scale + shift
+
+
+def sampled_latent(mean: Column, logvar: Column, noise: Column) -> Column:
+    return mean + F.exp(0.5 * logvar) * noise
+
+
+def worker_seed(seed: int, world: int, rank: Column) -> Column:
+    return F.lit(seed) * world + rank
+
+
+def table_2d(pos_h: Column, pos_w: Column, width: int) -> Column:
+    """Sine and cosine of both axes; the first half encodes the column."""
+    one = lambda p: F.concat(F.transform(F.sequence(F.lit(0), F.lit(width // 4 - 1)), lambda i: F.sin(p * frequency(i, width // 2))), F.transform(F.sequence(F.lit(0), F.lit(width // 4 - 1)), lambda i: F.cos(p * frequency(i, width // 2))))
+    return F.concat(one(pos_w), one(pos_h))

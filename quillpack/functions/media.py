@@ -59,3 +59,24 @@ def frames_rate(total: Column, native: Column, rate: float, most: int | None = N
     times = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(seconds / delta).cast("int") - 1, F.lit(0))), lambda i: i * delta + delta / 2)
     out = F.filter(F.transform(F.filter(times, lambda t: t < seconds + delta / 2), lambda t: F.bround(t * native).cast("long")), lambda i: i < total)
     return F.slice(out, 1, most) if most else out
+
+
+def frames_drawn(total: Column, n: int, seed: int, *keys: Column | str) -> Column:
+    """A frame of each of n equal intervals, its last frame excluded; if an interval is that short, a sorted draw without return."""
+    from .draws import draw
+
+    take = F.least(F.lit(n).cast("long"), total.cast("long"))
+    ends = _bounds(total.cast("double"), take)
+    low = lambda i: F.get(ends, i - 1)
+    room = lambda i: F.get(ends, i) - 1 - low(i)
+    order = F.sequence(F.lit(1), take.cast("int"))
+    drawn = F.transform(order, lambda i: (low(i) + F.floor(draw(seed, "frame", *keys, i) * room(i))).cast("long"))
+    mixed = F.transform(F.sequence(F.lit(0).cast("long"), total.cast("long") - 1), lambda i: F.struct(draw(seed, "shuffle", *keys, i).alias("u"), i.alias("i")))
+    fallback = F.array_sort(F.transform(F.slice(F.array_sort(mixed), F.lit(1), take.cast("int")), lambda s: s["i"]))
+    out = F.when(F.exists(order, lambda i: room(i) <= 0), fallback).otherwise(drawn)
+    return F.concat(out, F.array_repeat(F.element_at(out, -1), (F.lit(n) - take).cast("int")))
+
+
+def over_white(value: Column, alpha: Column) -> Column:
+    """A channel laid over white by its alpha (0..1)."""
+    return alpha * value + (1.0 - alpha) * 255.0

@@ -95,9 +95,9 @@ def placeholder_elements(text: Column, names: Column) -> Column:
 
 
 def chosen_caption(captions: Column, seed: int, *keys: Column | str) -> Column:
-    """A uniform draw from the captions that aren't blank; one space if there is none."""
+    """A uniform draw from the captions that aren't blank, stripped; one space if there is none."""
     good = F.filter(captions, lambda c: ~blank(c))
-    return F.when(F.size(good) == 0, F.lit(" ")).otherwise(F.element_at(good, (draw_int(0, F.size(good) - 1, seed, "caption", *keys) + 1).cast("int")))
+    return F.when(F.size(good) == 0, F.lit(" ")).otherwise(strip(F.element_at(good, (draw_int(0, F.size(good) - 1, seed, "caption", *keys) + 1).cast("int"))))
 
 
 def single_caption(caption: Column) -> Column:
@@ -141,3 +141,68 @@ def image_items(loss: Column, vae: Column, vit: Column) -> Column:
     """Plan items of one image: a target, a condition, and patches to look at, where each is wanted."""
     item = lambda kind, is_loss, wanted: F.struct(F.when(wanted, F.lit(kind)).alias("type"), F.lit(is_loss).alias("loss"), F.lit(1).alias("enable_cfg"))
     return F.filter(F.array(item("vae_image", 1, loss), item("vae_image", 0, vae), item("vit_image", 0, vit)), lambda x: x["type"].isNotNull())
+
+
+def images_first(turns: Column, images: Column | int) -> Column:
+    """All images, then the texts without tags: a question is dropped if empty, an answer never. Turns are (from, value)."""
+    n = F.floor(F.size(turns) / 2).cast("int")
+    item = lambda kind, loss, x: F.struct(F.lit(kind).alias("type"), loss.cast("int").alias("has_loss"), x.alias("text"), n.alias("round"))
+    good = F.filter(turns, lambda t: (t["from"] == "gpt") | ((t["from"] == "human") & (without_image_tags(t["value"]) != "")))
+    texts = F.transform(good, lambda t: item("text", t["from"] == "gpt", F.when(t["from"] == "human", without_image_tags(t["value"])).otherwise(t["value"])))
+    return F.concat(F.array_repeat(item("image", F.lit(0), F.lit(None).cast("string")), F.lit(images) if isinstance(images, int) else images), texts)
+
+
+def inline_conversation(turns: Column, images: Column | int) -> Column:
+    """Each turn's text cut at its image tags, images in their places; has_loss of answers."""
+    n = F.floor(F.size(turns) / 2).cast("int")
+
+    def of(turn: Column) -> Column:
+        loss = (turn["from"] == "gpt").cast("int")
+        return F.transform(inline_elements(turn["value"], images), lambda e: F.struct(e["type"].alias("type"), F.when(e["type"] == "text", loss).otherwise(0).alias("has_loss"), e["text"].alias("text"), n.alias("round")))
+
+    return F.flatten(F.transform(turns, of))
+
+
+def plain_edit(text: Column, members: Column, most: int = 64) -> Column:
+    """Images 1..N that the sample has, as conditions; the text without tags; the output image."""
+    item = lambda kind, x, loss: F.struct(F.lit(kind).alias("type"), x.alias("text"), F.lit(loss).alias("has_loss"))
+    names = F.filter(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda i: F.concat(F.lit("image_"), i.cast("string"))), lambda n: F.map_contains_key(members, F.concat(n, F.lit(".jpg"))))
+    said = F.rtrim(F.replace(text, F.lit("<image>"), F.lit("")))
+    return F.concat(F.transform(names, lambda n: item("image", n, 0)), F.array(item("text", said, 0), item("image", F.lit("output"), 1)))
+
+
+def edit_steps(n: Column, instructions: Column, seed: int, *keys: Column | str) -> Column:
+    """The chosen part of an edit history as (image, instruction, image, ..): step by step, or first and last with the instructions
+    joined. An instruction is drawn from its alternatives."""
+    t = trajectory(n, seed, *keys)
+    pick = lambda i: F.element_at(F.get(instructions, i.cast("int")), (draw_int(0, F.size(F.get(instructions, i.cast("int"))) - 1, seed, "edit/say", *keys, i) + 1).cast("int"))
+    said = F.transform(F.sequence(t["start"], F.greatest(t["end"] - 1, t["start"])), pick)
+    joined = F.regexp_replace(F.array_join(said, ". "), r"[ \t\n\r\f\x0b]+$", "")
+    step = lambda image, text: F.struct(image.cast("int").alias("image"), text.alias("text"))
+    last = F.array(step(t["end"], F.lit(None).cast("string")))
+    return F.when(t["merged"], F.concat(F.array(step(t["start"], joined)), last)).otherwise(F.concat(F.transform(said, lambda x, i: step(t["start"] + i, x)), last))
+
+
+def edit_format(members: Column) -> Column:
+    """How a tar sample of edits is laid out, by the members it has; null: left out."""
+    has = lambda k: F.map_contains_key(members, k)
+    return F.when(has("output.jpg"), "multi").when(has("src_img.jpg"), "pair").when(has("1.1.jpg"), F.lit(None).cast("string")).when(has("1.0.jpg") & has("2.jpg"), "numbered")
+
+
+def renamed_members(members: Column) -> Column:
+    """Members of pair samples that lack an extension get the one of their kind."""
+    image, text = F.array(*map(F.lit, ("src_img", "edited_img"))), F.array(F.lit("edited_prompt"))
+    return F.transform_keys(members, lambda k, _: F.when(F.array_contains(image, k), F.concat(k, F.lit(".jpg"))).when(F.array_contains(text, k), F.concat(k, F.lit(".txt"))).otherwise(k))
+
+
+def kept_items(plan: Column, p_text: float, p_vit: float, p_vae: float, seed: int, *keys: Column | str) -> Column:
+    """Plan items behind guidance dropout, each with the rope step that it still makes: a dropped image steps by one, a dropped text by
+    none. Items that guidance isn't enabled for stay."""
+    from ..functions.draws import draw
+
+    def of(item: Column, i: Column) -> Column:
+        p = F.when(item["type"] == "text", p_text).when(item["type"] == "vit_image", p_vit).otherwise(p_vae)
+        gone = (item["enable_cfg"] == 1) & (draw(seed, "dropout", *keys, i) < p)
+        return F.struct(item.alias("item"), gone.alias("dropped"), F.when(gone & (item["type"] != "text"), 1).otherwise(0).alias("rope"))
+
+    return F.transform(plan, of)

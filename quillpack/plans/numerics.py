@@ -311,3 +311,63 @@ def mask_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT n_chars, 1::BIGINT << len(bin(n_chars)) AS p, round(CASE WHEN n_chars = 0 THEN 0 ELSE 1 / sqrt(n_chars) END, 9) AS w FROM documents")
 def length_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("n_chars", A.power_above(F.col("n_chars")).alias("p"), F.round(A.loss_weight(F.col("n_chars"), "square"), 9).alias("w"))
+
+
+# positional joins and tables
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN o_orderpriority LIKE '1%' AND l_linenumber = 1 THEN -1.0::DOUBLE ELSE l_quantity END AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+def scatter_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values written to positions of sequences; an order is a sequence of lines."""
+    from ..operators.gathers import scattered
+
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("q"))
+    new = table(spark, sf_dir, "orders").where(F.col("o_orderpriority").startswith("1")).select(F.col("o_orderkey").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.lit(-1.0).alias("q"))
+    return scattered(rows, new, ["l_orderkey", "l_linenumber"], "q")
+
+
+@query("SELECT l_orderkey, l_linenumber, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1)::BIGINT AS place FROM lineitem WHERE l_returnflag <> 'N'")
+def unpad_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.gathers import unpadded
+
+    return unpadded(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", F.col("l_returnflag") != "N").select("l_orderkey", "l_linenumber", "place")
+
+
+@query(f"WITH {LOGITS}, t AS (SELECT vec_id, pos, (floor(abs(x) * 40))::INT AS token FROM l), f AS (SELECT vec_id, min(pos) FILTER (token = 0) AS f, count(*) AS n FROM t GROUP BY vec_id) SELECT vec_id, (CASE WHEN f IS NULL THEN n - 1 ELSE (f - 1 + n) % n END)::BIGINT AS pos FROM f")
+def pooled_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.gathers import last_before_pad
+
+    rows = _logits(spark, sf_dir).withColumn("token", F.floor(F.abs("x") * 40).cast("int"))
+    return last_before_pad(rows, "vec_id", "pos", "token", 0)
+
+
+@query("SELECT l_suppkey, max(l_linenumber) AS h, max(l_quantity::INT) AS w FROM lineitem GROUP BY l_suppkey")
+def padded_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.gathers import padded_size as of
+
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_linenumber").alias("h"), F.col("l_quantity").cast("int").alias("w"))
+    return of(rows, "l_suppkey", "h", "w")
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(range(64), lambda k: (k + 1) * CASE WHEN k < 32 THEN v[k + 1] * cos(a[k + 1]) - v[k + 33] * sin(a[k + 1]) ELSE v[k + 1] * cos(a[k - 31]) + v[k - 31] * sin(a[k - 31]) END)), 4) AS digest FROM (SELECT vec_id, embedding::DOUBLE[] AS v, list_transform(range(32), lambda i: vec_id / 10000.0 ** (2.0 * i / 64)) AS a FROM embeddings)")
+def rotary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = M.rotated(F.col("embedding").cast("array<double>"), M.rotary_angles(F.col("vec_id"), 64))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", x.alias("x"))
+    return rows.select("vec_id", F.round(F.aggregate(F.transform("x", lambda v, k: (k + 1) * v), F.lit(0.0), lambda a, v: a + v), 4).alias("digest"))
+
+
+@query(f"""WITH c AS (SELECT event_id, (event_id % 61 + 8)::BIGINT AS total, 4::BIGINT AS k FROM events),
+    i AS (SELECT event_id, total, k, unnest(range(k)) AS j FROM c),
+    b AS (SELECT event_id, total, k, j, floor(j * total::DOUBLE / k)::BIGINT AS lo, floor((j + 1) * total::DOUBLE / k)::BIGINT - 1 AS hi FROM i),
+    d AS (SELECT event_id, list(lo + floor({duck_draw(5, 'frame', 'event_id', 'j + 1')} * (hi - lo))::BIGINT ORDER BY j) AS f FROM b GROUP BY ALL)
+    SELECT event_id, list_sum(f)::BIGINT AS total FROM d""")
+def frames_rand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = V.frames_drawn((F.col("event_id") % 61 + 8).cast("long"), 4, 5, "event_id")
+    rows = table(spark, sf_dir, "events").select("event_id", f.alias("f"))
+    return rows.select("event_id", F.aggregate("f", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query("SELECT event_id, round(0.3611 * (value - 0.1159), 9) AS z, round(value / 0.3611 + 0.1159, 6) AS x, floor(greatest(least(value / 100 * 0.5 + 0.5, 1.0), 0.0) * 255)::INT AS pixel FROM events")
+def latent_affine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("value")
+    return table(spark, sf_dir, "events").select("event_id", F.round(M.latent(v), 9).alias("z"), F.round(M.from_latent(v), 6).alias("x"), A.pixel(v / 100).alias("pixel"))

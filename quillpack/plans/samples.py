@@ -109,7 +109,7 @@ def pack_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 CAPTIONS = "(SELECT doc_id, list_transform(string_split(text, '. '), lambda s: s) AS parts FROM documents)"
 
 
-@query(f"""SELECT doc_id, CASE WHEN len(g) = 0 THEN ' ' ELSE g[(floor({duck_draw(7, 'caption', 'doc_id')} * len(g)) + 1)::BIGINT] END AS caption
+@query(f"""SELECT doc_id, CASE WHEN len(g) = 0 THEN ' ' ELSE {duck_strip("g[(floor(" + duck_draw(7, 'caption', 'doc_id') + " * len(g)) + 1)::BIGINT]")} END AS caption
     FROM (SELECT doc_id, list_filter(parts, lambda s: {duck_strip('s')} <> '') AS g FROM {CAPTIONS})""")
 def caption_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", E.chosen_caption(F.split("text", r"\. ", -1), 7, "doc_id").alias("caption"))
@@ -243,3 +243,53 @@ def mask_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = items.select("conv_id", "turn", "n", N.masked_positions(F.col("n"), 9, "conv_id", "turn").alias("m"))
     k = F.size("m.positions").cast("long")
     return rows.select("conv_id", "turn", "n", k.alias("masked"), F.round("m.p", 9).alias("p"), F.round(loss_weight(k, "square") / F.col("m.p"), 9).alias("weight"))
+
+
+IMAGES_FIRST = f"""WITH m AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' ELSE role END AS f, replace(text, '. ', '<image>') AS t FROM conversations),
+    e AS (SELECT conv_id, turn, f, CASE WHEN f = 'human' THEN {duck_strip("replace(t, '<image>', '')")} ELSE t END AS t FROM m WHERE f = 'gpt' OR f = 'human' AND {duck_strip("replace(t, '<image>', '')")} <> '')"""
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as one row each; a conversation is a row of the sources that this stands for."""
+    who = F.when(F.col("role") == "user", "human").when(F.col("role") == "assistant", "gpt").otherwise(F.col("role"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", who.alias("from"), F.replace("text", F.lit(". "), F.lit("<image>")).alias("value")).alias("t"))
+    return rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+
+
+@query(f"""{IMAGES_FIRST} SELECT conv_id, count(*) + 2 AS n, sum((f = 'gpt')::INT)::BIGINT AS n_loss, md5(string_agg(t, '|' ORDER BY turn)) AS digest FROM e GROUP BY conv_id""")
+def images_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = turns(spark, sf_dir).select("conv_id", E.images_first(F.col("turns"), 2).alias("e"))
+    texts = F.transform(F.filter("e", lambda x: x["type"] == "text"), lambda x: x["text"])
+    return rows.select("conv_id", F.size("e").cast("long").alias("n"), F.aggregate("e", F.lit(0).cast("long"), lambda a, x: a + x["has_loss"]).alias("n_loss"), F.md5(F.array_join(texts, "|")).alias("digest"))
+
+
+@query(f"""WITH h AS (SELECT page_id, page_id % 5 + 2 AS n FROM pages),
+    t AS (SELECT page_id, n, floor({duck_draw(6, 'edit/start', 'page_id')} * (n - 1))::BIGINT AS s FROM h),
+    e AS (SELECT *, s + 1 + floor({duck_draw(6, 'edit/end', 'page_id')} * (least(s + 3, n) - 1 - s))::BIGINT AS x, floor({duck_draw(6, 'edit/merge', 'page_id')} * 2) = 0 AS coin FROM t),
+    m AS (SELECT *, x - s > 1 AND coin AS merged FROM e)
+    SELECT page_id, s AS first, CASE WHEN merged AND x = n - 1 THEN x - 1 ELSE x END AS last, merged FROM m""")
+def edit_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = E.trajectory((F.col("page_id") % 5 + 2).cast("long"), 6, "page_id")
+    return table(spark, sf_dir, "pages").select("page_id", t.alias("t")).select("page_id", F.col("t.start").alias("first"), F.col("t.end").alias("last"), F.col("t.merged").alias("merged"))
+
+
+@query(f"""WITH {TAGGED}, {ELEMENTS} SELECT conv_id, sum(({duck_draw(2, 'dropout', 'conv_id', 'turn', '0')} < 0.3)::INT)::BIGINT AS texts, sum(({duck_draw(2, 'dropout', 'conv_id', 'turn', '1')} < 0.4)::INT)::BIGINT AS rope FROM el GROUP BY conv_id""")
+def guidance_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text and an image for each message; a dropped image still makes a step."""
+    item = lambda kind: F.struct(F.lit(kind).alias("type"), F.lit(1).alias("enable_cfg"))
+    kept = E.kept_items(F.array(item("text"), item("vit_image")), 0.3, 0.4, 0.1, 2, "conv_id", "turn")
+    rows = E.flat_elements(tagged(spark, sf_dir)).select("conv_id", F.explode(kept).alias("k"))
+    dropped_text = (F.col("k.dropped") & (F.col("k.item.type") == "text")).cast("long")
+    return rows.groupBy("conv_id").agg(F.sum(dropped_text).alias("texts"), F.sum("k.rope").cast("long").alias("rope"))
+
+
+@query(f"""{SEGMENTS}, s AS (SELECT conv_id, split_ord, len, sum(len) OVER (PARTITION BY conv_id ORDER BY split_ord) AS e FROM seg),
+    t AS (SELECT conv_id, split_ord // 2 AS sample_ord, max(e) AS e FROM s GROUP BY ALL)
+    SELECT s.conv_id, s.split_ord, s.len, min(t.sample_ord)::INT AS sample_ord FROM s JOIN t ON t.conv_id = s.conv_id AND t.e >= s.e GROUP BY ALL""")
+def split_regroup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Splits of a flat list given back to samples of two splits each."""
+    from ..operators.gathers import regrouped
+
+    segs = segments(spark, sf_dir).select("conv_id", "split_ord", "len")
+    samples = segs.groupBy("conv_id", F.floor(F.col("split_ord") / 2).cast("int").alias("sample_ord")).agg(F.sum("len").alias("length"))
+    return regrouped(segs, samples, "conv_id")
