@@ -31,11 +31,20 @@ def combined(terms: dict[str, float]) -> Column:
     return out
 
 
+#: Query vectors in a block; one block is broadcast.
+BLOCK = 1024
+
+
 def cosine_to_queries(rows: DataFrame, queries: DataFrame, key: str, vector: str) -> DataFrame:
-    """q, key, cosine of every row with a stated set of queries. The queries' side is small by its statement: they are broadcast in
-    one array, and each row meets all of them where it was read."""
-    side = queries.select(F.struct(F.col(key).alias("q"), F.col(vector).alias("v"), norm(F.col(vector)).alias("n")).alias("s")).agg(F.collect_list("s").alias("side"))
-    met = rows.select(key, vector, norm(F.col(vector)).alias("n")).join(F.broadcast(side)).select(key, vector, "n", F.explode("side").alias("s"))
+    """q, key, cosine of every row with a stated set of queries.
+
+    The queries are put in blocks of about BLOCK vectors. A single block is broadcast, so each row meets it where it was
+    read; with more, each row is dealt to every block, and no task holds more than some blocks.
+    """
+    blocks = -(-queries.count() // BLOCK)
+    side = queries.select(F.pmod(F.xxhash64(key), F.lit(max(blocks, 1))).alias("block"), F.struct(F.col(key).alias("q"), F.col(vector).alias("v"), norm(F.col(vector)).alias("n")).alias("s")).groupBy("block").agg(F.collect_list("s").alias("side"))
+    dealt = rows.select(key, vector, norm(F.col(vector)).alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(blocks, 1) - 1).cast("long"))).alias("block"))
+    met = dealt.join(F.broadcast(side) if blocks <= 1 else side, "block").select(key, vector, "n", F.explode("side").alias("s"))
     return met.select(F.col("s.q").alias("q"), key, (dot(F.col(vector), F.col("s.v")) / (F.col("n") * F.col("s.n"))).alias("cosine"))
 
 
