@@ -82,3 +82,20 @@ def frame_deltas(frames: DataFrame, keys: list[str], index: str) -> DataFrame:
     """keys, index, delta to the next frame (null on the last), is_first, is_last."""
     w = Window.partitionBy(*keys).orderBy(index)
     return frames.select(*keys, index, (F.lead(index).over(w) - F.col(index)).alias("delta"), F.lag(index).over(w).isNull().alias("is_first"), F.lead(index).over(w).isNull().alias("is_last"))
+
+
+def request_contexts(events: DataFrame, key: str, order: str) -> DataFrame:
+    """key, and cache and rope lengths of a request's three contexts, from its ordered texts and images (kind, n).
+
+    Full: all of them. Without text: as it was in front of the latest text, or behind an image that follows it. Without images: the
+    texts alone. One shuffle.
+    """
+    rope = F.when(F.col("kind") == "image", F.lit(1)).otherwise(F.col("n") + 2)
+    last = F.max(order).over(Window.partitionBy(key)) == F.col(order)
+    rows = events.select(key, (F.col("n") + 2).alias("kv"), rope.alias("rope"), (F.col("kind") == "text").alias("is_text"), (last & (F.col("kind") == "text")).alias("newest"))
+    total = lambda c, keep: F.sum(F.when(keep, F.col(c)).otherwise(0)).cast("long")
+    every = F.lit(True)
+    return rows.groupBy(key).agg(
+        total("kv", every).alias("kv"), total("rope", every).alias("rope"), total("kv", ~F.col("newest")).alias("kv_no_text"), total("rope", ~F.col("newest")).alias("rope_no_text"),
+        total("kv", F.col("is_text")).alias("kv_no_image"), total("rope", F.col("is_text")).alias("rope_no_image"),
+    )

@@ -293,3 +293,12 @@ def split_regroup(spark: SparkSession, sf_dir: str) -> DataFrame:
     segs = segments(spark, sf_dir).select("conv_id", "split_ord", "len")
     samples = segs.groupBy("conv_id", F.floor(F.col("split_ord") / 2).cast("int").alias("sample_ord")).agg(F.sum("len").alias("length"))
     return regrouped(segs, samples, "conv_id")
+
+
+@query(f"""WITH {TAGGED}, {ELEMENTS}, {STATS}, v AS (SELECT conv_id, turn, n, has_loss = 0 AS is_text, turn = max(turn) OVER (PARTITION BY conv_id) AND has_loss = 0 AS newest, CASE WHEN has_loss = 1 THEN 1 ELSE n + 2 END AS step FROM items)
+    SELECT conv_id, sum(n + 2)::BIGINT AS kv, sum(step)::BIGINT AS rope, sum(CASE WHEN newest THEN 0 ELSE n + 2 END)::BIGINT AS kv_no_text, sum(CASE WHEN newest THEN 0 ELSE step END)::BIGINT AS rope_no_text,
+        sum(CASE WHEN is_text THEN n + 2 ELSE 0 END)::BIGINT AS kv_no_image, sum(CASE WHEN is_text THEN step ELSE 0 END)::BIGINT AS rope_no_image FROM v GROUP BY conv_id""")
+def request_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions stand for texts, answers for images."""
+    items = E.flat_elements(tagged(spark, sf_dir)).withColumn("n", T.n_tokens(F.col("text"))).where("n > 0")
+    return L.request_contexts(items.withColumn("kind", F.when(F.col("has_loss") == 1, "image").otherwise("text")), "conv_id", "turn")
