@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import column, map_arrow, slices
 
@@ -190,7 +191,7 @@ def packet_table(df: DataFrame, content: str, key: str) -> DataFrame:
     """key and one row a packet of the files in a binary column.
 
     A null or empty file has no packets; a malformed one has one row with the error and no packet. Rows with equal
-    keys are files of their own. Other columns are left out. A task holds one Arrow batch of files and their packets.
+    keys are files of their own. A key named like a packet's column gets `_key` behind its name. Other columns are left out. A task holds one Arrow batch of files and their packets.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -207,8 +208,10 @@ def packet_table(df: DataFrame, content: str, key: str) -> DataFrame:
                     out = dict(zip(("packet", "track", "timestamp_ms", "key_frame", "first_byte", "length", "error"), map(list, zip(*rows, strict=True)), strict=True))
                     yield out | {key: pa.array([keys[i].as_py()] * len(rows), keys.type)}
 
-    kind = dict(df.dtypes)[key]
-    return map_arrow(df.select(key, content), run, f"`{key}` {kind}, {PACKETS}")
+    kind, name = dict(df.dtypes)[key], key
+    if f" {key} " in f" {PACKETS}".replace(",", ""):
+        key = f"{key}_key"
+    return map_arrow(df.select(F.col(name).alias(key), content), run, f"`{key}` {kind}, {PACKETS}")
 
 
 def media(docs: DataFrame) -> DataFrame:

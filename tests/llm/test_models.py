@@ -165,10 +165,10 @@ def test_media(spark, docs, none):
         want.append((r[0], len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(file), hashlib.sha256(file).hexdigest()))
     assert got == sorted(want, key=str)
     assert matroska.media(none).count() == 0
-    files = spark.createDataFrame([(1, matroska.mux(b"ab" * 96 * 700), "x"), (2, b"", "x"), (3, None, "x"), (4, b"\x1a\x45junk", "x"), (1, matroska.mux(b"c" * 192), "x")], "track long, f binary, error string").withColumnRenamed("track", "id")
-    rows_ = matroska.packet_table(files, "f", "id").collect()
-    assert collections.Counter(r["id"] for r in rows_) == {1: 701, 4: 1}
-    assert [r["timestamp_ms"] for r in rows_ if r["id"] == 1][:3] in ([0.0, 0.0, 0.0], [0.0], [0.0, 0.0, 24.0])
+    files = spark.createDataFrame([(1, matroska.mux(b"ab" * 96 * 700), "x"), (2, b"", "x"), (3, None, "x"), (4, b"\x1a\x45junk", "x"), (1, matroska.mux(b"c" * 192), "x")], "track long, f binary, error string")
+    rows_ = matroska.packet_table(files, "f", "track").collect()
+    assert collections.Counter(r["track_key"] for r in rows_) == {1: 701, 4: 1}
+    assert [r["timestamp_ms"] for r in rows_ if r["track_key"] == 1][:3] in ([0.0, 0.0, 0.0], [0.0], [0.0, 0.0, 24.0])
 
 
 def block(kind, frames, head):
