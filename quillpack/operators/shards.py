@@ -61,8 +61,8 @@ def picked(rows: DataFrame, weights: dict[str, float], seed: int, *keys: Column
 
 
 def after(rows: DataFrame, saved: tuple[int, ...], *position: str) -> DataFrame:
-    """Rows behind a saved position; positions compare from left to right."""
-    return rows.where(F.struct(*position) > F.struct(*(F.lit(x).cast("long").alias(p) for x, p in zip(saved, position, strict=True))))
+    """Rows behind a saved position; positions compare from left to right. The first part alone is said again, for the scan to skip by."""
+    return rows.where(F.col(position[0]) >= saved[0]).where(F.struct(*position) > F.struct(*(F.lit(x).cast("long").alias(p) for x, p in zip(saved, position, strict=True))))
 
 
 def offsets(rows: DataFrame, keys: list[str], consumed: str, *position: str) -> DataFrame:
@@ -73,3 +73,8 @@ def offsets(rows: DataFrame, keys: list[str], consumed: str, *position: str) ->
 def latest(names: DataFrame, name: str) -> DataFrame:
     """The checkpoint directory of the greatest number."""
     return names.where(F.col(name).rlike(r"^\d+$")).agg(F.max_by(name, F.col(name).cast("long")).alias(name))
+
+
+def epochs(rows: DataFrame, n: int, first: int = 0) -> DataFrame:
+    """n passes over the same rows in the same order; epoch counts from `first`."""
+    return rows.withColumn("epoch", F.explode(F.sequence(F.lit(first), F.lit(first + n - 1))))

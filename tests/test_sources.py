@@ -134,3 +134,19 @@ def test_gathers(spark):
     beams = spark.createDataFrame([(0, "x"), (1, "y")], "beam int, v string")
     assert sorted((r["place"], r["v"]) for r in G.reordered(beams, spark.createDataFrame([(0, 1), (1, 1)], "place int, beam int"), "beam", "place").collect()) == [(0, "y"), (1, "y")]
     assert sorted((r["branch"], r["p"]) for r in G.doubled(spark.createDataFrame([(0,), (1,)], "p int"), "p", 2).collect()) == [(0, 0), (0, 1), (1, 2), (1, 3)]
+
+
+def test_offsets_go_on_where_they_were_saved(spark, tmp_path):
+    from quillpack.operators.shards import after, epochs
+    from quillpack.sources.sinks import read_offsets, write_offsets
+
+    path = str(tmp_path / "offsets")
+    assert read_offsets(spark, path) is None
+    for step, row in ((9, 3), (10, 5)):
+        where = write_offsets(spark.createDataFrame([("a", 0, row)], "dataset string, worker int, row long"), path, step)
+        assert where.endswith(f"{step:07d}")
+    saved, step = read_offsets(spark, path)
+    assert [tuple(r) for r in saved.collect()] == [("a", 0, 5)] and step == 11
+    rows = spark.createDataFrame([(f, r) for f in range(2) for r in range(8)], "file long, row long")
+    assert sorted(map(tuple, after(rows, (0, 5), "file", "row").collect())) == [(0, 6), (0, 7)] + [(1, r) for r in range(8)]
+    assert sorted(r["epoch"] for r in epochs(rows.limit(1), 3).collect()) == [0, 1, 2]
