@@ -13,7 +13,6 @@ travel with the code; of the others, each blob of some MB of texts asks every bu
 
 from __future__ import annotations
 
-import heapq
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -115,7 +114,7 @@ def token_counts(train: DataFrame, buckets: int) -> DataFrame:
 
 
 class Head(NamedTuple):
-    """The most frequent tokens: place (from 1), and by place the count and the class (0: other; 1: end)."""
+    """The most frequent tokens, as many sizes of counts as HEAD has room for: place (from 1), and by place the count and the class (0: other; 1: end)."""
 
     place: dict[bytes, int]
     counts: np.ndarray
@@ -138,17 +137,35 @@ class Head(NamedTuple):
         return float(self.by_class()[0] + 0.1 * (others + 1))
 
 
+def size_of(counts: np.ndarray) -> np.ndarray:
+    return np.floor(np.log2(np.maximum(counts, 1)) * 64).astype("i4")
+
+
 def head(counts: DataFrame, most: int = HEAD, vocabulary: int = VOCABULARY) -> Head:
     total = counts.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("v")).first()
 
+    # how many tokens have a count of each size (64 sizes to a doubling): what comes back is bounded by the number of sizes
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                k, n = np.unique(size_of(unpacked(row["counts"])), return_counts=True)
+                yield {"k": k, "n": n}
+
+    least, kept = None, 0
+    for k, n in map(tuple, map_arrow(counts, sizes, "k int, n long").groupBy("k").agg(F.sum("n")).orderBy(F.desc("k")).collect()):
+        if kept + n > most:
+            break
+        least, kept = k, kept + n
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for row in batch.to_pylist():
-                pairs = zip(unpacked(row["counts"]).tolist(), unpacked_words(row["words"]), strict=True)
-                top = heapq.nsmallest(most, ((-c, w) for c, w in pairs if c > 1 or total["v"] <= most))
-                yield {"w": [w for _, w in top], "c": [-c for c, _ in top]}
+                c, words = unpacked(row["counts"]), unpacked_words(row["words"])
+                at = np.flatnonzero(size_of(c) >= least)
+                yield {"w": [words[i] for i in at.tolist()], "c": c[at]}
 
-    top = [(bytes(r["w"]), r["c"]) for r in map_arrow(counts, run, "w binary, c long").orderBy(F.desc("c"), "w").limit(most).collect()]
+    # at most `most` rows in all
+    top = sorted(((bytes(r["w"]), r["c"]) for r in map_arrow(counts, run, "w binary, c long").collect()), key=lambda x: (-x[1], x[0])) if least is not None else []
     ends = next((c for w, c in top if w == END), 0)
     words = [x for x in top if x[0] != END]
     place = {END: 1} | {w: i + 2 for i, (w, _) in enumerate(words)}
