@@ -405,3 +405,7 @@ def text_scores(docs: DataFrame, held_out: str) -> DataFrame:
 
     # merged at every size: what is looked up grows with the input, so it is never broadcast
     return map_arrow(scored.hint("merge").join(looked_up(scored, counts, buckets), "blob", "left"), finish, RESULT)
+
+
+def forget() -> None:
+    _tables.clear()

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import shutil
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -57,12 +61,31 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
+_owner = ""
+
+
+def forget_others(owner: str) -> None:
+    """In a reused worker: what another operator's module remembers is dropped, and its memory given back."""
+    global _owner
+    if owner == _owner:
+        return
+    _owner = owner
+    for name, module in list(sys.modules.items()):
+        if name.startswith(f"{__package__}.") and hasattr(module, "forget"):
+            module.forget()
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], ddl: str) -> DataFrame:
     """mapInArrow whose function yields dicts of columns."""
 
     schema = arrow_schema(ddl)
+    owner = f.__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(owner)
         for out in f(batches):
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t.type) for t, x in ((t, out[t.name]) for t in schema)], schema=schema)
 

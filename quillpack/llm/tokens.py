@@ -17,7 +17,7 @@ from functools import lru_cache
 import regex
 
 #: Pieces, and words, that a worker remembers: those met first, the frequent ones among them. More are encoded anew.
-REMEMBERED, WORDS = 800_000, 200_000
+REMEMBERED, WORDS = 600_000, 150_000
 INNER = re.compile("(?: (?<=[^\\s᠎] )(?=[^\\s᠎]))")
 MARKS = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 
@@ -109,3 +109,7 @@ class PieceEncoder:
 def encoder(path: str) -> PieceEncoder:
     """One encoder per file and worker process."""
     return PieceEncoder(path)
+
+
+def forget() -> None:
+    encoder.cache_clear()

@@ -244,3 +244,7 @@ def compiled(path: str) -> Transducer:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     n = model.get_piece_size()
     return Transducer({model.id_to_piece(i): model.get_score(i) for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))})
+
+
+def forget() -> None:
+    compiled.cache_clear()
