@@ -204,3 +204,51 @@ def test_only_dataframe_functions(spark, docs):
 
 def test_extra_columns_are_kept_apart():
     assert len(COLUMNS.split(",")) == 5 + len(EXTRA)
+
+
+def similar_groups(sets):
+    """Classes of sets at a similarity of 0.8 or more, by brute force."""
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if x == sets[j] or len(x & sets[j]) >= 0.8 * len(x | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(sets))]
+
+
+def test_near_dedup_reaches_similarity(spark):
+    """Texts with words changed until under 0.8, and chains of them; fingerprints differ by more than 3 bits."""
+    import corpus_pipeline
+
+    rnd = random.Random(31)
+    texts = []
+    for _ in range(25):
+        w = prose(rnd, 120, [f"v{i}" for i in range(2000)]).split(" ")
+        texts.append(" ".join(w))
+        for _ in range(6):
+            if rnd.random() < 0.5:
+                w = w.copy()
+            for _ in range(rnd.randrange(1, 4)):
+                w[rnd.randrange(len(w))] = f"new{rnd.randrange(10**6)}"
+            texts.append(" ".join(w))
+    hot = prose(rnd, 150, [f"h{i}" for i in range(2000)]).split(" ")
+    for k in range(80):
+        w = hot.copy()
+        w[k] = f"other{k}"
+        texts.append(" ".join(w))
+    texts += ["", None, " ", "One two", "one  TWO", texts[3]]
+    rnd.shuffle(texts)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (words((t or "").lower()) for t in texts)]
+    g = similar_groups(sets)
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    out = corpus_pipeline.near_dedup(spark, df, "")
+    assert out.columns == df.columns
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted(set(g))
+    assert len(set(g)) < len(set(groups([fingerprint(t) for t in texts])))
