@@ -4,15 +4,19 @@ Each window of 2048 tokens is filled from one queue per source. A round adds to
 window and serves packets while the deficit is positive; what a packet overdraws is carried to the next window. The
 packets of a window thus keep target proportions up to one packet a source, at every prefix of the output.
 
-Work is cut into bundles: runs of whole documents, as they are read, with some MB of ids. A bundle is packed by
-itself and knows the deficits that all bundles before it leave, since what they hold of each source is known from
-their counts: deficits carry across windows, bundles and partitions. Windows are full; a bundle's rest is cut into
-sequences whose lengths are powers of two, which need no padding. All ids are packed, so a target that differs from the corpus'
-own proportions holds as long as each source lasts.
+Documents are encoded where they are read, in blobs. The queue of a source is its documents in the order of tasks, blobs and rows,
+so the counts of blobs place every id in its queue. The output is cut into bundles of BUNDLE ids, and what a
+bundle holds of each queue is what its targets give up to there: sources advance at the rate of their shares until they end, and
+sources without a share follow when all others have ended. Blobs are cut at these places and their cuts dealt to the bundles, so a
+bundle is on target whatever order or files the input has; documents that cross a cut go on in the next bundle.
+A bundle is packed by itself. Windows are full; a bundle's rest is cut into sequences whose lengths are powers of two,
+which need no padding. All ids are packed, so a target that differs from the corpus' own proportions holds as long as each source lasts.
+The driver and each task hold a row for each source.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -26,16 +30,19 @@ from .common import column, map_arrow, materialise, slices
 from .tokens import encoder
 
 WINDOW, GRAIN = 2048, 512
-#: Ids in a bundle; a longer document is a bundle by itself.
+#: Ids in a blob, where a longer document is one by itself, and in a bundle.
 BUNDLE = 1 << 21
+#: Ids in one cut that is dealt.
+CUT = 1 << 17
 BUNDLES = "task int, bundle int, doc_ids array<long>, sources array<string>, lengths array<long>, before map<string,long>, wide boolean, ids binary"
+CUTS = "target long, source string, at long, doc_ids array<long>, starts array<long>, lengths array<long>, doc_tokens array<long>, wide boolean, ids binary"
 PIECES = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length int"
 #: Rows of the carried deficits that may be broadcast.
 CARRY_ROWS = 100_000
 
 
 def bundles(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = BUNDLE) -> DataFrame:
-    """Documents' ids, end_id behind each, as bundles of about size ids; before: ids of each source earlier in the task. No shuffle."""
+    """Documents' ids, end_id behind each, as blobs of about size ids; before: ids of each source earlier in the task. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         task, made, total = TaskContext.get().partitionId(), 0, 0
@@ -130,45 +137,113 @@ def schedule(sources: list[str], lengths: list[int], share: dict[str, float], de
         sequence += 1
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, target: dict[str, float] | None = None, window: int = WINDOW, grain: int = GRAIN) -> DataFrame:
-    """Pieces of all documents. target: weights of sources; by default each source's part of all tokens.
+def rates(held: dict[str, int], target: dict[str, float] | None, size: int) -> tuple[dict[str, float], dict[str, float], np.ndarray]:
+    """Each source's rate and start, and the times at which bundles of size ids are full; the last is endless.
+
+    By a time t a source of n ids has given min(n, rate * (t - start)). held: ids of each source.
+    """
+    if not held:
+        return {}, {}, np.array([np.inf])
+    share = {s: float(n) for s, n in held.items()} if target is None else {s: max(0.0, target.get(s, 0.0)) for s in held}
+    total = sum(share.values())
+    rate = {s: x / total for s, x in share.items() if x > 0}
+    last = max((held[s] / rate[s] for s in rate), default=0.0)
+    start = {s: 0.0 if s in rate else last for s in held}
+    rate = {s: rate.get(s, 1.0) for s in held}
+    when = np.array([[*start.values()], [start[s] + n / rate[s] for s, n in held.items()]]).ravel()
+    turn = np.array([[*rate.values()], [-x for x in rate.values()]]).ravel()
+    order = np.argsort(when, kind="stable")
+    when, slope = when[order], turn[order].cumsum()
+    given = np.r_[0.0, (slope[:-1] * np.diff(when)).cumsum()]
+    count = -(-sum(held.values()) // size)
+    return rate, start, np.r_[np.interp(np.arange(1, count) * float(size), given, when), np.inf]
+
+
+def cuts(made: DataFrame, held: dict[str, int], rate: dict[str, float], start: dict[str, float], times: np.ndarray) -> DataFrame:
+    """Blobs (with served, the ids of each source in earlier tasks) cut by source and bundle; at: the place in the source's queue."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for row in itertools.chain.from_iterable(map(as_rows, batches)):
+            served, before = dict(row["served"]), dict(row["before"])
+            flat = np.frombuffer(row["ids"], "<u4" if row["wide"] else "<u2")
+            lengths = np.array(row["lengths"], "i8")
+            begins = lengths.cumsum() - lengths
+            queues: dict[str, list[int]] = {}
+            for i, s in enumerate(row["sources"]):
+                queues.setdefault(s, []).append(i)
+            for s, queue in queues.items():
+                ends = np.minimum(float(held[s]), rate[s] * np.maximum(0.0, times - start[s])).astype("i8")
+                at = served[s] + before.get(s, 0)
+                made_at, out, size = at, [], 0
+                k = int(np.searchsorted(ends, at, "right"))
+                for i in queue:
+                    done, n = 0, int(lengths[i])
+                    while done < n:
+                        take = min(n - done, int(ends[k]) - at, CUT - size)
+                        out.append((row["doc_ids"][i], done, take, n, int(begins[i]) + done))
+                        done, at, size = done + take, at + take, size + take
+                        if at == ends[k] or size == CUT:
+                            yield packet(k, s, made_at, out, flat, row["wide"])
+                            made_at, out, size = at, [], 0
+                            if at == ends[k]:
+                                k = int(np.searchsorted(ends, at, "right"))
+                if out:
+                    yield packet(k, s, made_at, out, flat, row["wide"])
+
+    def packet(k: int, s: str, at: int, out: list[tuple], flat: np.ndarray, wide: bool) -> dict:
+        keys, starts, lengths, tokens, begins = map(list, zip(*out, strict=True))
+        ids = np.concatenate([flat[b : b + n] for b, n in zip(begins, lengths, strict=True)]).tobytes()
+        return {"target": [k], "source": [s], "at": [at], "doc_ids": [keys], "starts": [starts], "lengths": [lengths], "doc_tokens": [tokens], "wide": [wide], "ids": [ids]}
+
+    return map_arrow(made.select("doc_ids", "sources", "lengths", "before", "wide", "ids", "served"), run, CUTS)
+
+
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, target: dict[str, float] | None = None, window: int = WINDOW, grain: int = GRAIN, size: int = BUNDLE) -> DataFrame:
+    """Pieces of all documents; sequence_id is in the order of the output. target: weights of sources; by default each source's part of all tokens.
 
     A null text is empty (its end id alone is packed), a null source is a source of its own, repeated rows are
     documents of their own, an empty table has no pieces, other columns are left out.
     """
     made = bundles(docs, tokenizer, end_id)
-    spark = docs.sparkSession
-    held = made.select("task", F.explode(F.arrays_zip("sources", "lengths")).alias("x")).groupBy("task", F.col("x.sources").alias("source")).agg(F.sum("x.lengths").alias("n"))
-    by_source = held.groupBy("source").agg(F.sum("n").alias("n"))
-    if target is None:
-        share = by_source.select("source", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("share"))
-    else:
-        total = sum(target.values()) or 1.0
-        share = by_source.select("source").join(F.broadcast(spark.createDataFrame([(k, v / total) for k, v in target.items()], "source string, share double")), "source", "left").fillna(0.0)
-    tasks = held.groupBy("task").agg(F.sum("n").alias("n"))
-    tasks = tasks.select("task", (F.sum("n").over(Window.orderBy("task")) - F.col("n")).alias("earlier"))
-    served = held.select("task", "source", (F.sum("n").over(Window.partitionBy("source").orderBy("task")) - F.col("n")).alias("served"))
-    carry = served.join(tasks, "task").join(share, "source").groupBy("task").agg(F.map_from_entries(F.collect_list(F.struct("source", (F.col("share") * F.col("earlier") - F.col("served")).alias("owed")))).alias("owed"), F.map_from_entries(F.collect_list(F.struct("source", "share"))).alias("share"))
-    carry = materialise(carry, "carry")
-    carry = F.broadcast(carry) if held.count() <= CARRY_ROWS else carry
+    own = made.select("task", F.explode(F.arrays_zip("sources", "lengths")).alias("x")).groupBy("task", F.col("x.sources").alias("source")).agg(F.sum("x.lengths").alias("n"))
+    own = materialise(own, "held")
+    held = {r["source"]: r["n"] for r in own.groupBy("source").agg(F.sum("n").alias("n")).orderBy("source").collect()}
+    rate, start, times = rates(held, target, max(1, size // window) * window)
+    carry = own.select("task", "source", (F.sum("n").over(Window.partitionBy("source").orderBy("task")) - F.col("n")).alias("served"))
+    carry = materialise(carry.groupBy("task").agg(F.map_from_entries(F.collect_list(F.struct("source", "served"))).alias("served")), "carry")
+    carry = F.broadcast(carry) if own.count() <= CARRY_ROWS else carry
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                share, before = dict(row["share"]), dict(row["before"])
-                earlier = sum(before.values())
-                owed = {s: x + share.get(s, 0.0) * earlier - before.get(s, 0) for s, x in dict(row["owed"]).items()}
-                ids = memoryview(np.frombuffer(row["ids"], "<u4" if row["wide"] else "<u2").astype("<u4").tobytes())
-                starts = np.cumsum([0, *row["lengths"]]).tolist()
-                base = (row["task"] << 40) | (row["bundle"] << 24)
-                out = list(schedule(row["sources"], row["lengths"], share, owed, window, grain))
-                if not out:
-                    continue
-                doc, start, length, sequence, offset, size = map(list, zip(*out, strict=True))
-                yield {
-                    "doc_id": [row["doc_ids"][i] for i in doc], "source": [row["sources"][i] for i in doc], "start": start, "length": length,
-                    "ids_crc32": [zlib.crc32(ids[4 * (starts[i] + a) : 4 * (starts[i] + a + n)]) for i, a, n in zip(doc, start, length, strict=True)],
-                    "doc_tokens": [row["lengths"][i] for i in doc], "sequence_id": [base + k for k in sequence], "offset": offset, "sequence_length": size,
-                }
-
-    return map_arrow(made.join(carry, "task").select("task", "bundle", "doc_ids", "sources", "lengths", "before", "wide", "ids", "owed", "share"), run, PIECES)
+        rows = itertools.chain.from_iterable(map(as_rows, batches))
+        for bundle, packets in itertools.groupby(rows, lambda row: row["target"]):
+            sources: list[str] = []
+            keys: list[int] = []
+            begins: list[int] = []
+            lengths: list[int] = []
+            tokens: list[int] = []
+            flat: list[bytes] = []
+            for row in packets:
+                sources += [row["source"]] * len(row["doc_ids"])
+                keys += row["doc_ids"]
+                begins += row["starts"]
+                lengths += row["lengths"]
+                tokens += row["doc_tokens"]
+                flat.append(np.frombuffer(row["ids"], "<u4" if row["wide"] else "<u2").astype("<u4").tobytes())
+            ids = memoryview(b"".join(flat))
+            starts = np.cumsum([0, *lengths]).tolist()
+            share = {s: rate[s] for s in set(sources) if not start[s]}
+            doc, first, length, sequence, offset, full = map(list, zip(*schedule(sources, lengths, share, {}, window, grain), strict=True))
+            yield {
+                "doc_id": [keys[i] for i in doc], "source": [sources[i] for i in doc], "start": [begins[i] + a for i, a in zip(doc, first, strict=True)], "length": length,
+                "ids_crc32": [zlib.crc32(ids[4 * (starts[i] + a) : 4 * (starts[i] + a + n)]) for i, a, n in zip(doc, first, length, strict=True)],
+                "doc_tokens": [tokens[i] for i in doc], "sequence_id": [(bundle << 24) + k for k in sequence], "offset": offset, "sequence_length": full,
+            }
+
+    dealt = cuts(made.join(carry, "task"), held, rate, start, times)
+    return map_arrow(dealt.repartition("target").sortWithinPartitions("target", "source", "at"), run, PIECES)
+
+
+def as_rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """One at a time."""
+    for i in range(len(batch)):
+        yield batch.slice(i, 1).to_pylist()[0]

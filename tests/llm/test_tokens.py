@@ -136,3 +136,35 @@ def test_counts_equal_the_library(docs, none):
     got = sorted((r["doc_id"] or 0, r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in count_tokens(docs, PIECE, 50).collect())
     assert got == sorted((r[0] or 0, len((r[1] or "").encode()), (n := len(model.encode(r[1] or ""))), n > 50) for r in rows())
     assert count_tokens(none, PIECE).count() == 0
+
+
+@pytest.mark.parametrize("target", [None, {"a": 3.0, "b": 1.0}])
+def test_mixture_of_input_sorted_by_source(spark, target):
+    """A task for each source, and a document longer than a bundle."""
+    rnd = random.Random(7)
+    text = lambda n: " ".join(rnd.choice(["one", "two", "three"]) for _ in range(n))
+    sizes = [("a", 300)] * 120 + [("b", 200)] * 200 + [("c", 30000)] + [("c", 10)] * 40
+    own = [(i, s, text(n)) for i, (s, n) in enumerate(sizes)]
+    df = spark.createDataFrame(own, "doc_id long, source string, text string").repartitionByRange(3, "source")
+    for size in ({}, {"size": 16384}):
+        pieces = sorted(pack(df, BPE, 1, target, **size).collect(), key=lambda p: (p["sequence_id"], p["offset"]))
+        whole, parts = collections.Counter(), collections.defaultdict(list)
+        for p in pieces:
+            whole[p["source"]] += p["length"]
+            parts[p["doc_id"]].append(p)
+        for i, ps in parts.items():
+            ids, at = np.append(library([own[i][2]])[0], 1).astype("<u4") if i % 50 == 0 else None, 0
+            for p in sorted(ps, key=lambda p: p["start"]):
+                assert p["start"] == at
+                assert ids is None or p["ids_crc32"] == zlib.crc32(ids[at : at + p["length"]].tobytes())
+                at += p["length"]
+            assert at == ps[0]["doc_tokens"]
+        assert set(parts) == set(range(len(sizes)))
+        share = {s: n / whole.total() for s, n in whole.items()} if target is None else {"a": 0.75, "b": 0.25, "c": 0.0}
+        lasts = min(whole[s] / share[s] for s in "abc" if share[s])
+        seen, n = collections.Counter(), 0
+        for p in pieces:
+            seen[p["source"]] += p["length"]
+            n += p["length"]
+            if n <= lasts - 8192:
+                assert all(abs(seen[s] - share[s] * n) < 2 * 512 + 2048 for s in "abc")
