@@ -252,3 +252,11 @@ def test_near_dedup_reaches_similarity(spark):
     assert out.columns == df.columns
     assert sorted(r["doc_id"] for r in out.collect()) == sorted(set(g))
     assert len(set(g)) < len(set(groups([fingerprint(t) for t in texts])))
+
+
+def test_rows_of_one_doc_id_in_different_components_stay(spark):
+    import corpus_pipeline
+
+    df = spark.createDataFrame([(1, "one text of its own here"), (1, "quite another text that is no copy"), (1, "one text of its own here"), (2, "quite another text that is no copy"), (None, "no id")], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.near_dedup(spark, df, "").collect())
+    assert got == [(0, "no id"), (1, "one text of its own here"), (1, "quite another text that is no copy")]
