@@ -1,14 +1,15 @@
-"""Repeated passages: prefix-partitioned suffix trees over words.
+"""Repeated passages: sampled suffixes compared by hashes of two fixed depths.
 
-A passage of `window` words is removed wherever it starts twice or more, in one text or in several. The tree over all
-suffixes is written top down and only where it branches: a suffix that shares its prefix with no other is a leaf, hangs
-on its own and is never looked at again.
+A passage of `window` words is removed wherever it starts twice or more, in one text or in several. No suffix tree
+is built: of the tree over all suffixes, only whether a path branches at two depths is asked. A suffix that shares its prefix with no
+other is a leaf and is never looked at again.
 
 * First level: sampled suffixes. Every window holds a sampled position, the least of its `prefix`-word hashes, and equal windows
-  have it at equal places. The sampled suffixes are parted by their first `prefix` words into buckets of a size that a
-  task can hold; leaves are cut.
+  have it at equal places. The sampled suffixes are known by hashes of their first `prefix` words, which are dealt to
+  a fixed number of ranges; leaves are cut.
 * Second level: the windows over a sampled suffix that is no leaf, parted by their first `window` words. A path that two
-  suffixes share to that depth is a deep internal node: its windows repeat. Runs of them are the maximal repeats.
+  suffixes share to that depth is a deep internal node: its windows repeat. Runs of words under them are
+  the spans; maximal repeats, of one passage each, aren't told apart.
 
 Nodes are known by hashes of their path labels: 64 bits on the first level, where a false meeting only costs a look,
 128 on the second. Texts travel as blobs of some MB, compressed, with all their columns. A blob sends each distinct prefix once, with
@@ -193,7 +194,8 @@ def _bits(parts: list[dict] | None, keys: np.ndarray, buckets: int) -> np.ndarra
 def repeated_passages(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, clean: bool = False) -> DataFrame:
     """Each row's repeated passages.
 
-    doc_id, n_words, n_removed, kept_sha256, spans (first and last word of every maximal repeat); or, with clean, the
+    doc_id, n_words, n_removed, kept_sha256, spans (first and last word of every run of removed words; passages that
+    touch or overlap are one span, which needn't repeat as a whole); or, with clean, the
     columns of docs with the kept words, joined by one space, as text. Texts without a repeat are left as they are then.
     A null or empty text has no words and stays; repeated rows are texts of their own, so all their windows repeat; columns of other names
     pass through with clean. A task holds a blob, or a bucket.
