@@ -65,7 +65,7 @@ _owner = ""
 
 
 def forget_others(owner: str) -> None:
-    """In a reused worker: what another operator's module remembers is dropped, and its memory given back."""
+    """In a reused worker: what modules remember for another step is dropped, and its memory given back."""
     global _owner
     if owner == _owner:
         return
@@ -82,7 +82,7 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[di
     """mapInArrow whose function yields dicts of columns."""
 
     schema = arrow_schema(ddl)
-    owner = f.__module__
+    owner = f"{f.__module__}.{f.__qualname__}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_others(owner)

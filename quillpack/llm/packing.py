@@ -27,63 +27,67 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column, map_arrow, materialise, slices
-from .tokens import encoder
+from .tokens import ENCODED, encoder
 
 WINDOW, GRAIN = 2048, 512
-#: Ids in a blob, where a longer document is one by itself, and in a bundle.
-BUNDLE = 1 << 21
+#: Ids in a bundle, and in a blob, where a longer document is one by itself.
+BUNDLE, BLOB = 1 << 21, 1 << 17
 #: Ids in one cut that is dealt.
 CUT = 1 << 17
-BUNDLES = "task int, bundle int, doc_ids array<long>, sources array<string>, lengths array<long>, before map<string,long>, wide boolean, ids binary"
+BUNDLES = "task int, bundle int, doc_ids array<long>, sources array<string>, lengths array<long>, before array<struct<source:string,n:long>>, wide boolean, ids binary"
 CUTS = "target long, source string, at long, doc_ids array<long>, starts array<long>, lengths array<long>, doc_tokens array<long>, wide boolean, ids binary"
 PIECES = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length int"
 #: Rows of the carried deficits that may be broadcast.
 CARRY_ROWS = 100_000
 
 
-def bundles(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = BUNDLE) -> DataFrame:
+def bundles(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = BLOB) -> DataFrame:
     """Documents' ids, end_id behind each, as blobs of about size ids; before: ids of each source earlier in the task. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         task, made, total = TaskContext.get().partitionId(), 0, 0
-        end = np.array([end_id], "<u4").tobytes()
-        before: dict[str, int] = {}
-        ids: list[bytes] = []
+        before: dict[str | None, int] = {}
+        ids: list[np.ndarray] = []
         keys: list[int] = []
-        sources: list[str] = []
+        sources: list[str | None] = []
+        lengths: list[int] = []
 
         def flush() -> dict:
-            lengths = [len(x) // 4 for x in ids]
-            flat = np.frombuffer(b"".join(ids), "<u4")
+            flat = np.concatenate(ids)
             wide = bool(len(flat) and flat.max() > 0xFFFF)
-            out = {"task": [task], "bundle": [made], "doc_ids": [keys], "sources": [sources], "lengths": [lengths], "before": pa.array([list(before.items())], pa.map_(pa.string(), pa.int64())), "wide": [wide], "ids": [(flat if wide else flat.astype("<u2")).tobytes()]}
+            earlier = [{"source": s, "n": n} for s, n in before.items()]
+            out = {"task": [task], "bundle": [made], "doc_ids": [keys], "sources": [sources], "lengths": [lengths], "before": [earlier], "wide": [wide], "ids": [(flat if wide else flat.astype("<u2")).tobytes()]}
             for s, n in zip(sources, lengths, strict=True):
                 before[s] = before.get(s, 0) + n
             return out
 
         for batch in batches:
-            key, source = column(batch, "doc_id"), column(batch, "source")
-            for a, texts in slices(batch, limit=4 << 20):
-                for i, x in enumerate(encoder(tokenizer).encode(texts)):
-                    if ids and total + len(x) // 4 + 1 > size:
+            for a, texts in slices(batch, limit=ENCODED):
+                flat, counts = encoder(tokenizer).encode(texts, end_id)
+                own, origin, counts = (x.to_pylist() if isinstance(x, pa.Array) else x.tolist() for x in (column(batch, "doc_id").slice(a, len(texts)), column(batch, "source").slice(a, len(texts)), counts))
+                begin = at = i = 0
+                for k, n in enumerate(counts):
+                    if total and total + n > size:
+                        ids.append(flat[begin:at])
+                        keys, sources, lengths = keys + own[i:k], sources + [s or "" for s in origin[i:k]], lengths + counts[i:k]
                         yield flush()
-                        made, total, ids, keys, sources = made + 1, 0, [], [], []
-                    ids.append(x + end)
-                    keys.append(key[a + i].as_py())
-                    sources.append(source[a + i].as_py() or "")
-                    total += len(x) // 4 + 1
-        if ids:
+                        made, total, ids, keys, sources, lengths, begin, i = made + 1, 0, [], [], [], [], at, k
+                    at += n
+                    total += n
+                ids.append(flat[begin:])
+                keys, sources, lengths = keys + own[i:], sources + [s or "" for s in origin[i:]], lengths + counts[i:]
+        if lengths:
             yield flush()
 
     return materialise(map_arrow(docs.select("doc_id", "source", "text"), run, BUNDLES), "bundles")
 
 
-def schedule(sources: list[str], lengths: list[int], share: dict[str, float], deficit: dict[str, float], window: int = WINDOW, grain: int = GRAIN) -> Iterator[tuple[int, int, int, int, int, int]]:
+def schedule(sources: list[str | None], lengths: list[int], share: dict[str | None, float], deficit: dict[str | None, float], window: int = WINDOW, grain: int = GRAIN) -> Iterator[tuple[int, int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset, length of the sequence) of one bundle."""
-    queues: dict[str, list[int]] = {}
+    queues: dict[str | None, list[int]] = {}
     for i, s in enumerate(sources):
         queues.setdefault(s, []).append(i)
-    ring = sorted(queues)
+    ring = sorted(queues, key=lambda s: (s is not None, s or ""))
     for q in queues.values():
         q.reverse()
     owed = {s: deficit.get(s, 0.0) for s in ring}
@@ -164,11 +168,11 @@ def cuts(made: DataFrame, held: dict[str, int], rate: dict[str, float], start: d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for row in itertools.chain.from_iterable(map(as_rows, batches)):
-            served, before = dict(row["served"]), dict(row["before"])
+            served, before = ({x["source"]: x["n"] for x in row[c]} for c in ("served", "before"))
             flat = np.frombuffer(row["ids"], "<u4" if row["wide"] else "<u2")
             lengths = np.array(row["lengths"], "i8")
             begins = lengths.cumsum() - lengths
-            queues: dict[str, list[int]] = {}
+            queues: dict[str | None, list[int]] = {}
             for i, s in enumerate(row["sources"]):
                 queues.setdefault(s, []).append(i)
             for s, queue in queues.items():
@@ -210,13 +214,13 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, target: dict[str, flo
     held = {r["source"]: r["n"] for r in own.groupBy("source").agg(F.sum("n").alias("n")).orderBy("source").collect()}
     rate, start, times = rates(held, target, max(1, size // window) * window)
     carry = own.select("task", "source", (F.sum("n").over(Window.partitionBy("source").orderBy("task")) - F.col("n")).alias("served"))
-    carry = materialise(carry.groupBy("task").agg(F.map_from_entries(F.collect_list(F.struct("source", "served"))).alias("served")), "carry")
+    carry = materialise(carry.groupBy("task").agg(F.collect_list(F.struct("source", F.col("served").alias("n"))).alias("served")), "carry")
     carry = F.broadcast(carry) if own.count() <= CARRY_ROWS else carry
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         rows = itertools.chain.from_iterable(map(as_rows, batches))
         for bundle, packets in itertools.groupby(rows, lambda row: row["target"]):
-            sources: list[str] = []
+            sources: list[str | None] = []
             keys: list[int] = []
             begins: list[int] = []
             lengths: list[int] = []

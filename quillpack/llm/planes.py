@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column, map_arrow, scratch, slices
-from .tokens import encoder
+from .tokens import ENCODED, encoder
 
 #: Ids in a block, ids in a segment (a longer document has a segment to itself).
 BLOCK, SEGMENT = 1 << 14, 1 << 20
@@ -75,27 +75,32 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, bits:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        shard, made, first = TaskContext.get().partitionId(), 0, 0
-        ids: list[bytes] = []
+        shard, made, first, total = TaskContext.get().partitionId(), 0, 0, 0
+        ids: list[np.ndarray] = []
         docs_in: list[int] = []
         lengths: list[int] = []
-        end = np.array([end_id], "<u4").tobytes()
 
         def flush() -> dict:
-            index, payload = encode_blocks(np.frombuffer(b"".join(ids), "<u4"), block, bits)
-            return {"shard": [shard], "segment": [made], "first": [first], "n_ids": [sum(lengths)], "width": [32 if bits else 4], "doc_ids": [docs_in], "lengths": [lengths], "index": [index], "payload": [payload]}
+            index, payload = encode_blocks(np.concatenate(ids), block, bits)
+            return {"shard": [shard], "segment": [made], "first": [first], "n_ids": [total], "width": [32 if bits else 4], "doc_ids": [docs_in], "lengths": [lengths], "index": [index], "payload": [payload]}
 
         for batch in batches:
             keys = column(batch, "doc_id")
-            for a, texts in slices(batch, limit=4 << 20):
-                for i, x in enumerate(encoder(tokenizer).encode(texts)):
-                    if lengths and sum(map(len, ids)) // 4 + len(x) // 4 + 1 > segment:
+            for a, texts in slices(batch, limit=ENCODED):
+                flat, counts = encoder(tokenizer).encode(texts, end_id)
+                own, counts = keys.slice(a, len(texts)).to_pylist(), counts.tolist()
+                begin = at = i = 0
+                for k, n in enumerate(counts):
+                    if total and total + n > segment:
+                        ids.append(flat[begin:at])
+                        docs_in, lengths = docs_in + own[i:k], lengths + counts[i:k]
                         yield flush()
-                        made, first = made + 1, first + sum(lengths)
-                        ids, docs_in, lengths = [], [], []
-                    ids.append(x + end)
-                    docs_in.append(keys[a + i].as_py())
-                    lengths.append(len(x) // 4 + 1)
+                        made, first, total = made + 1, first + total, 0
+                        ids, docs_in, lengths, begin, i = [], [], [], at, k
+                    at += n
+                    total += n
+                ids.append(flat[begin:])
+                docs_in, lengths = docs_in + own[i:], lengths + counts[i:]
         if lengths:
             yield flush()
 

@@ -1,108 +1,117 @@
-"""Byte-level BPE ids of whole texts at the price of a dictionary look-up a word.
+"""Byte-level BPE ids of whole texts, every distinct word encoded once a slice.
 
 The tokenizer's pattern never lets a token reach over a single space that has non-space characters on both sides, so
-a text falls apart there, and each such word has ids of its own, whatever stands around it. A worker remembers words
-and, below them, the pattern's own pieces; the library's model encodes each new piece once. Texts in which a space
-touches other white space or an end are cut more carefully, and texts with a special string go to the library whole.
+a text falls apart there, and each such word has ids of its own, whatever stands around it. Arrow splits a slice of
+texts and numbers its distinct words; those that the worker doesn't remember are put together, spaces between, and given to the
+library at once. No token but a word's first begins with a space, which tells whose the ids are, and the ids of texts
+are gathered by numpy. Texts in which a space touches other white space or an end, or that hold a special string, go to the library whole.
 """
 
 from __future__ import annotations
 
-import gc
-import itertools
-import re
+import os
 from array import array
 from functools import lru_cache
 
-import regex
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Pieces, and words, that a worker remembers: those met first, the frequent ones among them. More are encoded anew.
-REMEMBERED, WORDS = 600_000, 150_000
-INNER = re.compile("(?: (?<=[^\\s᠎] )(?=[^\\s᠎]))")
-MARKS = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+#: Words that a worker remembers: those met first, the frequent ones among them. Others are encoded anew in each slice.
+WORDS = 600_000
+#: Characters of texts that are encoded at a time.
+ENCODED = 4 << 20
+#: Words in one text that the library is given, and texts in a call.
+JOINED, CALL = 64, 256
+#: White space to some libraries.
+NO_SPACE = "\u180e"
 
 
-
-
-def byte_chars() -> dict[int, str]:
-    """The printable character that byte-level vocabularies write for each byte."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = (b for b in range(256) if b not in own)
-    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+def flat_ids(parts: list[array]) -> np.ndarray:
+    return np.frombuffer(b"".join(parts), "u4")
 
 
 class PieceEncoder:
-    def __init__(self, path: str, remembered: int = REMEMBERED, words: int = WORDS):
-        import public_tokenizers
+    def __init__(self, path: str, words: int = WORDS):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
-        self.chars = byte_chars()
-        self.remembered, self.words = remembered, words
-        self.first: dict[str, bytes | None] = {}
-        self.rest: dict[str, bytes | None] = {}
-        self.piece: dict[str, bytes] = {}
-
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """The library's model on new pieces."""
-        table, tokenize = self.chars, self.library.model.tokenize
-        found = [tokenize(p.encode().decode("latin1").translate(table)) for p in pieces]
-        ends = list(itertools.accumulate(map(len, found), initial=0))
-        flat = array("I", [x.id for ids in found for x in ids]).tobytes()
-        return [flat[4 * a : 4 * b] for a, b in itertools.pairwise(ends)]
-
-    def _split(self, word: str, before: str) -> list[str] | None:
-        """The pattern's pieces of a word after the space or nothing before it; None if it can't stand alone."""
-        if word.isalpha():
-            return [before + word]
-        if not word or word[0].isspace() or word[-1].isspace() or "\u180e" in word or any(x in word for x in self.special):
-            return None
-        if word[-1] in MARKS and word[:-1].isalpha():
-            return [before + word[:-1], word[-1]]
-        return self.split(before + word)
-
-    def _learn(self, memory: dict[str, bytes | None], words: set[str], before: str) -> list[str]:
-        """Ids of new words into memory; returns the words that don't fit there for good."""
-        new = list(words.difference(memory))
-        cut = [self._split(w, before) for w in new]
-        unknown = list({p for ps in cut if ps for p in ps}.difference(self.piece))
-        self.piece.update(zip(unknown, self._pieces(unknown), strict=True))
-        get = self.piece.__getitem__
-        memory.update(zip(new, (None if ps is None else get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps)) for ps in cut), strict=True))
-        for p in unknown[max(0, self.remembered - len(self.piece) + len(unknown)) :]:
-            del self.piece[p]
-        return new[max(0, self.words - len(memory) + len(new)) :]
-
-    def _odd(self, text: str) -> bytes:
-        if any(x in text for x in self.special):
-            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
-        pieces = list(itertools.chain.from_iterable(self.split(" " * (i > 0) + w) for i, w in enumerate(INNER.split(text))))
-        return b"".join(self._pieces(pieces))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers. Meant for some MB at a time."""
-        gc.disable()  # nothing here is cyclic, and walking the memories costs more than the rest
-        words = [t.split(" ") for t in texts]
-        first = self._learn(self.first, {ws[0] for ws in words}, "")
-        heads = [self.first[ws[0]] for ws in words]
-        for ws in words:
-            del ws[0]
-        rest = self._learn(self.rest, set().union(*words), " ")
-        get, out = self.rest.__getitem__, []
-        for t, head, ws in zip(texts, heads, words, strict=True):
-            try:
-                out.append(head + b"".join(map(get, ws)))
-            except TypeError:
-                out.append(self._odd(t))
-        for memory, gone in ((self.first, first), (self.rest, rest)):
-            for w in gone:
-                del memory[w]
-        gc.enable()
-        return out
+        vocabulary = self.library.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[i for x, i in vocabulary.items() if x.startswith("Ġ")]] = True
+        self.most = words
+        #: Words, and behind a row 0 for words that can't stand alone, where their ids are in flat.
+        self.known = pa.array([], pa.large_string())
+        self.begins, self.sizes, self.flat = np.zeros(1, "i4"), np.zeros(1, "i4"), np.zeros(0, "u4")
+
+    def _ids(self, texts: list[str]) -> list[array]:
+        """Few texts at a time: what the library returns takes many bytes a token."""
+        return [array("I", e.ids) for i in range(0, len(texts), CALL) for e in self.library.encode_batch_fast(texts[i : i + CALL], add_special_tokens=False)]
+
+    def _spaced(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, how many of each word) of words that stand behind a space."""
+        joined = [" " + " ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)]
+        flat = flat_ids(self._ids(joined))
+        begins = np.flatnonzero(self.opens[flat])
+        if len(begins) != len(words):
+            raise ValueError("the vocabulary has a token that reaches over the beginning of a word")
+        return flat, np.diff(np.r_[begins, len(flat)])
+
+    def _standing(self, words: list[str], texts: list[str]) -> np.ndarray:
+        """Which words can stand alone."""
+        rare = [x for x in (*self.special, NO_SPACE) if any(x in t for t in texts)]
+        if rare:
+            return np.array([bool(w) and w.strip() == w and not any(x in w for x in rare) for w in words], bool)
+        return np.array([w.isalpha() or (w.strip() == w and w != "") for w in words], bool)
+
+    def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, how many of each text); end: an id behind each text. Meant for some MB at a time."""
+        if not texts:
+            return np.zeros(0, "u4"), np.zeros(0, "i8")
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        at = lists.offsets.to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        where = coded.indices.to_numpy()
+        row = pc.index_in(coded.dictionary, value_set=self.known).fill_null(-2).to_numpy() + np.int32(1)
+        new = np.flatnonzero(row < 0)
+        fresh = coded.dictionary.take(new).to_numpy(zero_copy_only=False).tolist()
+        stands = self._standing(fresh, texts)
+        flat, sizes = self._spaced([w for w, x in zip(fresh, stands.tolist(), strict=True) if x])
+        # rows behind the remembered ones; those that are to be remembered come first
+        row[new[~stands]] = 0
+        row[new[stands]] = np.arange(len(sizes)) + len(self.begins)
+        begins = np.r_[self.begins, (len(self.flat) + np.cumsum(sizes) - sizes).astype("i4")]
+        sizes = np.r_[self.sizes, sizes.astype("i4")]
+        flat = np.concatenate([self.flat, flat])
+        first_words = at[:-1]
+        odd = np.add.reduceat((row == 0)[where], first_words) > 0
+        counts, source = sizes[row][where], begins[row][where]
+        keep = min(len(sizes) - len(self.sizes), max(0, self.most - len(self.known)))
+        if keep:
+            rows = len(self.begins) + keep
+            self.known = pa.concat_arrays([self.known, coded.dictionary.take(new[stands][:keep])])
+            self.begins, self.sizes, self.flat = begins[:rows], sizes[:rows], flat[: int(begins[rows - 1] + sizes[rows - 1])]
+        # a text's first word has no space in front; an odd text's ids are put in the place of its first word
+        first = coded.dictionary.take(where[first_words]).to_pylist()
+        heads = self._ids([t if o else w for w, t, o in zip(first, texts, odd.tolist(), strict=True)])
+        if odd.any():
+            counts[np.repeat(odd, np.diff(at))] = 0
+        counts[first_words] = list(map(len, heads))
+        source[first_words] = len(flat) + np.cumsum(counts[first_words]) - counts[first_words]
+        lengths = np.add.reduceat(counts, first_words)
+        if end is not None:
+            counts, source = np.insert(counts, at[1:], 1), np.insert(source, at[1:], len(flat) + sum(map(len, heads)))
+            lengths += 1
+        counts, shift = counts.astype("i4"), (source - (np.cumsum(counts) - counts)).astype("i4")
+        del where, row, fresh, coded, lists
+        pool = np.concatenate([flat, flat_ids(heads), [np.uint32(end or 0)]])
+        place = np.repeat(shift, counts)
+        place += np.arange(len(place), dtype="i4")
+        return pool[place], lengths.astype("i8")
 
 
 @lru_cache(maxsize=2)

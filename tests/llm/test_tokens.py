@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from quillpack.llm import planes
 from quillpack.llm.packing import pack, schedule
@@ -31,9 +32,21 @@ def odd(n, chars):
 
 def test_pieces_equal_the_library():
     ts = [t or "" for t in texts()] + odd(2000, " ab\n\t.,'’s1é日　 ᠎\x1c\x85<|endoftext|>")
-    for e in (PieceEncoder(BPE), PieceEncoder(BPE, remembered=50, words=10)):
-        for _ in range(2):
-            assert e.encode(ts) == [x.tobytes() for x in library(ts)]
+    want = library(ts)
+    for e in (PieceEncoder(BPE), PieceEncoder(BPE, words=10)):
+        for size in (1, 7, len(ts)):
+            for i in range(0, len(ts) if size > 1 else 300, size):
+                flat, n = e.encode(ts[i : i + size])
+                assert n.tolist() == list(map(len, want[i : i + size])) and (flat == np.concatenate(want[i : i + size])).all()
+        flat, n = e.encode(ts, 2)
+        assert (flat == np.concatenate([np.append(x, 2) for x in want])).all() and n.sum() == len(flat)
+        assert len(e.known) <= e.most and len(e.encode([])[0]) == 0
+
+
+def test_many_short_documents_in_one_segment(spark):
+    df = spark.range(40000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
+    got = planes.token_files(df, BPE, 2).agg(F.count("*"), F.sum("n_tokens"), F.max("start")).first()
+    assert tuple(got) == (40000, 120000, 119997)
 
 
 @pytest.mark.parametrize("bits", [False, True])
