@@ -69,13 +69,13 @@ def bundles(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = BLOB)
                 for k, n in enumerate(counts):
                     if total and total + n > size:
                         ids.append(flat[begin:at])
-                        keys, sources, lengths = keys + own[i:k], sources + [s or "" for s in origin[i:k]], lengths + counts[i:k]
+                        keys, sources, lengths = keys + own[i:k], sources + origin[i:k], lengths + counts[i:k]
                         yield flush()
                         made, total, ids, keys, sources, lengths, begin, i = made + 1, 0, [], [], [], [], at, k
                     at += n
                     total += n
                 ids.append(flat[begin:])
-                keys, sources, lengths = keys + own[i:], sources + [s or "" for s in origin[i:]], lengths + counts[i:]
+                keys, sources, lengths = keys + own[i:], sources + origin[i:], lengths + counts[i:]
         if lengths:
             yield flush()
 

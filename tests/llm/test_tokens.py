@@ -43,6 +43,14 @@ def test_pieces_equal_the_library():
         assert len(e.known) <= e.most and len(e.encode([])[0]) == 0
 
 
+def test_null_source_is_its_own(spark):
+    df = spark.createDataFrame([(i, (None, "", "b")[i % 3], "one two " * 400) for i in range(30)], "doc_id long, source string, text string")
+    got = collections.Counter()
+    for p in pack(df, BPE, 1).collect():
+        got[p["source"]] += p["length"]
+    assert set(got) == {None, "", "b"} and len(set(got.values())) == 1
+
+
 def test_many_short_documents_in_one_segment(spark):
     df = spark.range(40000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
     got = planes.token_files(df, BPE, 2).agg(F.count("*"), F.sum("n_tokens"), F.max("start")).first()
