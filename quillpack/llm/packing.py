@@ -37,6 +37,8 @@ CUT = 1 << 17
 BUNDLES = "task int, bundle int, doc_ids array<long>, sources array<string>, lengths array<long>, before array<struct<source:string,n:long>>, wide boolean, ids binary"
 CUTS = "target long, source string, at long, doc_ids array<long>, starts array<long>, lengths array<long>, doc_tokens array<long>, wide boolean, ids binary"
 PIECES = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length int"
+#: Tasks that bundles are dealt to at most; a task packs one bundle after the other.
+MOST_TASKS = 20_000
 #: Rows of the carried deficits that may be broadcast.
 CARRY_ROWS = 100_000
 
@@ -244,7 +246,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, target: dict[str, flo
             }
 
     dealt = cuts(made.join(carry, "task"), held, rate, start, times)
-    return map_arrow(dealt.repartition("target").sortWithinPartitions("target", "source", "at"), run, PIECES)
+    # tasks of some bundles each, whatever the size of the input
+    tasks = min(MOST_TASKS, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(times) // 8))
+    return map_arrow(dealt.repartition(tasks, "target").sortWithinPartitions("target", "source", "at"), run, PIECES)
 
 
 def as_rows(batch: pa.RecordBatch) -> Iterator[dict]:
