@@ -2,7 +2,9 @@
 
 The parser walks EBML elements by their variable-length ids and sizes (also of unknown size, which ends where an element
 of an outer level begins), reads tracks, clusters, simple blocks and block groups with no, Xiph, EBML or fixed-size
-lacing, and the cues. A packet is (track, timestamp in ms, key frame, first byte, length).
+lacing, and the cues. A packet is (track, timestamp in ms, key frame, first byte, length). The frames of a lace follow each other
+by their track's default duration, or share out their block group's duration; with neither, all have the block's time. A block
+group is a key frame unless it refers to another block.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ from .common import column, map_arrow, slices
 EBML, SEGMENT, INFO, SCALE, DURATION = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489
 TRACKS, TRACK, NUMBER, UID, KIND, CODEC = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86
 AUDIO, RATE, CHANNELS, DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
-CLUSTER, TIME, SIMPLE, GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
+DEFAULT = 0x23E383
+CLUSTER, TIME, SIMPLE, GROUP, BLOCK, LASTS, REFERENCE = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0x9B, 0xFB
 CUES, CUE, CUE_TIME, CUE_TRACKS, CUE_TRACK, CUE_CLUSTER, CUE_RELATIVE = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1, 0xF0
 VERSION, READ_VERSION, ID_LENGTH, SIZE_LENGTH, DOC_TYPE, DOC_VERSION, DOC_READ = 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4282, 0x4287, 0x4285
 MASTERS = {SEGMENT, INFO, TRACKS, TRACK, AUDIO, CLUSTER, GROUP, CUES, CUE, CUE_TRACKS}
@@ -53,7 +56,7 @@ def mux(payload: bytes, frame: int = FRAME, lace: int = LACE, blocks: int = BLOC
     step = frame * 1000 // rate
     head = element(EBML, unsigned(VERSION, 1) + unsigned(READ_VERSION, 1) + unsigned(ID_LENGTH, 4) + unsigned(SIZE_LENGTH, 8) + element(DOC_TYPE, b"matroska") + unsigned(DOC_VERSION, 4) + unsigned(DOC_READ, 2))
     info = element(INFO, unsigned(SCALE, 1_000_000) + element(DURATION, struct.pack(">d", len(payload) / frame * step)))
-    track = element(TRACKS, element(TRACK, unsigned(NUMBER, 1) + unsigned(UID, 1) + unsigned(KIND, 2) + element(CODEC, b"A_PCM/INT/LIT") + element(AUDIO, element(RATE, struct.pack(">d", rate)) + unsigned(CHANNELS, 1) + unsigned(DEPTH, 8))))
+    track = element(TRACKS, element(TRACK, unsigned(NUMBER, 1) + unsigned(UID, 1) + unsigned(KIND, 2) + unsigned(DEFAULT, frame * 1_000_000_000 // rate) + element(CODEC, b"A_PCM/INT/LIT") + element(AUDIO, element(RATE, struct.pack(">d", rate)) + unsigned(CHANNELS, 1) + unsigned(DEPTH, 8))))
     body, cues, at = [info, track], [], len(info) + len(track)
     per = frame * lace * blocks
     for a in range(0, len(payload), per):
@@ -142,18 +145,28 @@ def laces(data: bytes, at: int, end: int, kind: int) -> list[tuple[int, int]]:
 def parse(data: bytes) -> dict:
     """Tracks, packets and cues of a file. Raises ValueError where it is malformed."""
     tracks: list[dict] = []
-    packets: list[tuple[int, float, bool, int, int]] = []
+    blocks: list[dict] = []
     cues: list[dict] = []
-    scale, time, clusters, base, laced = 1_000_000, 0, 0, 0, 0
+    scale, time, clusters, base = 1_000_000, 0, 0, 0
+    grouped = False
     try:
         for _, key, a, b in elements(data, 0, len(data)):
             if key in (SIMPLE, BLOCK):
                 track, at = variable(data, a, False)
                 relative, flags = struct.unpack_from(">hB", data, at)
-                kind = flags >> 1 & 3
-                laced += kind > 0
-                ms = (time + relative) * scale / 1e6
-                packets += [(track, ms, key == BLOCK or bool(flags & 0x80), first, n) for first, n in laces(data, at + 3, b, kind)]
+                if key == SIMPLE or not grouped:
+                    blocks.append({"key": True})
+                grouped = False
+                blocks[-1] |= {"track": track, "time": time + relative, "kind": flags >> 1 & 3, "frames": laces(data, at + 3, b, flags >> 1 & 3)}
+                if key == SIMPLE:
+                    blocks[-1]["key"] = bool(flags & 0x80)
+            elif key == GROUP:
+                blocks.append({"key": True})
+                grouped = True
+            elif key == REFERENCE and blocks:
+                blocks[-1]["key"] = False
+            elif key == LASTS and blocks:
+                blocks[-1]["lasts"] = int.from_bytes(data[a:b], "big")
             elif key == SEGMENT:
                 base = a
             elif key == CLUSTER:
@@ -169,7 +182,7 @@ def parse(data: bytes) -> dict:
                 value = struct.unpack(">d" if b - a == 8 else ">f", data[a:b])[0]
                 if key == RATE and tracks:
                     tracks[-1]["rate"] = value
-            elif key in (TIME, SCALE, NUMBER, KIND, CHANNELS, DEPTH, CUE_TIME, CUE_TRACK, CUE_CLUSTER):
+            elif key in (TIME, SCALE, NUMBER, KIND, CHANNELS, DEPTH, DEFAULT, CUE_TIME, CUE_TRACK, CUE_CLUSTER):
                 n = int.from_bytes(data[a:b], "big")
                 if key == TIME:
                     time = n
@@ -178,10 +191,16 @@ def parse(data: bytes) -> dict:
                 elif key in (CUE_TIME, CUE_TRACK, CUE_CLUSTER):
                     cues[-1][{CUE_TIME: "time", CUE_TRACK: "track", CUE_CLUSTER: "cluster"}[key]] = n + (base if key == CUE_CLUSTER else 0)
                 elif tracks:
-                    tracks[-1][{NUMBER: "number", KIND: "kind", CHANNELS: "channels", DEPTH: "depth"}[key]] = n
+                    tracks[-1][{NUMBER: "number", KIND: "kind", CHANNELS: "channels", DEPTH: "depth", DEFAULT: "frame_ns"}[key]] = n
     except (IndexError, struct.error) as e:
         raise ValueError(str(e)) from e
-    return {"tracks": tracks, "packets": packets, "cues": cues, "clusters": clusters, "laced": laced}
+    blocks = [x for x in blocks if "frames" in x]
+    steps = {x["number"]: x["frame_ns"] / 1e6 for x in tracks if x.get("frame_ns") and "number" in x}
+    packets: list[tuple[int, float, bool, int, int]] = []
+    for x in blocks:
+        step = steps.get(x["track"], x.get("lasts", 0) * scale / 1e6 / len(x["frames"]))
+        packets += [(x["track"], x["time"] * scale / 1e6 + i * step, x["key"], first, n) for i, (first, n) in enumerate(x["frames"])]
+    return {"tracks": tracks, "packets": packets, "cues": cues, "clusters": clusters, "laced": sum(x["kind"] > 0 for x in blocks)}
 
 
 PACKETS = "packet int, track long, timestamp_ms double, key_frame boolean, first_byte long, length long, error string"

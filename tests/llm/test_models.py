@@ -168,7 +168,20 @@ def test_media(spark, docs, none):
     files = spark.createDataFrame([(1, matroska.mux(b"ab" * 96 * 700), "x"), (2, b"", "x"), (3, None, "x"), (4, b"\x1a\x45junk", "x"), (1, matroska.mux(b"c" * 192), "x")], "track long, f binary, error string")
     rows_ = matroska.packet_table(files, "f", "track").collect()
     assert collections.Counter(r["track_key"] for r in rows_) == {1: 701, 4: 1}
-    assert [r["timestamp_ms"] for r in rows_ if r["track_key"] == 1][:3] in ([0.0, 0.0, 0.0], [0.0], [0.0, 0.0, 24.0])
+    assert [r["timestamp_ms"] for r in rows_ if r["track_key"] == 1][:3] in ([0.0, 24.0, 48.0], [0.0])
+
+
+def test_frame_times_and_key_frames():
+    p = matroska.parse(matroska.mux(b"z" * 192 * 700))["packets"]
+    assert [ms for _, ms, *_ in p] == [24.0 * k for k in range(700)] and all(key for _, _, key, _, _ in p)
+    solo = lambda *more: matroska.element(matroska.GROUP, matroska.element(matroska.BLOCK, b"\x81" + struct.pack(">hBB", 5, 4, 1) + b"abcd") + b"".join(more))
+    refers, lasts = matroska.element(matroska.REFERENCE, b"\xff"), matroska.unsigned(matroska.LASTS, 10)
+    for default, second in ((b"", [100.0, 100.0]), (matroska.unsigned(matroska.DEFAULT, 3_000_000), [103.0, 103.0])):
+        track = matroska.element(matroska.TRACKS, matroska.element(matroska.TRACK, matroska.unsigned(matroska.NUMBER, 1) + default))
+        data = matroska.element(matroska.SEGMENT, track + matroska.element(matroska.CLUSTER, matroska.unsigned(matroska.TIME, 95) + solo() + solo(refers, lasts)))
+        got = matroska.parse(data)["packets"]
+        assert [key for _, _, key, _, _ in got] == [True, True, False, False]
+        assert [got[1][1], got[3][1]] == (second if default else [100.0, 105.0]) and got[0][1] == got[2][1] == 100.0
 
 
 def block(kind, frames, head):
