@@ -17,7 +17,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column, map_arrow, slices
@@ -26,11 +26,13 @@ from .common import column, map_arrow, slices
 SAMPLE = 300
 RUN = 64
 SPACE = 1 << 15
-LEXICON = 1500
+#: Sampled documents of a language that have a word of its lexicon at least.
+LEXICON = 2
 STEPS, BATCH, LENGTH = 250, 48, 40
 #: Words remembered per worker; the memory is emptied when it is full.
 REMEMBERED = 300_000
-WORD = re.compile(r"[^\W\d_]+")
+#: A longer run of letters is several words, one behind the other.
+WORD = re.compile(r"[^\W\d_]{1,40}")
 
 
 class Field(NamedTuple):
@@ -43,7 +45,7 @@ class Field(NamedTuple):
 
 def features(word: str, lexicon: dict[str, int]) -> list[int]:
     """Hashed features of a lower-case word."""
-    w = f"^{word}$" if len(word) <= 40 else f"^{word[:20]}{word[-20:]}$"
+    w = f"^{word}$"
     names = [w] if len(w) < 10 else []
     names += ["p" + w[:n] for n in (2, 3, 4)] + ["s" + w[-n:] for n in (2, 3, 4)]
     names += [w[i : i + 2] for i in range(len(w) - 1)] + [w[i : i + 3] for i in range(len(w) - 2)]
@@ -52,14 +54,19 @@ def features(word: str, lexicon: dict[str, int]) -> list[int]:
     return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % SPACE for x in names]
 
 
-def posteriors(scores: np.ndarray, moves: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word posteriors, expected moves) of sequences: scores (rows, words, languages), rows in descending order of length."""
+def posteriors(scores: np.ndarray, moves: np.ndarray, first: np.ndarray, lengths: np.ndarray, enter: np.ndarray | None = None, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(word posteriors, expected moves) of sequences: scores (rows, words, languages), rows in descending order of length.
+
+    enter, leave: for each row, the forward message into its first word (by default from first) and the backward one into its last.
+    """
     rows, steps, k = scores.shape
     e = np.exp(scores - scores.max(2, keepdims=True))
     m = np.exp(moves - moves.max())
     a = np.zeros_like(e)
     b = np.ones_like(e)
-    a[:, 0] = e[:, 0] * np.exp(first - first.max())
+    a[:, 0] = e[:, 0] * (np.exp(first - first.max()) if enter is None else enter)
+    if leave is not None:
+        b[np.arange(rows), lengths - 1] = leave
     a[:, 0] /= a[:, 0].sum(1, keepdims=True)
     alive = [int((lengths > t).sum()) for t in range(steps)]
     for t in range(1, steps):
@@ -78,6 +85,50 @@ def posteriors(scores: np.ndarray, moves: np.ndarray, first: np.ndarray, lengths
     return p / np.maximum(p.sum(2, keepdims=True), 1e-300), expected
 
 
+def marginals(scores: np.ndarray, sizes: np.ndarray, moves: np.ndarray, first: np.ndarray, run: int = RUN) -> np.ndarray:
+    """The posterior of every word of texts that follow each other in scores (words, languages); sizes: words of each text."""
+    n, k = scores.shape
+    if not n:
+        return np.zeros((0, k))
+    per = -(-sizes // run)  # runs of each text, which are numbered in a row
+    begin = np.r_[0, np.cumsum(per)[:-1]]
+    turn = np.arange(int(per.sum())) - np.repeat(begin, per)
+    starts = np.repeat(np.r_[0, np.cumsum(sizes)[:-1]], per) + turn * run
+    lengths = np.minimum(run, np.repeat(sizes, per) - turn * run)
+    order = np.argsort(-lengths, kind="stable")
+    steps = int(lengths.max())
+    grid = np.minimum(starts[order][:, None] + np.arange(steps), n - 1)
+    own, long = scores[grid], lengths[order]
+    e, m = np.exp(own - own.max(2, keepdims=True)), np.exp(moves - moves.max())
+    enter, leave = np.zeros((len(order), k)), np.ones((len(order), k))
+    enter[begin[per > 0]] = np.exp(first - first.max())
+    many = np.flatnonzero(per > 1)
+    if len(many):
+        # each run's words as one matrix, from the message into its first word to the one out of its last
+        whole = e[:, 0][:, :, None] * np.eye(k)
+        for t in range(1, steps):
+            alive = int((long > t).sum())
+            x = (whole[:alive] @ m) * e[:alive, t][:, None, :]
+            whole[:alive] = x / x.sum((1, 2), keepdims=True)
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        whole = whole[back]
+        many = many[np.argsort(-per[many], kind="stable")]
+        for t in range(1, int(per.max())):
+            at = begin[many[: int((per[many] > t).sum())]] + t
+            x = np.einsum("ri,rij->rj", enter[at - 1], whole[at - 1]) @ m
+            enter[at] = x / x.sum(1, keepdims=True)
+        for t in range(int(per.max()) - 1, 0, -1):
+            at = begin[many[: int((per[many] > t).sum())]] + t
+            x = np.einsum("rij,rj->ri", whole[at], leave[at]) @ m.T
+            leave[at - 1] = x / x.sum(1, keepdims=True)
+    p, _ = posteriors(own, moves, first, long, enter[order], leave[order])
+    out = np.zeros((n, k))
+    inside = np.arange(steps) < long[:, None]
+    out[grid[inside]] = p[inside]
+    return out
+
+
 def fit(rows: list[tuple[str, str]], seed: int = 11) -> Field | None:
     """The field of (text, language) rows; None without words. Deterministic."""
     texts: dict[str, list[list[str]]] = {}
@@ -91,7 +142,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 11) -> Field | None:
         return None
     lexicon: dict[str, int] = {}
     for k, lang in enumerate(languages):
-        for w, _ in sorted(counts[lang].items(), key=lambda x: (-x[1], x[0]))[:LEXICON]:
+        for w in sorted(w for w, c in counts[lang].items() if c >= LEXICON):
             lexicon[w] = lexicon.get(w, 0) | 1 << k
     n, rng = len(languages), np.random.default_rng(seed)
     weights, moves, first = np.zeros((SPACE, n)), np.zeros((n, n)), np.zeros(n)
@@ -158,24 +209,7 @@ class Labeller:
         n = sum(map(len, words))
         place = self.place.__getitem__
         ids = np.fromiter((i for ws in words for i in map(place, ws)), "i8", n)
-        # runs of at most RUN words, the longest first
-        starts, lengths = [], []
-        at = 0
-        for ws in words:
-            starts += range(at, at + len(ws), RUN)
-            lengths += [min(RUN, len(ws) - a) for a in range(0, len(ws), RUN)]
-            at += len(ws)
-        if not n:
-            return words, np.zeros((0, len(self.field.languages)))
-        starts, lengths = np.array(starts), np.array(lengths)
-        order = np.argsort(-lengths, kind="stable")
-        starts, lengths = starts[order], lengths[order]
-        grid = np.minimum(starts[:, None] + np.arange(lengths[0]), n - 1)
-        p, _ = posteriors(self.scores[ids[grid]], self.field.moves, self.field.first, lengths)
-        out = np.zeros((n, p.shape[2]))
-        inside = np.arange(lengths[0]) < lengths[:, None]
-        out[grid[inside]] = p[inside]
-        return words, out
+        return words, marginals(self.scores[ids], np.array(list(map(len, words)), "i8"), self.field.moves, self.field.first)
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         words, p = self._run(texts)
@@ -192,12 +226,12 @@ _labellers: dict[int, Labeller] = {}
 def sample(docs: DataFrame, most: int = SAMPLE) -> Field | None:
     """The field of at most `most` documents of each language (a column lang)."""
     rows = docs.where("lang is not null and text is not null")
-    langs = [r[0] for r in rows.select("lang").distinct().collect()]  # as many as there are languages
-    got = []
-    for lang in sorted(langs):
-        ids = rows.where(F.col("lang") == lang).select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(most)
-        picked = ids.select("doc_id").distinct()
-        got += [(r["doc_id"], r["text"], lang) for r in rows.where(F.col("lang") == lang).join(F.broadcast(picked), "doc_id").select("doc_id", "text").collect()]
+    # ids first, so that no more than `most` rows of a task and language are moved; then, as an id may have many rows, rows again
+    hashed = rows.withColumn("h", F.xxhash64("doc_id"))
+    first = Window.partitionBy("lang").orderBy("h", "doc_id")
+    ids = hashed.select("lang", "doc_id", "h").withColumn("n", F.row_number().over(first)).where(F.col("n") <= most).select("lang", "doc_id").distinct()
+    picked = hashed.select("lang", "doc_id", "text", "h").join(F.broadcast(ids), ["lang", "doc_id"]).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))).where(F.col("n") <= most)
+    got = [tuple(r) for r in picked.select("doc_id", "text", "lang").collect()]
     return fit([r[1:] for r in sorted(got, key=lambda r: (str(r[0]), r[1], r[2]))])
 
 

@@ -33,6 +33,43 @@ def test_forward_backward_is_exact():
         assert np.allclose(p[r, :n], want / total)
 
 
+def test_messages_pass_from_run_to_run():
+    """Runs of any length give the posteriors of whole texts, one text of which is much longer than the others."""
+    rnd = np.random.default_rng(4)
+    sizes = np.array([0, 5, 64, 1, 0, 201, 3])
+    scores, moves, first = rnd.normal(size=(int(sizes.sum()), 3)) * 2, rnd.normal(size=(3, 3)) * 2, rnd.normal(size=3)
+    ends = np.cumsum(sizes)
+    for run in (1, 2, 7, 64, 1000):
+        p = langcrf.marginals(scores, sizes, moves, first, run)
+        for n, e in zip(sizes, ends, strict=True):
+            if n:
+                want, _ = langcrf.posteriors(scores[None, e - n : e], moves, first, np.array([n]))
+                assert np.allclose(p[e - n : e], want[0])
+    assert len(langcrf.marginals(scores[:0], np.zeros(2, "i8"), moves, first)) == 0
+
+
+def test_every_letter_of_a_long_word_counts():
+    own = language_rows()
+    field = langcrf.fit([(t, k) for _, t, k in own])
+    de = "".join(own[0][1].split() * 20)
+    fr = "".join(own[2][1].split() * 2)
+    got = dict(langcrf.Labeller(field).predict([fr + de + fr]))
+    assert list(got) == [own[0][2]] and len(langcrf.WORD.findall(de)) > 10
+
+
+def test_sample_is_bounded_when_an_id_repeats(spark):
+    """300 documents of each language at most, though one id has most of the rows."""
+    own = language_rows(60)
+    df = spark.createDataFrame([(r[0], *r[1:]) for r in own] + [(own[0][0], f"{own[0][1]} {i}", own[0][2]) for i in range(400)], "doc_id long, text string, lang string")
+    seen = []
+    fit, langcrf.fit = langcrf.fit, lambda rows: seen.append(rows) or fit(rows)
+    try:
+        langcrf.sample(df, most=7)
+    finally:
+        langcrf.fit = fit
+    assert collections.Counter(k for _, k in seen[0]) == {"de": 7, "en": 7, "fr": 7}
+
+
 def language_rows(n=120):
     rnd = random.Random(3)
     stock = {"en": ["the", "thing", "with", "ation", "onth", "were"], "de": ["der", "schicht", "keit", "ung", "ich", "über"], "fr": ["le", "eaux", "que", "ment", "où", "été"]}
