@@ -1,26 +1,29 @@
 """Toxicity by weak supervision: voters, a generative label model, and a linear classifier on its posterior.
 
-Voters look at one text each: lexicon voters (words, one group of them each) and pattern voters (word beginnings; shouted or repeated
-marks). Which words and beginnings they hold is learned from a bounded sample of labelled rows, whose texts are seen
-whole. The label model takes their votes alone: every voter has an accuracy for each class, estimated by
-expectation-maximisation, and voters that agree more often than their accuracies explain share one vote: the excess
-agreement of each pair is estimated from the residuals of their votes and lowers their weight. The classifier, a logistic regression over
-the words and beginnings, is fitted to the posterior, and scores whole texts from their distinct features.
+Voters look at one text each. A lexicon voter holds a word, a pattern voter the beginning of words; either votes for class 1 if a text
+has its feature so many times (once, twice, three times), and abstains if not. Three more patterns know no words: shouting, marks in rows, one word
+over and over. Which voters there are is learned from a bounded sample of labelled rows, whose texts are seen whole: a
+feature must be likelier in class 1, and more so than chance explains for the number of features tried.
+
+The label model is a mixture of two classes over the votes alone. Every voter has a probability of voting in either class, its accuracy,
+estimated by expectation-maximisation under a Dirichlet prior that the sampled labels give; no label is a vote. Voters that agree more often within a class than
+their accuracies explain share one vote: the correlation of each pair is estimated from the residuals of their votes
+and lowers their weight. The classifier, a logistic regression over the voters' features, is fitted to
+the posterior, so that labels which no voter bears out are not learned, and scores whole texts.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column, map_arrow, slices
@@ -28,126 +31,204 @@ from .common import column, map_arrow, slices
 #: Labelled rows that the model is fitted on at most, of class 1 and of class 0; chosen by a hash of their id.
 SAMPLE, SAMPLE_CLEAN = 2000, 5000
 WORD = re.compile(r"[^\W\d_]+")
-BEGINNINGS = (4, 5, 6)
+#: Words of a text in which a feature must be several times for such a voter; more in a longer text, in proportion.
+PER = 300
+#: Characters of the beginnings that pattern voters hold, and how often a feature must be in a text for a voter of its own.
+BEGINNINGS, TIMES = (3, 4, 5, 6, 7, 8), (1, 2, 3)
 #: A voter's feature must be so much likelier in class 1 (logarithm), and its texts so unlikely by chance
 #: (logarithm, above the one of the number of features tried).
-EVIDENCE, SURPRISE = 2.5, 5.0
-#: Texts of class 1 that a feature must be in at least to be tried.
-LEAST = 4
-#: Lexicon voters; features of the classifier at most, the strongest; its ridge.
-GROUPS, FEATURES, RIDGE = 6, 400, 0.02
+EVIDENCE, SURPRISE = 2.5, 4.0
+#: Parts of least hashes that near copies have in common.
+AGREE = 0.7
+#: Texts with this much of their words shouted, marks in rows, or one word.
+MUCH = 0.5
+#: Squared correlation, within the classes, above which voters share their votes.
+TIED = 0.25
+#: Weight of the prior that the sampled labels give, in parts of the sample; ridge of the classifier.
+PRIOR, RIDGE = 1.0, 0.02
 CUT = 0.7
 
 
-def crc(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass"))
-
-
 class Model(NamedTuple):
-    weights: dict[str, float]
+    """weights of (feature, times): a word, or a beginning behind a mark."""
+
+    weights: dict[tuple[str, int], float]
     bias: float
 
+    def index(self) -> Index:
+        return Index(self.weights)
+
+
+class Index:
+    """Which of some features texts have."""
+
+    def __init__(self, features: Iterable[tuple[str, int]]):
+        self.times: dict[str, list[int]] = {}
+        for f, n in features:
+            self.times.setdefault(f, []).append(n)
+        self.words = {f for f in self.times if f[0] != "^"}
+        self.stems = {n: {f[1:] for f in self.times if f[0] == "^" and len(f) == n + 1} for n in BEGINNINGS}
+
+    def found(self, text: str) -> list[tuple[str, int]]:
+        """In order."""
+        seen = Counter(WORD.findall(text.lower()))
+        counts: dict[str, int] = {w: seen[w] for w in self.words.intersection(seen)}
+        for n, stems in self.stems.items():
+            if stems:
+                for w in seen:
+                    if w[:n] in stems:
+                        f = "^" + w[:n]
+                        counts[f] = counts.get(f, 0) + seen[w]
+        long = max(1.0, seen.total() / PER)
+        return sorted((f, k) for f, n in counts.items() for k in self.times[f] if k == 1 or n >= k * long)
+
+
+def features(text: str) -> set[tuple[str, int]]:
+    """All features of a text, of which voters are chosen."""
+    seen: Counter[str] = Counter(WORD.findall(text.lower()))
+    counts = Counter(seen)
+    for w, c in seen.items():
+        for n in BEGINNINGS:
+            if len(w) >= n:
+                counts["^" + w[:n]] += c
+    long = max(1.0, seen.total() / PER)
+    return {(f, k) for f, c in counts.items() for k in TIMES if k == 1 or c >= k * long}
+
+
+def surprise(k: int, n: int, q: float) -> float:
+    """How unlikely it is, as a logarithm, that k of n texts are of class 1 if its share is q; 0 if they are fewer."""
+    r = k / max(n, 1)
+    return k * math.log(r / q) + ((n - k) * math.log((1 - r) / (1 - q)) if n > k else 0) if r > q else 0.0
+
+
+def copies(texts: list[str]) -> list[int]:
+    """A number for each text, the same for texts whose sets of words are near copies: 64 least hashes agree in AGREE parts or more."""
+    empty = 1 << 32
+    signs = np.full((len(texts), 64), empty, "i8")
+    for row, t in zip(signs, texts, strict=True):
+        h = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in set(t.lower().split())], "i8")
+        np.minimum.at(row, h & 63, h)
+    root = list(range(len(texts)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for k in range(0, 64, 4):
+        first: dict[bytes, int] = {}
+        for i in range(len(texts)):
+            if signs[i, k : k + 4].min() < empty:
+                j = first.setdefault(signs[i, k : k + 4].tobytes(), i)
+                if find(i) != find(j):
+                    filled = (signs[i] < empty) | (signs[j] < empty)
+                    if (signs[i] == signs[j])[filled].mean() >= AGREE:
+                        root[find(i)] = find(j)
+    return [find(i) for i in range(len(texts))]
+
+
+def held_features(texts: list[str], labels: np.ndarray) -> list[tuple[str, int]]:
+    """The features that speak for class 1. Evidence is counted by groups of near copies: what only the copies of one text share says nothing."""
+    group = copies(texts)
+    ones, zeros = ([(g, t) for g, t, y in zip(group, texts, labels, strict=True) if bool(y) == wanted] for wanted in (True, False))
+    has: dict[tuple[str, int], set[int]] = {}
+    for g, t in ones:
+        for f in features(t):
+            has.setdefault(f, set()).add(g)
+    tried = len(has)
+    own = Index(has := {f: x for f, x in has.items() if len(x) > 1})
+    clean: dict[tuple[str, int], set[int]] = {}
+    for g, t in zeros:
+        for f in own.found(t):
+            clean.setdefault(f, set()).add(g)
+    n1, n0 = len({g for g, _ in ones}), len({g for g, _ in zeros})
+    q, least = n1 / (n1 + n0), SURPRISE + math.log(tried + 1)
+    found: dict[tuple[str, int], float] = {}
+    for f, x in has.items():
+        k, c = len(x), len(clean.get(f, ()))
+        if math.log((k + 0.1) / (n1 + 1)) - math.log((c + 0.1) / (n0 + 1)) > EVIDENCE and (s := surprise(k, k + c, q)) > least:
+            found[f] = s
+    # a word, its beginnings and their numbers are related: the best of them is held, and others if the texts that it leaves still speak for them
+    held, seen1, seen0 = [], {}, {}
+    for f in sorted(found, key=lambda f: (-found[f], f[1], len(f[0].lstrip("^")), f)):
+        family = f[0].lstrip("^")[: BEGINNINGS[0]]
+        old1, old0 = seen1.setdefault(family, set()), seen0.setdefault(family, set())
+        new1, new0 = has[f] - old1, clean.get(f, set()) - old0
+        if surprise(len(new1), len(new1) + len(new0), q) > SURPRISE:
+            held.append(f)
+            old1 |= new1
+            old0 |= new0
+    return held
+
+
+def patterns(text: str) -> list[bool]:
+    """Votes of the patterns that know no words."""
+    words = WORD.findall(text)
+    n = max(1, len(words))
+    most = max(Counter(words).values(), default=0)
+    return [sum(len(w) > 1 and w.isupper() for w in words) > MUCH * n, len(re.findall(r"([^\w\s])\1", text)) > MUCH * n, n > 20 and most > MUCH * n]
 
-def features(text: str) -> set[str]:
-    """Distinct words, and their beginnings behind a mark."""
-    words = set(WORD.findall(text.lower()))
-    out = set(words)
-    for n in BEGINNINGS:
-        out.update("^" + w[:n] for w in words if len(w) > n)
+
+def votes_of(found: list[list[tuple[str, int]]], texts: list[str], held: list[tuple[str, int]]) -> np.ndarray:
+    """Whether each voter votes, for each text; found: the held features that each text has. The last one votes where no feature does."""
+    place = {f: k for k, f in enumerate(held)}
+    out = np.zeros((len(texts), len(held) + 4), bool)
+    for i, (fs, t) in enumerate(zip(found, texts, strict=True)):
+        out[i, [place[f] for f in fs]] = True
+        out[i, len(held) : -1] = patterns(t)
+        out[i, -1] = not fs
     return out
 
 
-def known(text: str, weights: dict[str, float]) -> list[str]:
-    """features() that have a weight; the order is of no matter."""
-    words = set(WORD.findall(text.lower()))
-    out = {w for w in words if w in weights}
-    for n in BEGINNINGS:
-        out.update(b for w in words if len(w) > n and (b := "^" + w[:n]) in weights)
-    return list(out)
-
-
-def held_features(texts: list[str], labels: np.ndarray) -> list[str]:
-    """The features that speak for class 1. Sets of features are made and dropped text by text; those of class 0 only count where
-    class 1 has them."""
-    toxic, clean, seen = Counter(), Counter(), set()
-    n1 = n0 = 0
-    for wanted in (True, False):
-        for t, y in zip(texts, labels, strict=True):
-            if bool(y) != wanted:
-                continue
-            f = features(t)
-            # copies of a text count once: texts are told apart by the three least hashes of their features
-            sketch = (*heapq.nsmallest(3, map(crc, f)), wanted)
-            if sketch in seen:
-                continue
-            seen.add(sketch)
-            n1, n0 = n1 + wanted, n0 + (not wanted)
-            if wanted:
-                toxic.update(f)
-            else:
-                clean.update(f & toxic.keys())
-        if wanted:
-            tried = len(toxic)
-            toxic = Counter({f: k for f, k in toxic.items() if k >= LEAST})
-    q = n1 / (n1 + n0)
-    strength, least = {}, SURPRISE + math.log(tried + 1)
-    for f, k in toxic.items():
-        n = k + clean[f]
-        r = k / n
-        if r > q and k * math.log(r / q) + ((n - k) * math.log((1 - r) / (1 - q)) if n > k else 0) > least:
-            strength[f] = math.log((k + 0.1) / (n1 + 1)) - math.log((clean[f] + 0.1) / (n0 + 1))
-    held = sorted((f for f, s in strength.items() if s > EVIDENCE), key=lambda f: (-strength[f], f))
-    # of a word and its beginnings, those stay that see more toxic texts or fewer clean ones; the shortest of equals
-    def beaten(f: str, g: str) -> bool:
-        if clean[g] < clean[f] and toxic[g] >= 0.9 * toxic[f]:
-            return True
-        return toxic[g] >= toxic[f] and clean[g] <= clean[f] and (len(g.lstrip("^")), g) < (len(f.lstrip("^")), f)
-
-    related: dict[str, list[str]] = {}
-    for f in held:
-        related.setdefault(f.lstrip("^")[: BEGINNINGS[0]], []).append(f)
-    held = [f for f in held if not any(g != f and (g.lstrip("^").startswith(f.lstrip("^")) or f.lstrip("^").startswith(g.lstrip("^"))) and beaten(f, g) for g in related[f.lstrip("^")[: BEGINNINGS[0]]])][:FEATURES]
-    return held
+class Voters(NamedTuple):
+    """yes, no: each voter's probability of voting in class 1 and in class 0; share: the part of its vote that is its own; base: of class 1."""
+
+    yes: np.ndarray
+    no: np.ndarray
+    share: np.ndarray
+    base: float
 
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        """Of class 1, for each row of votes; who abstains says nothing."""
+        z = math.log(self.base / (1 - self.base)) + votes @ (self.share * np.log(self.yes / self.no))
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-def voters(found: list[set[str]], texts: list[str], held: list[str]) -> np.ndarray:
-    """Votes (1, 0, or -1: none) of each voter on each text; found: the held features that each text has."""
-    groups = [set(held[k::GROUPS]) for k in range(GROUPS) if held[k::GROUPS]]
-    words = {f for f in held if f[0] != "^"}
-    rows = []
-    for f, t in zip(found, texts, strict=True):
-        shout = len(re.findall(r"\b[A-Z]{4,}\b|!{2,}|\?{2,}", t))
-        any_held = bool(f & words) or any(f & g for g in groups)
-        rows.append([1 if f & g else -1 for g in groups] + [1 if f & words else -1, 1 if shout > 20 else -1, -1 if any_held else 0])
-    return np.array(rows, "i1").reshape(len(texts), -1)
-
-
-def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> np.ndarray:
-    """The posterior of class 1 for each row of votes."""
-    n, m = votes.shape
-    # to begin with, the share of those who vote that vote 1
-    p = ((votes == 1).sum(1) + 0.1 * prior) / ((votes != -1).sum(1) + 0.1)
-    share = np.ones(m)
+
+def label_model(votes: np.ndarray, labels: np.ndarray, prior: float = PRIOR, rounds: int = 50) -> Voters:
+    """The voters, by expectation-maximisation. labels give the prior of their accuracies and the first posterior, and no vote."""
+    x, y = votes.astype("f8"), labels.astype("f8")
+    n, p, base = len(y), y, float((y.sum() + 1) / (len(y) + 2))
+    seen1, seen0 = prior * (y @ x) + 0.1, prior * ((1 - y) @ x) + 0.1
+    n1, n0 = prior * y.sum() + 0.2, prior * (1 - y).sum() + 0.2
     for _ in range(rounds):
-        w1, w0 = p.sum() + 2, (1 - p).sum() + 2
-        prior = min(max(p.mean(), 1e-3), 1 - 1e-3)
-        # each voter says nothing, 0 or 1, with a probability of its own in either class
-        like = np.zeros((n, m))
-        mean = np.zeros((n, m))
-        for v in (-1, 0, 1):
-            is_v = votes == v
-            a = (p @ is_v + 2 / 3) / w1
-            b = ((1 - p) @ is_v + 2 / 3) / w0
-            like += is_v * np.log(a / b)
-            mean += v * (np.outer(p, a) + np.outer(1 - p, b))
-        rest = votes - mean
-        scale = np.sqrt((rest**2).mean(0)) + 1e-9
-        excess = np.abs((rest / scale).T @ (rest / scale)) / n
-        np.fill_diagonal(excess, 0)
-        share = 1 / (1 + np.where(excess > 0.1, excess, 0).sum(1))
-        z = np.clip(math.log(prior / (1 - prior)) + like @ share, -30, 30)
-        p = 1 / (1 + np.exp(-z))
-    return p
+        a, b = (seen1 + p @ x) / (n1 + p.sum()), (seen0 + (1 - p) @ x) / (n0 + (1 - p).sum())
+        # what is left of the votes when the classes are accounted for: voters that it ties together share a vote
+        rest = x - np.outer(p, a) - np.outer(1 - p, b)
+        rest /= np.sqrt((rest**2).mean(0)) + 1e-9
+        tie = np.maximum(rest.T @ rest / n, 0) ** 2
+        share = 1 / np.maximum(1.0, np.where(tie > TIED, tie, 0).sum(1))
+        model = Voters(a, b, share, base)
+        now = model.posterior(x)
+        if np.abs(now - p).max() < 1e-6:
+            break
+        p = now
+    return model
+
+
+def logistic(x: np.ndarray, p: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
+    """Weights, the bias last, that fit the soft labels p, by Newton's method."""
+    x = np.column_stack([x, np.ones(len(x))])
+    w = np.zeros(x.shape[1])
+    pull = np.full(len(w), ridge)
+    pull[-1] = 1e-6
+    for _ in range(60):
+        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + np.diag(pull + 1e-9), x.T @ (p - q) - pull * w)
+        w += step / max(1.0, np.abs(step).max() / 2)
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
 
 
 def fit(texts: list[str], labels: list[int]) -> Model:
@@ -156,35 +237,24 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     if not len(y) or y.all() or not y.any():
         return Model({}, 6.0 if len(y) and y.all() else -6.0)
     held = held_features(texts, y)
-    found = [set(known(t, dict.fromkeys(held, 1.0))) for t in texts]
-    votes = voters(found, texts, held)
-    # the annotator of the sampled rows is one more voter, with accuracies to be estimated like any other's
-    p = label_model(np.column_stack([votes, y.astype("i1")]), float(y.mean()))
-    # Newton's method on the logistic loss with a small ridge; the last column is the bias
-    x = np.zeros((len(y), len(held) + 1))
-    x[:, -1] = 1
-    for i, f in enumerate(found):
-        x[i, [k for k, h in enumerate(held) if h in f]] = 1
-    w = np.zeros(len(held) + 1)
-    ridge = np.full(len(w), RIDGE)
-    ridge[-1] = 1e-6
-    for _ in range(40):
-        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + np.diag(ridge + 1e-9), x.T @ (p - q) - ridge * w)
-        w += step / max(1.0, np.abs(step).max() / 2)
-        if np.abs(step).max() < 1e-6:
-            break
+    index = Index(held)
+    votes = votes_of([index.found(t) for t in texts], texts, held)
+    p = label_model(votes, y).posterior(votes)
+    w = logistic(votes[:, : len(held)].astype("f8"), p)
     return Model(dict(zip(held, w[:-1].tolist(), strict=True)), float(w[-1]))
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (SAMPLE_CLEAN, SAMPLE)) -> Model:
     """The model of at most so many labelled documents of class 0 and 1."""
-    own = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    own = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("y"))
+    first = Window.partitionBy("y").orderBy("h", "doc_id")
+    bound = F.when(F.col("y") == 1, F.lit(most[1])).otherwise(F.lit(most[0]))
+    # a labelled id may have no document, or many: ids with one are picked, then rows of theirs
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    got = []
-    for y in (0, 1):
-        ids = own.where((F.col("toxic") > 0) == F.lit(bool(y))).select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(most[y])
-        got += [(r["doc_id"], r["text"], y) for r in rows.join(F.broadcast(ids), "doc_id").select("doc_id", "text").collect()]  # at most most[y] ids
+    known = own.join(rows.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("h", F.xxhash64("doc_id"))
+    ids = known.withColumn("n", F.row_number().over(first)).where(F.col("n") <= max(most)).where(F.col("n") <= bound).select("doc_id", "y", "h")
+    picked = rows.join(F.broadcast(ids), "doc_id").withColumn("n", F.row_number().over(Window.partitionBy("y").orderBy("h", "doc_id", "text")))
+    got = [(r["doc_id"], r["text"], r["y"]) for r in picked.where(F.col("n") <= max(most)).where(F.col("n") <= bound).select("doc_id", "text", "y").collect()]
     got.sort(key=lambda r: (r[0], r[1]))
     return fit([r[1] for r in got], [r[2] for r in got])
 
@@ -196,9 +266,10 @@ def scored(docs: DataFrame, model: Model, score: str = "score", keep: list[str]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         weights, bias = held.value
+        index = held.value.index()
         for batch in batches:
             for a, texts in slices(batch):
-                z = [bias + math.fsum(sorted(weights[f] for f in known(t, weights))) for t in texts]
+                z = [bias + math.fsum(weights[f] for f in index.found(t)) for t in texts]
                 yield {c: column(batch, c).slice(a, len(texts)) for c in keep} | {score: [1 / (1 + math.exp(-min(max(x, -30), 30))) for x in z]}
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}

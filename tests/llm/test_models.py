@@ -132,16 +132,64 @@ def test_toxicity(spark, docs, none):
     assert toxicity.toxic_scores(none, labels, train=df).count() == 0
 
 
+def votes(rnd, y, hit, false):
+    return np.where(y, rnd.random(len(y)) < hit, rnd.random(len(y)) < false)
+
+
 def test_label_model_prefers_accurate_voters():
     rnd = np.random.default_rng(3)
-    y = rnd.random(3000) < 0.3
-    vote = lambda acc: np.where(rnd.random(3000) < acc, y, ~y).astype("i1")
-    votes = np.stack([vote(0.95), vote(0.9), vote(0.85), vote(0.55)], 1)
-    p = toxicity.label_model(votes, 0.3)
-    assert ((p > 0.5) == y).mean() > 0.96
-    # a poor voter that votes three times over doesn't outvote the others
-    copied = np.column_stack([votes[:, :3], *[vote(0.6)] * 3])
-    assert ((toxicity.label_model(copied, 0.3) > 0.5) == y).mean() > 0.9
+    y = rnd.random(4000) < 0.2
+    x = np.stack([votes(rnd, y, 0.7, 0.01), votes(rnd, y, 0.6, 0.02), votes(rnd, y, 0.5, 0.4)], 1)
+    noisy = y ^ (rnd.random(len(y)) < 0.05)  # labels of which one in 20 is wrong
+    m = toxicity.label_model(x, noisy)
+    odds = m.yes / m.no
+    assert odds[0] > odds[1] > 5 > 2 > odds[2]
+    p = m.posterior(x)
+    assert (p[y & (x[:, 0] | x[:, 1])] > 0.7).mean() > 0.95 and (p[~y & ~x[:, 0] & ~x[:, 1]] < 0.3).all()
+    # by its definition: the odds of who votes, in parts, on the base
+    for row, q in zip(x[:40], p[:40], strict=True):
+        z = m.base / (1 - m.base) * math.prod((m.yes[k] / m.no[k]) ** m.share[k] for k in range(3) if row[k])
+        assert q == pytest.approx(z / (1 + z))
+    # a voter that votes three times over has one vote
+    many = toxicity.label_model(np.column_stack([x, x[:, 2], x[:, 2]]), noisy)
+    assert many.share[[2, 3, 4]].sum() == pytest.approx(1, abs=0.05) and (many.share[:2] == 1).all()
+
+
+def test_toxic_features_and_scores_by_brute_force(spark):
+    own = toxic_rows()
+    model = toxicity.fit([t for _, t, _ in own], [y for *_, y in own])
+    assert {f.lstrip("^")[:3] for f, _ in model.weights} >= {"wre", "sli", "dol", "zor"}
+    df = spark.createDataFrame([(i, t) for i, t, _ in own] + [(-1, None), (-2, "")], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.scored(df, model).collect()}
+    for i, t, _ in [*own, (-1, "", 0), (-2, "", 0)]:
+        words = [w.lower() for w in t.split() if w.isalpha()]
+        n = lambda f: sum(w.startswith(f[1:]) if f[0] == "^" else w == f for w in words)
+        z = model.bias + sum(w for (f, k), w in model.weights.items() if n(f) >= (k if k == 1 else k * max(1, len(words) / toxicity.PER)))
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-z)))
+    index = toxicity.Index([*toxicity.features(own[0][1]), ("^zzz", 1)])
+    assert set(index.found(own[0][1])) == toxicity.features(own[0][1])
+
+
+def test_unborne_labels_are_not_learned():
+    """Labels of class 1 on texts like all others."""
+    own = toxic_rows()
+    wrong = [1 if i % 25 == 3 else y for i, _, y in own]
+    model = toxicity.fit([t for _, t, _ in own], wrong)
+    score = lambda t: 1 / (1 + math.exp(-model.bias - sum(model.weights[f] for f in model.index().found(t))))
+    assert all(score(t) < 0.7 for i, t, y in own if not y)
+    assert np.mean([score(t) >= 0.7 for _, t, y in own if y]) > 0.95
+
+
+def test_different_texts_of_common_words_all_count():
+    """Texts over a small vocabulary are no copies; those that differ in a word or two are."""
+    rnd = random.Random(8)
+    stock = ["".join(rnd.choice("abcdef") for _ in range(4)) for _ in range(300)]
+    texts = [" ".join(rnd.choice(stock) for _ in range(80)) for _ in range(200)]
+    assert len(set(toxicity.copies(texts))) == 200
+    near = [f"{t} more{i}" for i, t in enumerate(texts)]
+    group = toxicity.copies(texts + near)
+    assert all(group[i] == group[i + 200] for i in range(200)) and len(set(group)) == 200
+    assert toxicity.copies([]) == [] and len(set(toxicity.copies(["", "", "a"]))) == 3
 
 
 def test_language_model(spark, docs, none):
