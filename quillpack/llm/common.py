@@ -12,7 +12,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,6 +98,23 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.names.index(name))
 
 
+def text_slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts as an Arrow array) of about limit bytes each; a null text is empty."""
+    texts = pc.fill_null(column(batch, text).cast(pa.large_string()), "")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy())
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + limit, "right")))
+        yield a, texts.slice(a, b - a)
+        a = b
+
+
+def parts_for(df: DataFrame, each: int, most: int = 20_000) -> int:
+    """How many parts of about `each` bytes df makes, as the optimizer estimates its size; as many as shuffles have at least."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(most, size // each))
+
+
 def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) of about limit characters each; a null text is empty."""
     out: list[str] = []

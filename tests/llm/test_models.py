@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillpack.llm import bilinear, langcrf, matroska, toxicity
 
@@ -213,6 +214,17 @@ def test_language_model(spark, docs, none):
     assert bilinear.text_scores(docs, "true").count() == len(own)
 
 
+def test_tokens_are_those_of_the_definition():
+    import pyarrow as pa
+
+    ts = [r[1] or "" for r in rows()] + ["", " ", "\x0b\x0c a", "x\x1cy \x85 é\u2003Z\tÀB", "  \n"]
+    for own in (ts, ts[:1], ["", ""], [" "]):
+        words, where, sizes = bilinear.lexed(pa.array(own, pa.large_string()))
+        words = [*words.to_pylist(), bilinear.END]
+        want = [[*t.encode().lower().split(), bilinear.END] for t in own]
+        assert [words[i] for i in where] == [w for ws in want for w in ws] and sizes.tolist() == list(map(len, want))
+
+
 def test_probabilities_add_up_and_training_helps():
     rnd = random.Random(1)
     chain = {0: [2, 3], 1: [2], 2: [3, 3, 3, 4], 3: [4, 4, 1], 4: [1, 2, 2]}
@@ -221,23 +233,80 @@ def test_probabilities_add_up_and_training_helps():
         ids.append(rnd.choice(chain[ids[-1]]))
     ids = np.array(ids)
     by_class = np.bincount(ids, minlength=5).astype(float)
-    begin = bilinear.start(by_class, 8)
     ends = np.array([len(ids)])
     t, a, b = bilinear.contexts(ids, ends)
     stream = (np.stack([t, a, b])[:, i : i + 2000] for _ in range(4) for i in range(0, len(ids), 2000))
-    model, seen = bilinear.train(begin, by_class, stream, 1)
+    model, _, seen = bilinear.train(bilinear.start(by_class, 8), by_class, stream, 1)
     tables = bilinear.Tables(model)
     every = np.arange(5)
     for x in range(5):
         for y in range(5):
-            assert (10 ** tables.log10(every, np.full(5, x), np.full(5, y))).sum() == pytest.approx(1, abs=1e-5)
+            p = 10 ** tables.log10(every, np.full(5, x), np.full(5, y))
+            z = np.exp([(model.c[0] * model.r[x] + model.c[1] * model.r[y]) @ model.q[k] + model.bias[k] for k in range(5)])
+            assert np.allclose(p, z / z.sum(), atol=1e-5)
     trained = tables.log10(t, a, b).mean()
     assert seen == 4 * len(ids) and trained > np.log10(by_class[t] / len(ids)).mean() + 0.1
 
 
+def test_batches_hold_every_token_once():
+    rnd = np.random.default_rng(5)
+    texts = [np.append(rnd.integers(1, 9, n), 0).astype("u2") for n in (0, 40000, 3, 2, 50000, 0)]
+    got = np.concatenate(list(bilinear.batches_of(x.tobytes() for x in texts)), 1)
+    ids = np.concatenate(texts).astype("i8")
+    assert (got == np.stack(bilinear.contexts(ids, np.cumsum(list(map(len, texts)))))).all()
+
+
+def test_scores_depend_on_rows_alone(spark):
+    """Several shards; other files, order and partitions; a brute-force softmax; better than single tokens' shares."""
+    rnd = random.Random(6)
+    stock = {k: [f"{k}{rnd.randrange(90)}{'xyz'[k % 3]}" for _ in range(60)] for k in range(4)}
+    own = [(i, " ".join(rnd.choice(stock[i % 4]) for _ in range(40)) + (f" rare{i}" if i % 5 == 0 else "")) for i in range(600)]
+    df = spark.createDataFrame(own, "doc_id long, text string")
+    seen, learn = [], bilinear.learn
+
+    def kept(scored, h, **more):
+        seen.append((h, learn(scored, h, **more)))
+        return seen[-1][1]
+
+    bilinear.learn = kept
+    try:
+        one = {r["doc_id"]: r for r in bilinear.text_scores(df.repartition(7), "doc_id % 10 = 0", shard=3000).collect()}
+        two = {r["doc_id"]: r for r in bilinear.text_scores(df.orderBy(F.desc("doc_id")).coalesce(2), "doc_id % 10 = 0", shard=3000).collect()}
+    finally:
+        bilinear.learn = learn
+    assert all(r["score"] == pytest.approx(two[i]["score"], abs=1e-9) for i, r in one.items())
+    held = [r for r in one.values() if r["held_out"]]
+    assert sum(r["score"] - r["base_score"] for r in held) / sum(r["n_tokens"] for r in held) > 0.1
+    h, m = seen[0]
+    c = collections.Counter(w for i, t in own if i % 10 for w in [*t.split(), "\n"])
+    suffix = lambda w: 1 + h.own + zlib.crc32(w.encode()[-3:]) % bilinear.SUFFIXES
+    classes = {w.decode(): k + 1 for k, w in enumerate(h.words[: h.own])}
+    kinds = collections.Counter(suffix(w) for w in c if w not in classes and w != "\n")
+    mass = collections.Counter()
+    for w, n in c.items():
+        if w not in classes and w != "\n":
+            mass[suffix(w)] += n
+    for i, t in own[:40]:
+        a = b = 0
+        want = 0.0
+        for w in [*t.split(), "\n"]:
+            k = 0 if w == "\n" else classes.get(w, suffix(w))
+            z = (m.c[0] * m.r[a] + m.c[1] * m.r[b]) @ m.q.T + m.bias
+            want += (z[k] - np.log(np.exp(z).sum())) / math.log(10) + (math.log10((c[w] + 0.1) / (mass[k] + 0.1 * (kinds[k] + 1))) if k > h.own else 0)
+            a, b = k, a
+        assert one[i]["score"] == pytest.approx(want, abs=1e-3)
+
+
+def test_head_is_filled_when_counts_are_equal(spark):
+    df = spark.createDataFrame([(" ".join(f"t{i}" for i in range(3000)),)], "text string")
+    h = bilinear.head(bilinear.token_counts(df, 3), most=1000, own=100)
+    assert 800 < len(h.words) < 1200 and h.own == 100 and h.total == 3001 and h.ends == 1
+    assert h.by_class().sum() == 3001 and h.kinds.sum() == 2900
+
+
 def test_contexts_begin_anew_with_each_text():
-    t, a, b = bilinear.contexts(np.array([5, 1, 6, 7, 1, 1]), np.array([2, 5, 6]))
-    assert (a.tolist(), b.tolist()) == ([1, 5, 1, 6, 7, 1], [1, 1, 1, 1, 6, 1])
+    t, a, b = bilinear.contexts(np.array([5, 0, 6, 7, 0, 0]), np.array([2, 5, 6]))
+    assert (a.tolist(), b.tolist()) == ([0, 5, 0, 6, 7, 0], [0, 0, 0, 0, 6, 0])
 
 
 def test_media(spark, docs, none):
