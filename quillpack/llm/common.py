@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Texts of about so many bytes are handled at a time inside an Arrow batch.
@@ -56,6 +56,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def least_hashed(rows: DataFrame, by: str, most: Column, order: list[str], parts: int = 64) -> DataFrame:
+    """Of every value of `by`, the `most` rows (a column) that come first by h and order. They meet in one task after each of `parts` tasks has left no more."""
+    out = rows.withColumn("part", F.pmod(F.col("h"), F.lit(parts)))
+    for keys in ([by, "part"], [by]):
+        out = out.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("h", *order))).where(F.col("n") <= most)
+    return out.drop("part", "n")
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -76,6 +84,11 @@ def forget_others(owner: str) -> None:
         if name.startswith(f"{__package__}.") and hasattr(module, "forget"):
             module.forget()
     gc.collect()
+    give_back()
+
+
+def give_back() -> None:
+    """Memory that is free in this worker goes back to the system; workers that wait for their next task keep theirs otherwise."""
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
@@ -90,6 +103,7 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[di
         forget_others(owner)
         for out in f(batches):
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t.type) for t, x in ((t, out[t.name]) for t in schema)], schema=schema)
+        give_back()
 
     return df.mapInArrow(run, ddl)
 

@@ -14,6 +14,7 @@ the posterior, so that labels which no voter bears out are not learned, and scor
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import zlib
@@ -23,10 +24,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, map_arrow, slices
+from .common import column, least_hashed, map_arrow, slices
 
 #: Labelled rows that the model is fitted on at most, of class 1 and of class 0; chosen by a hash of their id.
 SAMPLE, SAMPLE_CLEAN = 2000, 5000
@@ -83,16 +85,28 @@ class Index:
         return sorted((f, k) for f, n in counts.items() for k in self.times[f] if k == 1 or n >= k * long)
 
 
-def features(text: str) -> set[tuple[str, int]]:
-    """All features of a text, of which voters are chosen."""
-    seen: Counter[str] = Counter(WORD.findall(text.lower()))
-    counts = Counter(seen)
-    for w, c in seen.items():
-        for n in BEGINNINGS:
-            if len(w) >= n:
-                counts["^" + w[:n]] += c
-    long = max(1.0, seen.total() / PER)
-    return {(f, k) for f, c in counts.items() for k in TIMES if k == 1 or c >= k * long}
+class Features:
+    """Hashes of all features of texts, of which voters are chosen: words, and their beginnings, so many times."""
+
+    def __init__(self):
+        self.words: dict[str, np.ndarray] = {}
+
+    @staticmethod
+    def names(word: str) -> list[str]:
+        return [word, *("^" + word[:n] for n in BEGINNINGS if len(word) >= n)]
+
+    def of(self, text: str) -> np.ndarray:
+        seen = Counter(WORD.findall(text.lower()))
+        if not seen:
+            return np.zeros(0, "u8")
+        for w in seen:
+            if w not in self.words:
+                self.words[w] = np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in self.names(w)], "u8")
+        parts = [self.words[w] for w in seen]
+        found, where = np.unique(np.concatenate(parts), return_inverse=True)
+        counts = np.bincount(where, np.repeat([*seen.values()], list(map(len, parts))))
+        long = max(1.0, seen.total() / PER)
+        return np.sort(np.concatenate([found, *(found[counts >= k * long] * np.uint64(2 * k + 1) for k in TIMES if k > 1)]))
 
 
 def surprise(k: int, n: int, q: float) -> float:
@@ -130,31 +144,43 @@ def copies(texts: list[str]) -> list[int]:
 
 def held_features(texts: list[str], labels: np.ndarray) -> list[tuple[str, int]]:
     """The features that speak for class 1. Evidence is counted by groups of near copies: what only the copies of one text share says nothing."""
-    group = copies(texts)
-    ones, zeros = ([(g, t) for g, t, y in zip(group, texts, labels, strict=True) if bool(y) == wanted] for wanted in (True, False))
-    has: dict[tuple[str, int], set[int]] = {}
-    for g, t in ones:
-        for f in features(t):
-            has.setdefault(f, set()).add(g)
-    tried = len(has)
-    own = Index(has := {f: x for f, x in has.items() if len(x) > 1})
-    clean: dict[tuple[str, int], set[int]] = {}
-    for g, t in zeros:
-        for f in own.found(t):
-            clean.setdefault(f, set()).add(g)
+    group, hashed = copies(texts), Features()
+    ones, zeros = ([(g, t) for g, t, y in sorted(zip(group, texts, labels, strict=True), key=lambda x: x[0]) if bool(y) == wanted] for wanted in (True, False))
+
+    def by_group(rows: list[tuple[int, str]]) -> Iterator[np.ndarray]:
+        for _, own in itertools.groupby(rows, lambda x: x[0]):
+            yield np.unique(np.concatenate([hashed.of(t) for _, t in own]))
+
+    keys, toxic = np.unique(np.concatenate([*by_group(ones)]), return_counts=True)
+    tried = len(keys)
+    keys, toxic = keys[toxic > 1], toxic[toxic > 1]
+    clean = np.zeros(len(keys), "i8")
+    for own in by_group(zeros):
+        at = np.searchsorted(keys, own)
+        clean[at[(at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == own)] if len(keys) else []] += 1
     n1, n0 = len({g for g, _ in ones}), len({g for g, _ in zeros})
     q, least = n1 / (n1 + n0), SURPRISE + math.log(tried + 1)
+    strong = np.log((toxic + 0.1) / (n1 + 1)) - np.log((clean + 0.1) / (n0 + 1)) > EVIDENCE
+    told = {k: s for k, c1, c0 in zip(keys[strong].tolist(), toxic[strong].tolist(), clean[strong].tolist(), strict=True) if (s := surprise(c1, c1 + c0, q)) > least}
+    # the names of the features that are left, and the groups that have them
     found: dict[tuple[str, int], float] = {}
-    for f, x in has.items():
-        k, c = len(x), len(clean.get(f, ()))
-        if math.log((k + 0.1) / (n1 + 1)) - math.log((c + 0.1) / (n0 + 1)) > EVIDENCE and (s := surprise(k, k + c, q)) > least:
-            found[f] = s
+    for w, own in hashed.words.items():
+        for name, h in zip(Features.names(w), own.tolist(), strict=True):
+            found |= {(name, k): told[x] for k in TIMES if (x := h * (2 * k + 1 if k > 1 else 1) % 2**64) in told}
+    del hashed, keys
+    index = Index(found)
+    has: dict[tuple[str, int], set[int]] = {f: set() for f in found}
+    clean: dict[tuple[str, int], set[int]] = {f: set() for f in found}
+    for rows, held_by in ((ones, has), (zeros, clean)):
+        for g, t in rows:
+            for f in index.found(t):
+                held_by[f].add(g)
     # a word, its beginnings and their numbers are related: the best of them is held, and others if the texts that it leaves still speak for them
     held, seen1, seen0 = [], {}, {}
     for f in sorted(found, key=lambda f: (-found[f], f[1], len(f[0].lstrip("^")), f)):
         family = f[0].lstrip("^")[: BEGINNINGS[0]]
         old1, old0 = seen1.setdefault(family, set()), seen0.setdefault(family, set())
-        new1, new0 = has[f] - old1, clean.get(f, set()) - old0
+        new1, new0 = has[f] - old1, clean[f] - old0
         if surprise(len(new1), len(new1) + len(new0), q) > SURPRISE:
             held.append(f)
             old1 |= new1
@@ -247,14 +273,14 @@ def fit(texts: list[str], labels: list[int]) -> Model:
 def sample(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (SAMPLE_CLEAN, SAMPLE)) -> Model:
     """The model of at most so many labelled documents of class 0 and 1."""
     own = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("y"))
-    first = Window.partitionBy("y").orderBy("h", "doc_id")
-    bound = F.when(F.col("y") == 1, F.lit(most[1])).otherwise(F.lit(most[0]))
     # a labelled id may have no document, or many: ids with one are picked, then rows of theirs
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     known = own.join(rows.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("h", F.xxhash64("doc_id"))
-    ids = known.withColumn("n", F.row_number().over(first)).where(F.col("n") <= max(most)).where(F.col("n") <= bound).select("doc_id", "y", "h")
-    picked = rows.join(F.broadcast(ids), "doc_id").withColumn("n", F.row_number().over(Window.partitionBy("y").orderBy("h", "doc_id", "text")))
-    got = [(r["doc_id"], r["text"], r["y"]) for r in picked.where(F.col("n") <= max(most)).where(F.col("n") <= bound).select("doc_id", "text", "y").collect()]
+    got = []
+    for y in (0, 1):
+        ids = least_hashed(known.where(F.col("y") == y), "y", F.lit(most[y]), ["doc_id"])
+        picked = least_hashed(rows.join(F.broadcast(ids), "doc_id"), "y", F.lit(most[y]), ["doc_id", "text"])
+        got += [tuple(r) for r in picked.select("doc_id", "text", "y").collect()]
     got.sort(key=lambda r: (r[0], r[1]))
     return fit([r[1] for r in got], [r[2] for r in got])
 

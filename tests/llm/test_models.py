@@ -167,8 +167,11 @@ def test_toxic_features_and_scores_by_brute_force(spark):
         n = lambda f: sum(w.startswith(f[1:]) if f[0] == "^" else w == f for w in words)
         z = model.bias + sum(w for (f, k), w in model.weights.items() if n(f) >= (k if k == 1 else k * max(1, len(words) / toxicity.PER)))
         assert got[i] == pytest.approx(1 / (1 + math.exp(-z)))
-    index = toxicity.Index([*toxicity.features(own[0][1]), ("^zzz", 1)])
-    assert set(index.found(own[0][1])) == toxicity.features(own[0][1])
+    hashed = toxicity.Features()
+    text = own[0][1] + " " + " ".join(["again"] * 3)
+    names = {(f, k) for w in text.split() for f in toxicity.Features.names(w) for k in toxicity.TIMES}
+    found = toxicity.Index([*names, ("^zzz", 1)]).found(text)
+    assert ("again", 3) in found and len(found) == len(hashed.of(text)) and len(hashed.of("")) == 0
 
 
 def test_unborne_labels_are_not_learned():
