@@ -10,17 +10,16 @@ Sequences are runs of at most RUN words, so that all of a batch's are worked thr
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, map_arrow, slices
+from .common import column, least_hashed, map_arrow, slices
 
 #: Labelled documents that the field is fitted on at most, of each language; chosen by a hash of their id.
 SAMPLE = 300
@@ -43,15 +42,40 @@ class Field(NamedTuple):
     lexicon: dict[str, int]  # a bit for each language
 
 
-def features(word: str, lexicon: dict[str, int]) -> list[int]:
-    """Hashed features of a lower-case word."""
-    w = f"^{word}$"
-    names = [w] if len(w) < 10 else []
-    names += ["p" + w[:n] for n in (2, 3, 4)] + ["s" + w[-n:] for n in (2, 3, 4)]
-    names += [w[i : i + 2] for i in range(len(w) - 1)] + [w[i : i + 3] for i in range(len(w) - 2)]
-    bits = lexicon.get(word, 0)
-    names += [f"in lexicon {k}" for k in range(bits.bit_length()) if bits >> k & 1]
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % SPACE for x in names]
+def _mixed(x: np.ndarray, kind: int) -> np.ndarray:
+    x = (x + np.uint64(kind)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((x >> np.uint64(40)) % np.uint64(SPACE)).astype("i8")
+
+
+def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the word, hashed feature) of all features of lower-case words: character n-grams of 2 and 3, beginnings and ends of 2, 3 and 4 with the
+    word's edges, words of up to 7 letters, and the lexicons that hold the word."""
+    if not words:
+        return np.zeros(0, "i8"), np.zeros(0, "i8")
+    chars = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le", "surrogatepass"), "u4").astype("u8")
+    sizes = np.array(list(map(len, words))) + 2
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    owner = np.repeat(np.arange(len(words)), sizes)
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    gram = chars
+    for n in (2, 3, 4):
+        gram = gram[:-1] * np.uint64(0x100000001B3) + chars[n - 1 :] if len(gram) > 1 else gram[:0]
+        if n < 4:
+            inside = owner[: len(gram)] == owner[n - 1 :]
+            out.append((owner[: len(gram)][inside], _mixed(gram[inside], n)))
+        own = np.flatnonzero(sizes >= n)
+        out += [(own, _mixed(gram[begins[own]], 10 + n)), (own, _mixed(gram[ends[own] - n], 20 + n))]
+    place = (np.arange(len(chars)) - begins[owner]).astype("u8")
+    whole = np.add.reduceat(chars * (place * np.uint64(2) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) ** (place % np.uint64(8)), begins)
+    short = np.flatnonzero(sizes < 10)
+    out.append((short, _mixed(whole[short], 1)))
+    bits = np.fromiter((lexicon.get(w, 0) for w in words), "i8", len(words))
+    for k in range(int(bits.max()).bit_length()):
+        own = np.flatnonzero(bits >> k & 1)
+        out.append((own, _mixed(np.full(len(own), k, "u8"), 30)))
+    return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
 
 
 def posteriors(scores: np.ndarray, moves: np.ndarray, first: np.ndarray, lengths: np.ndarray, enter: np.ndarray | None = None, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -147,7 +171,6 @@ def fit(rows: list[tuple[str, str]], seed: int = 11) -> Field | None:
     n, rng = len(languages), np.random.default_rng(seed)
     weights, moves, first = np.zeros((SPACE, n)), np.zeros((n, n)), np.zeros(n)
     g_w, g_m, g_f = np.full((SPACE, n), 1e-3), np.full((n, n), 1e-3), np.full(n, 1e-3)
-    cache: dict[str, list[int]] = {}
     for _ in range(STEPS if n > 1 else 0):
         seqs, gold = [], np.zeros((BATCH, LENGTH), "i8")
         for r in range(BATCH):
@@ -160,11 +183,8 @@ def fit(rows: list[tuple[str, str]], seed: int = 11) -> Field | None:
                 gold[r, len(words) : len(words) + len(span)] = k
                 words += span
             seqs.append(words)
-        ids = [cache.get(w) or cache.setdefault(w, features(w, lexicon)) for words in seqs for w in words]
-        sizes = np.array(list(map(len, ids)))
-        flat = np.fromiter((f for x in ids for f in x), "i8", int(sizes.sum()))
-        owner = np.repeat(np.arange(len(ids)), sizes)
-        scores = np.stack([np.bincount(owner, weights[flat, k], len(ids)) for k in range(n)], 1).reshape(BATCH, LENGTH, n)
+        owner, flat = features([w for words in seqs for w in words], lexicon)
+        scores = np.stack([np.bincount(owner, weights[flat, k], BATCH * LENGTH) for k in range(n)], 1).reshape(BATCH, LENGTH, n)
         p, expected = posteriors(scores, moves, first, np.full(BATCH, LENGTH))
         error = p - np.eye(n)[gold]
         grad = np.stack([np.bincount(flat, error.reshape(-1, n)[owner, k], SPACE) for k in range(n)], 1) / BATCH
@@ -181,6 +201,7 @@ class Labeller:
 
     def __init__(self, field: Field):
         self.field = field
+        self.weights = np.ascontiguousarray(field.weights.T)
         self.place: dict[str, int] = {}
         self.scores = np.zeros((0, len(field.languages)))
 
@@ -190,10 +211,8 @@ class Labeller:
         new = list(words.difference(self.place))
         if not new:
             return
-        ids = [features(w, self.field.lexicon) for w in new]
-        sizes = list(map(len, ids))
-        flat = np.fromiter((f for x in ids for f in x), "i8", sum(sizes))
-        sums = np.add.reduceat(self.field.weights[flat], np.r_[0, np.cumsum(sizes)[:-1]])
+        owner, flat = features(new, self.field.lexicon)
+        sums = np.stack([np.bincount(owner, own[flat], len(new)) for own in self.weights], 1)
         self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
         self.scores = np.concatenate([self.scores, sums])
 
@@ -226,11 +245,10 @@ _labellers: dict[int, Labeller] = {}
 def sample(docs: DataFrame, most: int = SAMPLE) -> Field | None:
     """The field of at most `most` documents of each language (a column lang)."""
     rows = docs.where("lang is not null and text is not null")
-    # ids first, so that no more than `most` rows of a task and language are moved; then, as an id may have many rows, rows again
+    # ids first, as columns; then, as an id may have many rows, rows again
     hashed = rows.withColumn("h", F.xxhash64("doc_id"))
-    first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = hashed.select("lang", "doc_id", "h").withColumn("n", F.row_number().over(first)).where(F.col("n") <= most).select("lang", "doc_id").distinct()
-    picked = hashed.select("lang", "doc_id", "text", "h").join(F.broadcast(ids), ["lang", "doc_id"]).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))).where(F.col("n") <= most)
+    ids = least_hashed(hashed.select("lang", "doc_id", "h"), "lang", F.lit(most), ["doc_id"]).select("lang", "doc_id").distinct()
+    picked = least_hashed(hashed.select("lang", "doc_id", "text", "h").join(F.broadcast(ids), ["lang", "doc_id"]), "lang", F.lit(most), ["doc_id", "text"])
     got = [tuple(r) for r in picked.select("doc_id", "text", "lang").collect()]
     return fit([r[1:] for r in sorted(got, key=lambda r: (str(r[0]), r[1], r[2]))])
 
