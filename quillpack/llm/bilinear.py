@@ -399,6 +399,7 @@ class Tables:
 _tables: dict[int, Tables] = {}
 #: A blob's texts: of each, what the head tells of it, and where its other tokens begin in `tail`, indices into `words`; ids: classes of all tokens.
 SCORED = "blob long, doc_id array<long>, held_out array<boolean>, key array<long>, n_tokens array<long>, ids binary, n_head array<long>, base array<double>, inner array<double>, ends array<long>, tail binary, words binary"
+PRICED = SCORED.replace("key array<long>, ", "").replace("ids binary, ", "")
 ASKED = "bucket int, asks int, blob long, words binary, counts binary"
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -478,11 +479,22 @@ def text_scores(docs: DataFrame, held_out: str, shard: int = SHARD) -> DataFrame
     scored = materialise(map_arrow(rows, run, SCORED), "scored")
     model = docs.sparkSession.sparkContext.broadcast(learn(scored, h, shard=shard))
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    def price(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         if id(model.value) not in _tables:
             _tables.clear()
             _tables[id(model.value)] = Tables(model.value)
         tables = _tables[id(model.value)]
+        for batch in batches:
+            for i in range(len(batch)):
+                n = np.array(column(batch, "n_tokens")[i].as_py())
+                p = tables.log10(*contexts(expanded(column(batch, "ids")[i].as_py(), "u2").astype("i8"), np.cumsum(n)))
+                inner = np.array(column(batch, "inner")[i].as_py()) + np.bincount(np.repeat(np.arange(len(n)), n), p, len(n))
+                yield {c: column(batch, c).slice(i, 1) for c in batch.schema.names} | {"inner": [inner.tolist()]}
+
+    # the classes stay where they are: what is merged has no part that grows with each text but its rare tokens
+    priced = map_arrow(scored.drop("key"), price, PRICED)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for row in batch.to_pylist():
                 found = {x["bucket"]: iter(unpacked(x["counts"]).tolist()) for x in row["found"] or []}
@@ -493,14 +505,13 @@ def text_scores(docs: DataFrame, held_out: str, shard: int = SHARD) -> DataFrame
                     owner = np.repeat(np.arange(k), np.diff(np.r_[0, row["ends"]]))
                     more = np.bincount(owner, np.log10(c + 0.1)[tail], k)
                     known = known + np.bincount(owner, (c > 0)[tail], k).astype("i8")
-                p = np.bincount(np.repeat(np.arange(k), n), tables.log10(*contexts(expanded(row["ids"], "u2").astype("i8"), np.cumsum(n))), k)
                 yield {
                     "doc_id": row["doc_id"], "held_out": [h is not False for h in row["held_out"]], "n_tokens": row["n_tokens"], "n_known": known, "train_tokens": [total] * k,
-                    "base_score": np.array(row["base"]) + more - n * scale, "score": p + np.array(row["inner"]) + more,
+                    "base_score": np.array(row["base"]) + more - n * scale, "score": np.array(row["inner"]) + more,
                 }
 
     # merged at every size: what is looked up grows with the input, so it is never broadcast
-    return map_arrow(scored.hint("merge").join(looked_up(scored, counts, buckets), "blob", "left"), finish, RESULT)
+    return map_arrow(priced.hint("merge").join(looked_up(scored, counts, buckets), "blob", "left"), finish, RESULT)
 
 
 def forget() -> None:
