@@ -1,12 +1,14 @@
 """Benchmark decontamination by winnowing, in DataFrame functions only.
 
-Of every window of WINDOW words the least hash of its GRAM-word runs is its fingerprint; windows with the same words have the same
-one, so training and test windows that meet must meet in the join of their fingerprints. A hit is extended
-from the run to the whole window and compared word by word. An item with fewer words than a window is one window of
-its own length, its fingerprint the hash of all its words. Any shared span of WINDOW words or more is thus covered whole.
-
-Training windows are hashed and probed where the text was read; only hits move. The test side is broadcast if it was
-counted to be at most BROADCAST_ROWS rows, else the join shuffles, and skewed fingerprints are split at run time.
+Of every window of WINDOW words the least hash of its GRAM-word runs is kept; neighbouring windows mostly have the same one, so a text is
+winnowed to the distinct ones. Windows with the same words have the same one, so training and test texts that share a window
+meet in the join of their fingerprints. An item with fewer words than a window is one window of its own length, its
+fingerprint the hash of all its words. Texts that meet a fingerprint are read again, and there a hit is extended from the fingerprint to the whole
+window and compared word by word. Any shared span of WINDOW words or more is thus covered whole.
+
+All sizes of windows are worked through in one pass. What is joined first is a text's key and its fingerprints, then the keys of those that met; a text goes
+with its windows only where no shuffle follows. The test side, and the keys, are broadcast if they were
+counted to be at most BROADCAST_ROWS rows, else the joins shuffle, and skewed fingerprints are split at run time.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 WINDOW, GRAM = 10, 5
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BROADCAST_ROWS = 500_000
@@ -26,19 +30,37 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lower, NOT_WORD, -1), "")
 
 
-def _fingerprint(size: int, window: int, gram: int) -> Column:
-    """Of the window of size words that begins at word p (from 0), out of the words' hashes h."""
+def _hashed(w: Column) -> Column:
+    return F.transform(w, lambda x: F.xxhash64(x))
+
+
+def _fingerprints(h: Column, g: Column, size: int, window: int, gram: int) -> Column:
+    """Of every window of size words, in order, out of the words' hashes h and those of their runs g."""
     if size < window:
-        return F.xxhash64(F.lit(size), *(F.expr(f"h[p + {j}]") for j in range(size)))
-    grams = [F.xxhash64(*(F.expr(f"h[p + {i + j}]") for j in range(gram))) for i in range(window - gram + 1)]
-    return F.least(*grams) if len(grams) > 1 else grams[0]
+        return F.transform(F.sequence(F.lit(0), F.size(h) - size), lambda p: F.xxhash64(F.lit(size), F.slice(h, p + 1, size)))
+    return F.transform(F.sequence(F.lit(0), F.size(h) - size), lambda p: F.array_min(F.slice(g, p + 1, window - gram + 1)))
+
+
+def _runs(h: Column, gram: int) -> Column:
+    return F.when(F.size(h) < gram, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.size(h) - gram), lambda i: F.xxhash64(F.slice(h, i + 1, gram))))
+
 
+def _prepared(rows: DataFrame, gram: int) -> DataFrame:
+    """rows (with w, the words): their hashes h, and those of their runs g."""
+    return rows.withColumn("h", _hashed(F.col("w"))).withColumn("g", _runs(F.col("h"), gram))
 
-def _windows(rows: DataFrame, size: int, window: int, gram: int) -> DataFrame:
-    """rows (with w, the words, and h, their hashes): keys, p, size, f for every window of size words."""
-    keys = [c for c in rows.columns if c not in ("w", "h")]
-    cut = rows.where(F.size("h") >= size).select(*keys, "w", "h", F.explode(F.sequence(F.lit(0), F.size("h") - size)).alias("p"))
-    return cut.select(*keys, "w", "p", F.lit(size).alias("size"), _fingerprint(size, window, gram).alias("f"))
+
+def _all(sizes: list[int], window: int, gram: int, made) -> Column:
+    """made(fingerprints, size) of the windows of all sizes, in one array; a text of fewer words than a size has no window of it."""
+    parts = [F.when(F.size("h") >= n, made(_fingerprints(F.col("h"), F.col("g"), n, window, gram), n)) for n in sizes]
+    return F.flatten(F.filter(F.array(*parts), lambda x: x.isNotNull()))
+
+
+def _windows(rows: DataFrame, sizes: list[int], window: int, gram: int) -> DataFrame:
+    """rows (with w): size, p and f of every window, w with them."""
+    keys = [c for c in rows.columns if c != "w"]
+    at = lambda f, n: F.transform(f, lambda x, p: F.struct(F.lit(n).alias("size"), p.alias("p"), x.alias("f")))
+    return _prepared(rows, gram).select(*keys, "w", F.inline(_all(sizes, window, gram, at)))
 
 
 def _spelled(df: DataFrame) -> DataFrame:
@@ -46,26 +68,29 @@ def _spelled(df: DataFrame) -> DataFrame:
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """k1, k2 (the document), p, size, items: document windows that occur in the benchmark and the items that have them."""
-    tests = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0).withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
+    """k1, k2 (the document and its text's hash), p, size, items: document windows that occur in the benchmark and the items that have them.
+
+    A null text or item has no words and no window; a null doc_id or item_id stays; rows that repeat a document and its text give their
+    windows each; without items, or without documents, there is no row.
+    """
+    tests = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
     sizes = sorted({min(r[0], window) for r in tests.select(F.least(F.size("w"), F.lit(window))).distinct().collect()})  # at most `window` numbers
     if not sizes:
         return docs.select(F.col("doc_id").alias("k1"), F.lit(0).cast("long").alias("k2"), F.lit(0).alias("p"), F.lit(0).alias("size"), F.array(F.lit(0).cast("long")).alias("items")).limit(0)
-    parts = [_windows(tests if n == window else tests.where(F.size("h") == n), n, window, gram) for n in sizes]
-    test = parts[0]
-    for x in parts[1:]:
-        test = test.union(x)
-    test = _spelled(test).groupBy("size", "f", "t").agg(F.collect_set("item_id").alias("items"))
-    found = test.groupBy("size", "f").agg(F.lit(1).alias("one")).drop("one")
+    test = _windows(tests, sizes, window, gram)
+    # an item shorter than a window is one window, a longer one has none of the shorter sizes
+    test = _spelled(test.where((F.col("size") == window) | (F.col("size") == F.size("w")))).groupBy("size", "f", "t").agg(F.collect_set("item_id").alias("items"))
+    test = materialise(test, "tests")
+    found = test.select("f").distinct()
     small = test.count() <= BROADCAST_ROWS
-    probe, exact = (F.broadcast(found), F.broadcast(test)) if small else (found, test)
-    rows = docs.select(F.col("doc_id").alias("k1"), F.xxhash64("text").alias("k2"), words(F.col("text")).alias("w")).withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
-    out = None
-    for n in sizes:
-        own = _windows(rows, n, window, gram).join(probe.where(F.col("size") == n).select("f"), "f", "left_semi")
-        part = _spelled(own).join(exact.where(F.col("size") == n).drop("size"), ["f", "t"]).select("k1", "k2", "p", "size", "items")
-        out = part if out is None else out.union(part)
-    return out
+    rows = docs.select(F.col("doc_id").alias("k1"), F.xxhash64("text").alias("k2"), words(F.col("text")).alias("w"))
+    prints = _prepared(rows, gram).select("k1", "k2", F.explode(F.array_distinct(_all(sizes, window, gram, lambda f, n: f))).alias("f"))
+    met = materialise(prints.join(F.broadcast(found) if small else found, "f", "left_semi").select("k1", "k2").distinct(), "met")
+    keys = met.toDF("m1", "m2")
+    keys = F.broadcast(keys) if met.count() <= BROADCAST_ROWS else keys
+    own = _windows(rows.join(keys, rows["k1"].eqNullSafe(keys["m1"]) & (rows["k2"] == keys["m2"]), "left_semi"), sizes, window, gram)
+    spelled = _spelled(own.join(F.broadcast(found), "f", "left_semi") if small else own)
+    return spelled.join(F.broadcast(test) if small else test, ["size", "f", "t"]).select("k1", "k2", "p", "size", "items")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -86,6 +111,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """The rows of docs without a benchmark window, with all their columns."""
+    """The rows of docs without a benchmark window, with all their columns.
+
+    Rows with a null text or without a word stay, as do all if the benchmark is empty; repeated rows stay or go together.
+    """
     bad = hits(docs, benchmark, window, gram).select("k1", "k2").distinct()
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["k1"]) & (F.xxhash64(docs["text"]) == bad["k2"]), "left_anti")
