@@ -106,3 +106,15 @@ def composition(total: int, decay: float, seed: int) -> tuple[list[int], list[in
     n = 1 + int(rng.choice(total, p=weights / weights.sum()))
     ends = [0, *sorted((1 + rng.choice(total - 1, n - 1, replace=False)).tolist()), total] if total > 1 else [0, total]
     return np.diff(ends).tolist(), ends
+
+
+def cropped(values: Column, channels: int, height: int, width: int, to_height: int, to_width: int) -> Column:
+    """The upper left corner of [c, h, w] values."""
+    return F.array(*[F.get(values, F.lit((c * height + y) * width + x)) for c in range(channels) for y in range(to_height) for x in range(to_width)])
+
+
+def unpacked(values: Column, lengths: Column, marks: int = 2) -> Column:
+    """Rows of a pack given back to its samples, whose lengths count `marks` more."""
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("array()").cast("array<struct<at:bigint,n:bigint>>").alias("parts"))
+    cut = F.aggregate(lengths, start, lambda a, n: F.struct((a["at"] + n - marks).cast("long").alias("at"), F.concat(a["parts"], F.array(F.struct(a["at"].alias("at"), (n - marks).cast("long").alias("n")))).alias("parts")))
+    return F.transform(cut["parts"], lambda p: F.slice(values, (p["at"] + 1).cast("int"), p["n"].cast("int")))

@@ -133,3 +133,36 @@ def table_2d(pos_h: Column, pos_w: Column, width: int) -> Column:
     """Sine and cosine of both axes; the first half encodes the column."""
     one = lambda p: F.concat(F.transform(F.sequence(F.lit(0), F.lit(width // 4 - 1)), lambda i: F.sin(p * frequency(i, width // 2))), F.transform(F.sequence(F.lit(0), F.lit(width // 4 - 1)), lambda i: F.cos(p * frequency(i, width // 2))))
     return F.concat(one(pos_w), one(pos_h))
+
+
+def shrinking(conditional: Column, combined: Column, least: float = 0.0) -> Column:
+    """What a vector of norm `combined` is multiplied by to have the conditional's norm: at most 1, at least `least`."""
+    return F.least(F.greatest(conditional / (combined + 1e-8), F.lit(least)), F.lit(1.0))
+
+
+def guided_by_both(conditional: Column, without_text: Column, without_image: Column, text_scale: float, image_scale: float, kind: str, least: float = 0.0, norms: tuple[Column, Column] | None = None) -> Column:
+    """Guidance by text, and by image if its scale is over 1, renormalised.
+
+    channel: the outcome, by its own norm; text_channel: behind the text step, which image guidance follows; global: the outcome by norms over all
+    of a sample, given as (conditional, combined). The conditional is returned where the text scale isn't over 1.
+    """
+    if text_scale <= 1.0:
+        return conditional
+    by_text = guided(conditional, without_text, F.lit(text_scale))
+    if kind == "text_channel":
+        by_text = renormalised(conditional, by_text, least)
+    out = guided(by_text, without_image, F.lit(image_scale)) if image_scale > 1.0 else by_text
+    if kind == "text_channel":
+        return out
+    if kind == "channel":
+        return renormalised(conditional, out, least)
+    if kind != "global" or norms is None:
+        raise ValueError(f"{kind} is not supported, or norms are missing")
+    k = shrinking(*norms, least)
+    return F.transform(out, lambda x: x * k)
+
+
+def unit(x: Column) -> Column:
+    """x by its norm."""
+    n = norm(x)
+    return F.transform(x, lambda a: a.cast("double") / n)

@@ -80,3 +80,37 @@ def frames_drawn(total: Column, n: int, seed: int, *keys: Column | str) -> Colum
 def over_white(value: Column, alpha: Column) -> Column:
     """A channel laid over white by its alpha (0..1)."""
     return alpha * value + (1.0 - alpha) * 255.0
+
+
+def frames_fixed(total: Column, n: int, place: int) -> Column:
+    """The frame `place` behind the beginning of each of n equal intervals; a shorter clip repeats its last one."""
+    take = F.least(F.lit(n).cast("long"), total.cast("long"))
+    out = F.transform(F.slice(_bounds(total.cast("double"), take), F.lit(1), take.cast("int")), lambda low: low + place)
+    return F.concat(out, F.array_repeat(F.element_at(out, -1), (F.lit(n) - take).cast("int")))
+
+
+def frames_spaced(total: Column, n: int) -> Column:
+    """n frames from the first to the last, evenly spaced, cut to whole numbers."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * (total - 1).cast("double") / max(n - 1, 1)).cast("long"))
+
+
+def frames_stepped(total: Column, native: Column, rate: float) -> Column:
+    """Every (native / rate)th frame in front of the last one, cut to whole numbers."""
+    step = native.cast("double") / rate
+    count = F.ceil((total - 1) / step).cast("int")
+    return F.when(count < 1, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: F.floor(i * step).cast("long")))
+
+
+def clip_length(start: Column, end: Column, native: Column) -> Column:
+    """Frames of a clip given in seconds."""
+    return F.floor((end - start) * native).cast("long")
+
+
+def in_clip(frames: Column, start: Column, native: Column) -> Column:
+    """Frames of a clip as frames of the whole video."""
+    return F.transform(frames, lambda i: i + F.floor(start * native).cast("long"))
+
+
+def frame_source(path: Column) -> Column:
+    """What a path is read as: a folder of frames if it ends in a slash, else a video."""
+    return F.when(path.endswith("/"), "folder").otherwise("video")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import draw
+
 
 def ranked(rows: DataFrame, seq: str, pos: str, confidence: str) -> Column:
     return F.row_number().over(Window.partitionBy(seq).orderBy(F.desc(confidence), F.asc(pos)))
@@ -38,3 +40,8 @@ def token_counts(rows: DataFrame, seq: str, pos: str, token: str, end: int) -> D
     """seq, valid, total: tokens up to the first end mark, itself included, and all."""
     first = F.min(F.when(F.col(token) == end, F.col(pos)))
     return rows.groupBy(seq).agg(F.coalesce(first + 1, F.count("*")).cast("long").alias("valid"), F.count("*").alias("total"))
+
+
+def drawn_confidence(seed: int, *keys: Column | str) -> Column:
+    """Confidences that know nothing of the logits: positions are then revealed in a drawn order."""
+    return draw(seed, "remask", *keys)

@@ -163,10 +163,11 @@ def inline_conversation(turns: Column, images: Column | int) -> Column:
     return F.flatten(F.transform(turns, of))
 
 
-def plain_edit(text: Column, members: Column, most: int = 64) -> Column:
-    """Images 1..N that the sample has, as conditions; the text without tags; the output image."""
+def plain_edit(text: Column, members: Column) -> Column:
+    """Images 1..N, however many the sample has, as conditions; the text without tags; the output image."""
     item = lambda kind, x, loss: F.struct(F.lit(kind).alias("type"), x.alias("text"), F.lit(loss).alias("has_loss"))
-    names = F.filter(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda i: F.concat(F.lit("image_"), i.cast("string"))), lambda n: F.map_contains_key(members, F.concat(n, F.lit(".jpg"))))
+    numbers = F.array_sort(F.transform(F.filter(F.map_keys(members), lambda k: k.rlike(r"^image_[1-9]\d{0,8}\.jpg$")), lambda k: F.regexp_extract(k, r"\d+", 0).cast("int")))
+    names = F.transform(numbers, lambda i: F.concat(F.lit("image_"), i.cast("string")))
     said = F.rtrim(F.replace(text, F.lit("<image>"), F.lit("")))
     return F.concat(F.transform(names, lambda n: item("image", n, 0)), F.array(item("text", said, 0), item("image", F.lit("output"), 1)))
 
@@ -186,7 +187,7 @@ def edit_steps(n: Column, instructions: Column, seed: int, *keys: Column | str)
 def edit_format(members: Column) -> Column:
     """How a tar sample of edits is laid out, by the members it has; null: left out."""
     has = lambda k: F.map_contains_key(members, k)
-    return F.when(has("output.jpg"), "multi").when(has("src_img.jpg"), "pair").when(has("1.1.jpg"), F.lit(None).cast("string")).when(has("1.0.jpg") & has("2.jpg"), "numbered")
+    return F.when(has("output.jpg"), "multi").when(has("src_img.jpg") & has("edited_img.jpg") & has("edited_prompt.txt"), "pair").when(has("1.1.jpg"), F.lit(None).cast("string")).when(has("1.0.jpg") & has("2.jpg") & has("json"), "numbered")
 
 
 def renamed_members(members: Column) -> Column:

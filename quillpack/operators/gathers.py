@@ -67,3 +67,14 @@ def regrouped(splits: DataFrame, samples: DataFrame, key: str) -> DataFrame:
 def doubled(tokens: DataFrame, pos: str, length: int) -> DataFrame:
     """Conditional and unconditional copies of tokens: branch, and positions of the second behind the first."""
     return tokens.withColumn("branch", F.lit(0)).unionByName(tokens.withColumn(pos, F.col(pos) + length).withColumn("branch", F.lit(1)))
+
+
+def last_rows(rows: DataFrame, seq: str, pos: str, value: str) -> DataFrame:
+    """seq, value of each sequence's last row, which an end mark that stays last makes the pooled one."""
+    return rows.groupBy(seq).agg(F.max_by(value, pos).alias(value))
+
+
+def span_loss(rows: DataFrame, start: Column, end: Column, length: Column, start_loss: Column, end_loss: Column) -> DataFrame:
+    """Mean of the two ends' mean losses; an end out of 0..length - 1 counts for nothing."""
+    a, b = span_labels(start, end, length)
+    return rows.agg(((F.avg(F.when(a.isNotNull(), start_loss)) + F.avg(F.when(b.isNotNull(), end_loss))) / 2).alias("loss"))

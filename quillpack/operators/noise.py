@@ -6,32 +6,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import chosen_split, chunks, padded_length, split_counts
-from ..functions.draws import draw, draw_int
-
-#: Attempts to draw at least one masked position; then the last position is masked.
-ATTEMPTS = 8
-
+from ..functions.draws import draw, draw_int, draw_normal
 
 def mask_probability(seed: int, *keys: Column | str, eps: float = 1e-3) -> Column:
     return (1.0 - eps) * draw(seed, "mask/t", *keys) + eps
 
 
+#: Attempts that are written into a plan one by one; behind them the draws go on in a loop.
+ATTEMPTS = 3
+
+
+def _attempt(n: Column, seed: int, a: Column, keys: tuple) -> Column:
+    p = mask_probability(seed, a, *keys)
+    return F.struct(p.alias("p"), F.filter(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: draw(seed, "mask/u", a, *keys, i) < p).alias("positions"))
+
+
 def masked_positions(n: Column, seed: int, *keys: Column | str) -> Column:
-    """struct(p, positions): each position of n with probability p, both drawn anew until a position is hit.
+    """struct(p, positions): each position of n with probability p, both drawn anew until a position is hit; n is at least 1.
 
-    Bounded: behind ATTEMPTS draws the last position is taken, with the last p.
+    An attempt is made only where those before it failed, and its draws once. It succeeds with a probability over 0.4 whatever n
+    is, so that 2000 more attempts all fail in one of 10**400 rows, and these get no position.
     """
+    none = F.struct(F.lit(0.0).alias("p"), F.expr("array()").cast("array<bigint>").alias("positions"))
+    hit = lambda t: F.size(t["positions"]) > 0
+    # a fold over the numbers of attempts keeps what it has once that is a hit
+    fold = lambda numbers, begin: F.aggregate(numbers, begin, lambda t, a: F.when(hit(t), t).otherwise(_attempt(n, seed, a, keys)))
+    first = fold(F.sequence(F.lit(0), F.lit(ATTEMPTS - 1)), none)
+    return F.aggregate(F.array(F.lit(0)), first, lambda t, _: F.when(hit(t), t).otherwise(fold(F.sequence(F.lit(ATTEMPTS), F.lit(ATTEMPTS + 2000)), t)))
+
+
+def with_last(positions: Column, n: Column) -> Column:
+    """Masked positions with the last one of n among them."""
+    return F.array_union(positions, F.when(n > 0, F.array((n - 1).cast("long"))).otherwise(F.expr("array()").cast("array<bigint>")))
 
-    def attempt(a: int) -> Column:
-        p = mask_probability(seed, F.lit(a), *keys)
-        hit = F.filter(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: draw(seed, "mask/u", F.lit(a), *keys, i) < p)
-        return F.struct(p.alias("p"), hit.alias("positions"))
 
-    tries = [attempt(a) for a in range(ATTEMPTS)]
-    out = F.struct(tries[-1]["p"].alias("p"), F.array((n - 1).cast("long")).alias("positions"))
-    for t in reversed(tries):
-        out = F.when(F.size(t["positions"]) > 0, t).otherwise(out)
-    return out
+def timesteps(items: DataFrame, keys: list[str], split: str, clean: Column, seed: int) -> DataFrame:
+    """items with timestep: one normal draw a split, shared by all of its rows; minus infinity where the row is clean."""
+    return items.withColumn("timestep", F.when(clean, F.lit(float("-inf"))).otherwise(draw_normal(seed, "timestep", *keys, split)))
 
 
 def adapted_length(n: Column, seed: int, *keys: Column | str) -> Column:

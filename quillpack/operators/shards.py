@@ -78,3 +78,14 @@ def latest(names: DataFrame, name: str) -> DataFrame:
 def epochs(rows: DataFrame, n: int, first: int = 0) -> DataFrame:
     """n passes over the same rows in the same order; epoch counts from `first`."""
     return rows.withColumn("epoch", F.explode(F.sequence(F.lit(first), F.lit(first + n - 1))))
+
+
+def remaining(packs: DataFrame, step: str, done: int, total: int) -> DataFrame:
+    """The packs of the steps that are left: at most total - done, from the first."""
+    return packs.where(F.col(step) < max(total - done, 0))
+
+
+def step_rates(log: DataFrame, keys: list[str], step: str, seconds: str) -> DataFrame:
+    """keys, step, rate: steps a second since the log entry before; null on the first."""
+    w = Window.partitionBy(*keys).orderBy(step)
+    return log.select(*keys, step, ((F.col(step) - F.lag(step).over(w)) / F.nullif(F.col(seconds) - F.lag(seconds).over(w), F.lit(0.0))).alias("rate"))

@@ -161,7 +161,8 @@ def edit_shards(df: DataFrame, dataset: str) -> DataFrame:
     df = df.where("error is null").withColumn("m", m).withColumn("format", E.edit_format(F.col("m"))).where("format is not null")
     text = F.coalesce(F.col("m")["txt"].cast("string"), F.col("m")["edited_prompt.txt"].cast("string"), F.get_json_object(F.col("m")["json"].cast("string"), "$.instruction"))
     marked = text.rlike(r"<img><\|image_\d+\|></img>")
-    pair = F.array(*[F.struct(F.lit(k).alias("type"), t.alias("text"), F.lit(x).alias("has_loss")) for k, t, x in (("image", F.lit("input"), 0), ("text", text, 0), ("image", F.lit("output"), 1))])
+    said = F.replace(text, F.lit("<image>"), F.lit(""))
+    pair = F.array(*[F.struct(F.lit(k).alias("type"), t.alias("text"), F.lit(x).alias("has_loss")) for k, t, x in (("image", F.lit("input"), 0), ("text", said, 0), ("image", F.lit("output"), 1))])
     elements = F.when((F.col("format") == "multi") & marked, E.placeholder_elements(text, F.map_keys("m"))).when(F.col("format") == "multi", E.plain_edit(text, F.col("m"))).otherwise(pair)
     shaped = F.transform(elements, lambda e: F.struct(e["type"].alias("type"), e["has_loss"].alias("has_loss"), e["text"].alias("text"), F.lit(0).alias("round")))
     return _sample(df, dataset, ["shard", "sample_idx"], shaped, F.size(F.filter(elements, lambda e: e["type"] == "image")))

@@ -214,3 +214,40 @@ def test_embedding(spark):
     got = one(spark, mathx.timestep_embedding(F.lit(2.0), 5))[0]
     args = [2.0 * math.exp(-math.log(10000.0) * i / 2) for i in range(2)]
     assert got == pytest.approx([math.cos(a) for a in args] + [math.sin(a) for a in args] + [0.0])
+
+
+def test_images_of_an_edit_are_not_capped(spark):
+    from quillpack.operators import elements as E
+
+    members = {f"image_{i}.jpg": "x" for i in (*range(1, 101, 3), 2)} | {"output.jpg": "x", "image_0.jpg": "x", "image_x.jpg": "x", "txt": "x"}
+    got = spark.createDataFrame([("say <image>it ", members)], "t string, m map<string,string>").select(E.plain_edit(F.col("t"), F.col("m")).alias("e")).first()["e"]
+    assert [e["text"] for e in got] == [f"image_{i}" for i in sorted((*range(1, 101, 3), 2))] + ["say it", "output"]
+
+
+def test_masks_are_drawn_until_one_is_hit(spark):
+    """By the same draws; attempts beyond those that the plan spells out happen."""
+    import hashlib
+
+    from quillpack.operators import noise as N
+
+    def draw(*keys):
+        return int(hashlib.md5("|".join(map(str, keys)).encode()).hexdigest()[:8], 16) / 2**32
+
+    got = spark.range(3000).select("id", N.masked_positions(F.lit(1).cast("long"), 9, "id").alias("m")).collect()
+    most = 0
+    for r in got:
+        a = 0
+        while not draw(9, "mask/u", a, r["id"], 0) < (p := 0.999 * draw(9, "mask/t", a, r["id"]) + 0.001):
+            a += 1
+        most = max(most, a)
+        assert r["m"]["positions"] == [0] and abs(r["m"]["p"] - p) < 1e-12
+    assert most > N.ATTEMPTS + 2
+
+
+def test_edit_pairs_need_all_members(spark):
+    from quillpack.operators import elements as E
+
+    cases = {("src_img.jpg",): None, ("src_img.jpg", "edited_img.jpg", "edited_prompt.txt"): "pair", ("1.0.jpg", "2.jpg", "json"): "numbered", ("1.0.jpg", "2.jpg", "1.1.jpg", "json"): None, ("output.jpg",): "multi", ("1.0.jpg", "2.jpg"): None}
+    rows = [(dict.fromkeys(k, "x"), v) for k, v in cases.items()]
+    for r in spark.createDataFrame(rows, "m map<string,string>, want string").select(E.edit_format(F.col("m")).alias("got"), "want").collect():
+        assert r["got"] == r["want"]
