@@ -30,37 +30,34 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lower, NOT_WORD, -1), "")
 
 
-def _hashed(w: Column) -> Column:
-    return F.transform(w, lambda x: F.xxhash64(x))
-
-
-def _fingerprints(h: Column, g: Column, size: int, window: int, gram: int) -> Column:
-    """Of every window of size words, in order, out of the words' hashes h and those of their runs g."""
-    if size < window:
-        return F.transform(F.sequence(F.lit(0), F.size(h) - size), lambda p: F.xxhash64(F.lit(size), F.slice(h, p + 1, size)))
-    return F.transform(F.sequence(F.lit(0), F.size(h) - size), lambda p: F.array_min(F.slice(g, p + 1, window - gram + 1)))
-
-
-def _runs(h: Column, gram: int) -> Column:
-    return F.when(F.size(h) < gram, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.size(h) - gram), lambda i: F.xxhash64(F.slice(h, i + 1, gram))))
-
-
-def _prepared(rows: DataFrame, gram: int) -> DataFrame:
-    """rows (with w, the words): their hashes h, and those of their runs g."""
-    return rows.withColumn("h", _hashed(F.col("w"))).withColumn("g", _runs(F.col("h"), gram))
-
-
-def _all(sizes: list[int], window: int, gram: int, made) -> Column:
-    """made(fingerprints, size) of the windows of all sizes, in one array; a text of fewer words than a size has no window of it."""
-    parts = [F.when(F.size("h") >= n, made(_fingerprints(F.col("h"), F.col("g"), n, window, gram), n)) for n in sizes]
-    return F.flatten(F.filter(F.array(*parts), lambda x: x.isNotNull()))
-
-
-def _windows(rows: DataFrame, sizes: list[int], window: int, gram: int) -> DataFrame:
-    """rows (with w): size, p and f of every window, w with them."""
-    keys = [c for c in rows.columns if c != "w"]
-    at = lambda f, n: F.transform(f, lambda x, p: F.struct(F.lit(n).alias("size"), p.alias("p"), x.alias("f")))
-    return _prepared(rows, gram).select(*keys, "w", F.inline(_all(sizes, window, gram, at)))
+def _run(i: Column, n: int) -> Column:
+    """The hash of the n words from word i on (from 0), out of the words' hashes h."""
+    return F.xxhash64(*(F.get(F.col("h"), i + j) for j in range(n)))
+
+
+def _windows(rows: DataFrame, sizes: list[int], window: int, gram: int, winnowed: bool = False) -> DataFrame:
+    """rows (with w): size, p and f of every window, w with them; or, winnowed, without w, the first of neighbours that have the same fingerprint."""
+    keys = [c for c in rows.columns if c != "w"] + ([] if winnowed else ["w"])
+    p, least = F.col("p"), sizes[0]
+    cut = rows.withColumn("h", F.transform("w", lambda x: F.xxhash64(x))).where(F.size("h") >= least).select(*keys, "h", F.explode(F.sequence(F.lit(0), F.size("h") - least)).alias("p"))
+    runs = [f"r{i}" for i in range(window - gram + 2)]
+    if sizes[-1] == window:
+        # run 0 is the one before the window's own
+        cut = cut.select(*keys, "h", "p", *(_run(p + i - 1, gram).alias(r) for i, r in enumerate(runs)))
+        best = lambda own: F.least(*own) if len(own) > 1 else own[0]
+        cut = cut.select(*keys, "h", "p", best([F.col(r) for r in runs[1:]]).alias("f"), best([F.col(r) for r in runs[:-1]]).alias("before"))
+
+    def found(n: int) -> Column:
+        if n < window:
+            return F.when(p + n <= F.size("h"), F.struct(F.lit(n).alias("size"), F.xxhash64(F.lit(n), _run(p, n)).alias("f")))
+        fits = F.lit(True) if n == least else p + n <= F.size("h")
+        if winnowed:
+            fits = fits & ((p == 0) | (F.col("f") != F.col("before")))
+        return F.when(fits, F.struct(F.lit(n).alias("size"), F.col("f").alias("f")))
+
+    # an array of what there is, which no filter is pushed through
+    every = F.when(found(least).isNotNull(), F.array(found(least))) if len(sizes) == 1 else F.array(*map(found, sizes))
+    return cut.select(*keys, "p", F.explode(every).alias("x")).where("x is not null").select(*keys, "x.size", "p", "x.f")
 
 
 def _spelled(df: DataFrame) -> DataFrame:
@@ -84,7 +81,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int
     found = test.select("f").distinct()
     small = test.count() <= BROADCAST_ROWS
     rows = docs.select(F.col("doc_id").alias("k1"), F.xxhash64("text").alias("k2"), words(F.col("text")).alias("w"))
-    prints = _prepared(rows, gram).select("k1", "k2", F.explode(F.array_distinct(_all(sizes, window, gram, lambda f, n: f))).alias("f"))
+    prints = _windows(rows, sizes, window, gram, winnowed=True).select("k1", "k2", "f")
     met = materialise(prints.join(F.broadcast(found) if small else found, "f", "left_semi").select("k1", "k2").distinct(), "met")
     keys = met.toDF("m1", "m2")
     keys = F.broadcast(keys) if met.count() <= BROADCAST_ROWS else keys
