@@ -20,12 +20,17 @@ from pyspark.sql import functions as F
 
 #: Texts of about so many bytes are handled at a time inside an Arrow batch.
 SLICE_BYTES = 1 << 20
+#: Rows of an Arrow batch: a row is a whole text, and an executor holds some batches for each of its cores.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2500
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (local tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset and all runs in one process (tests); an error elsewhere."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="quillpack-")
         atexit.register(shutil.rmtree, found, True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -96,6 +101,9 @@ def give_back() -> None:
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], ddl: str) -> DataFrame:
     """mapInArrow whose function yields dicts of columns."""
 
+    conf = df.sparkSession.conf
+    if conf.get(BATCH) == "10000":  # Spark's own default; what a user has set stays
+        conf.set(BATCH, BATCH_ROWS)
     schema = arrow_schema(ddl)
     owner = f"{f.__module__}.{f.__qualname__}"
 
