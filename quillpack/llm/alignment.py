@@ -160,7 +160,7 @@ def components(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 def overlaps(a_end: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges (a, b) between tokens whose byte ranges overlap; both sides tile the same bytes, no token is empty."""
-    a_start, b_start = np.r_[0, a_end[:-1]], np.r_[0, b_end[:-1]]
+    a_start, b_start = np.r_[0, a_end][:-1], np.r_[0, b_end][:-1]
     first, last = np.searchsorted(b_end, a_start, "right"), np.searchsorted(b_start, a_end, "left")
     n = last - first
     a = np.repeat(np.arange(len(a_end)), n)

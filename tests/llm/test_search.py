@@ -132,14 +132,14 @@ def library(t):
         bpe.encode_special_tokens = True
         _libraries = bpe, sentencepiece.SentencePieceProcessor(model_file=queries.PIECE_BPE), ByteLevel()
     bpe, piece, _ = _libraries
-    a, b = bpe.encode(" " + t, add_special_tokens=False), piece.encode(t)
+    a, b = bpe.encode(" " + t, add_special_tokens=False).ids, piece.encode(t)
     # every entry's character is one byte
-    size_a = [len(bpe.id_to_token(i)) for i in a.ids]
+    size_a = [len(bpe.id_to_token(i)) for i in a]
     spelled = [bytes([int(piece.id_to_piece(i)[3:5], 16)]) if piece.is_byte(i) else piece.id_to_piece(i).replace("▁", " ").encode() for i in b]
     if b"".join(spelled) != (" " + t).encode():
         return [], [], [], []
     at_a, at_b, groups, links, x, y, i, j = 0, 0, [], [], 0, 0, 0, 0
-    while i < len(a.ids) or j < len(b):
+    while i < len(a) or j < len(b):
         if at_a <= at_b:
             at_a += size_a[i]
             i += 1
@@ -147,10 +147,10 @@ def library(t):
             at_b += len(spelled[j])
             j += 1
         if at_a == at_b:
-            groups.append((a.ids[x:i], b[y:j]))
-            links.append((a.ids[i - 1], b[j - 1]))
+            groups.append((a[x:i], b[y:j]))
+            links.append((a[i - 1], b[j - 1]))
             x, y = i, j
-    return a.ids, b, groups, links
+    return a, b, groups, links
 
 
 _libraries = None
@@ -183,6 +183,14 @@ def test_alignment(spark, docs, none):
     assert alignment.alignment_counts(none, queries.BYTE_BPE, queries.PIECE_BPE).count() == 0
 
 
+@pytest.mark.parametrize("part", [[""], ["", "▁"], ["", "a", ""]])
+def test_slices_with_hardly_a_token(part):
+    n_a, n_b, groups, spell, text, a, b = alignment.align(part, queries.BYTE_BPE, queries.PIECE_BPE)
+    want = [library(t) for t in part]
+    assert n_a.tolist() == [len(w[0]) for w in want] and n_b.tolist() == [len(w[1]) for w in want] and groups.tolist() == [len(w[2]) for w in want]
+    assert list(zip(a.tolist(), b.tolist(), strict=True)) == [x for w in want for x in w[3]] and [s != "" for s in spell] == [bool(w[2]) for w in want]
+
+
 def test_few_words_remembered(monkeypatch):
     for make, path in ((alignment.SpacedBytes, queries.BYTE_BPE), (alignment.SpacedPieces, queries.PIECE_BPE)):
         few, many = make(path, words=5), make(path)
