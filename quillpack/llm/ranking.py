@@ -66,12 +66,12 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP, query_id: str = "i
     ranked by doc_id, a null doc_id last; repeated rows of documents are documents each, and repeated queries have results each. Empty tables give none.
     """
     asked = materialise(bags(queries.select(F.monotonically_increasing_id().alias("query"), F.col(query_id).alias("named"), "text"), "text", "query", "named").where("term <> ''"), "queries")
-    vocabulary = materialise(asked.select("term").distinct().select("term", F.monotonically_increasing_id().alias("term_id")), "vocabulary")
+    # the empty term stands for the document itself; from a written table Spark knows whether the vocabulary can be broadcast
+    own = asked.sparkSession.range(1).select(F.lit("").alias("term"))
+    vocabulary = materialise(asked.select("term").distinct().union(own).select("term", F.when(F.col("term") == "", -1).otherwise(F.monotonically_increasing_id()).alias("term_id")), "vocabulary")
     asked = materialise(asked.join(vocabulary, "term").select("query", "named", "term_id", F.col("tf").alias("times")), "asked")
-    # the empty term stands for the document itself
-    known = vocabulary.union(vocabulary.sparkSession.createDataFrame([("", -1)], "term string, term_id long"))
     rows = bags(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "text", "row", "doc_id")
-    counted = materialise(rows.where("n > 0").join(known, "term").select("row", "doc_id", "n", "term_id", "tf"), "postings")
+    counted = materialise(rows.where("n > 0").join(vocabulary, "term").select("row", "doc_id", "n", "term_id", "tf"), "postings")
     total = counted.where("term_id = -1").agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("length")).first()
     n_docs, length = F.lit(total["docs"]).cast("long"), F.lit(max(total["length"], 1)).cast("long")
     df = counted.where("term_id >= 0").groupBy("term_id").agg(F.count("*").alias("df"))
