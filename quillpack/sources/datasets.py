@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import blank, n_tokens, strip
 from ..operators import elements as E
-from .readers import json_lines, parquet_rows, tar_samples
+from .readers import json_lines, parquet_rows
+from .shards import tar_samples
 
 # Optional caption columns, in the order that they are gathered in.
 CAPTIONS = (

@@ -1,16 +1,16 @@
-"""Sources: Parquet with row ordinals, tar shards, JSON lines, prompt lists, frame folders; all lazily, by Spark's file systems."""
+"""Sources: Parquet with row ordinals and row groups, JSON lines, prompt lists, frame folders; all lazily, by Spark's file systems."""
 
 from __future__ import annotations
 
-import io
-import tarfile
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw
 from ..functions.text import blank, padded_name, strip
+from .scratch import opened
 
 
 def file_list(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> DataFrame:
@@ -25,76 +25,60 @@ def parquet_rows(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def row_groups(spark: SparkSession, *paths: str) -> DataFrame:
-    """file, row_group, first_row, n_rows out of the files' footers, read by the executors."""
+    """file, row_group, first_row, n_rows: executors read the files' footers, and nothing else of them."""
+    schema = pa.schema([("file", pa.string()), ("row_group", pa.int32()), ("first_row", pa.int64()), ("n_rows", pa.int64())])
 
-    def run(batches):
-        import pandas as pd
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
         import pyarrow.parquet as pq
 
         for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                meta, first = pq.ParquetFile(io.BytesIO(content)).metadata, 0
-                for g in range(meta.num_row_groups):
-                    n = meta.row_group(g).num_rows
-                    rows.append((path, g, first, n))
-                    first += n
-            yield pd.DataFrame(rows, columns=["file", "row_group", "first_row", "n_rows"])
+            for path in batch.column(0).to_pylist():
+                with opened(path) as f:
+                    meta = pq.read_metadata(f)
+                n = np.array([meta.row_group(g).num_rows for g in range(meta.num_row_groups)], "i8")
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(n), pa.string()), pa.array(np.arange(len(n), dtype="i4")), pa.array(np.cumsum(n) - n), pa.array(n)], schema=schema)
 
-    files = spark.read.format("binaryFile").load(list(paths)).select("path", "content")
-    return files.mapInPandas(run, "file string, row_group int, first_row long, n_rows long")
+    # paths and lengths alone: contents are pruned
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(list(paths)).select("path")
+    return files.repartition("path").mapInArrow(run, "file string, row_group int, first_row long, n_rows long")
 
 
-def split_name(name: str) -> tuple[str, str]:
-    """(sample, member) of a file in a shard: the base name up to its first dot, and the rest."""
-    folder, _, base = name.rpartition("/")
-    stem, _, ext = base.partition(".")
-    return (f"{folder}/{stem}" if folder else stem), ext
+#: Rows of a file that share a key in the interval join.
+STRIDE = 4096
 
 
-def tar_samples(spark: SparkSession, *paths: str) -> DataFrame:
-    """shard, sample_idx, key, members (name -> bytes), error: files that share a base name and follow each other are a sample.
+def positioned(spark: SparkSession, *paths: str) -> DataFrame:
+    """Rows with file_path, row_group and row, the ordinal in its group.
 
-    A damaged shard gives the samples in front of the damage and one row with the error.
+    Groups and rows meet by file and stride of STRIDE rows (a group once for each stride that it touches), then by the group's interval.
     """
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(*paths)
+    rows = rows.select("*", F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("file_path"), F.col("_metadata.row_index").alias("at"))
+    strides = F.sequence(F.floor(F.col("first_row") / STRIDE), F.floor((F.col("first_row") + F.col("n_rows") - 1) / STRIDE))
+    groups = row_groups(spark, *paths).where("n_rows > 0").select(F.col("file").alias("file_path"), "row_group", "first_row", "n_rows", F.explode(strides).alias("stride"))
+    met = rows.withColumn("stride", F.floor(F.col("at") / STRIDE)).join(groups, ["file_path", "stride"])
+    return met.where((F.col("at") >= F.col("first_row")) & (F.col("at") < F.col("first_row") + F.col("n_rows"))).withColumn("row", F.col("at") - F.col("first_row")).drop("at", "stride", "first_row", "n_rows")
 
-    def run(batches):
-        import pandas as pd
-
-        def samples(path: str, content: bytes) -> Iterator[tuple]:
-            key, members, i = None, {}, 0
-            try:
-                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-                    for m in tar:
-                        if not m.isfile():
-                            continue
-                        k, ext = split_name(m.name)
-                        if key is not None and k != key:
-                            yield path, i, key, members, None
-                            members, i = {}, i + 1
-                        key = k
-                        members[ext] = tar.extractfile(m).read()
-            except (tarfile.TarError, EOFError) as e:
-                if key is not None:
-                    yield path, i, key, members, None
-                yield path, None, None, None, str(e)
-                return
-            if key is not None:
-                yield path, i, key, members, None
 
-        for batch in batches:
-            rows = [x for p, c in zip(batch["path"], batch["content"], strict=True) for x in samples(p, c)]
-            out = pd.DataFrame(rows, columns=["shard", "sample_idx", "key", "members", "error"])
-            out["sample_idx"] = out["sample_idx"].astype("Int64")
-            yield out
+def text_lines(spark: SparkSession, *paths: str) -> DataFrame:
+    """line, value: the lines of text files, numbered from 0 in the order of the files' paths, then of the file, however files are split.
 
-    shards = spark.read.format("binaryFile").load(list(paths)).select("path", "content")
-    return shards.mapInPandas(run, "shard string, sample_idx long, key string, members map<string,binary>, error string")
+    Two passes over the same splits: lines of each split are counted, and the counts summed up in order; then each line has its place in its split,
+    and its split's sum. A task numbers its rows as it reads them, so a split's first number gives its lines' places.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").text(list(paths))
+    lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    splits = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    # one row a split of a file: as many as tasks
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = splits.select(F.col("file"), F.col("block"), (before - F.col("first")).alias("shift"))
+    return lines.join(offsets, ["file", "block"]).select((F.col("id") + F.col("shift")).alias("line"), "value")
 
 
 def json_lines(spark: SparkSession, path: str, schema: str, seed: int | None = None, most: int | None = None) -> DataFrame:
-    """line, value: decoded lines, in a drawn order and the first `most` of it if asked for; null where a line is no JSON."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("line"))
+    """line (its ordinal), value: decoded lines, in a drawn order and the first `most` of it if asked for; null where a line is no JSON."""
+    lines = text_lines(spark, path)
     if seed is not None:
         lines = lines.orderBy(draw(seed, "lines", "line"), "line")
     if most is not None:

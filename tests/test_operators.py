@@ -157,7 +157,7 @@ def test_packer(spark, mandatory):
 
 
 def test_tar(spark, tmp_path):
-    from quillpack.sources.readers import tar_samples
+    from quillpack.sources.shards import tar_samples
 
     with tarfile.open(tmp_path / "a.tar", "w") as t:
         for name, data in (("x/1.jpg", b"p"), ("x/1.json", b'{"prompt":"hey"}'), ("x/2.txt", b"two"), ("x/2.prompt.txt", b"no")):
@@ -177,7 +177,8 @@ def test_parquet_and_prompts(spark, tmp_path):
     import pyarrow as pa
     import pyarrow.parquet as pq
 
-    from quillpack.sources.readers import json_lines, parquet_rows, row_groups, split_name
+    from quillpack.sources.readers import json_lines, parquet_rows, row_groups
+    from quillpack.sources.shards import split_name
 
     pq.write_table(pa.table({"x": list(range(10))}), tmp_path / "a.parquet", row_group_size=4)
     assert sorted((r["x"], r["row_index"]) for r in parquet_rows(spark, str(tmp_path / "a.parquet")).collect()) == [(i, i) for i in range(10)]
