@@ -12,6 +12,8 @@ from ..operators import elements as E
 from ..operators import layout as L
 from ..operators import noise as N
 from ..operators.packing import Limits, next_fit, pack
+from ..sources.scratch import shared_path
+from ..streaming.packer import PROVIDER, ROCKS, stream_full
 from .registry import duck_strip, duck_words, query, table
 
 PUNCT = T.PUNCTUATION.replace("'", "''")
@@ -99,11 +101,57 @@ def pack_nextfit_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return next_fit(rows, 1024).groupBy("rank", "worker").agg((F.max("pack") + 1).alias("packs"), F.count("*").alias("n"), F.sum("est").alias("tokens"))
 
 
-@query()
+LIMITS = Limits(8192, 9216, 4096, 4096, 50)
+
+#: The packer step by step: samples of either kind by place, the buffer as places of free samples.
+PACK_FULL = f"""WITH RECURSIVE {DOCS},
+    s AS (SELECT (doc_id % 8)::INT AS rank, (doc_id % 64 // 8)::INT AS worker, {{'seq': doc_id, 'est': est}} AS x, doc_id % 5 = 0 AS must FROM src),
+    l AS (SELECT rank, worker, coalesce(list(x ORDER BY x.seq) FILTER (NOT must), []) AS f, coalesce(list(x ORDER BY x.seq) FILTER (must), []) AS m FROM s GROUP BY rank, worker),
+    p AS (SELECT rank, worker, 0 AS step, f, m, 0 AS pack, 0 AS cur, 0 AS place, []::BIGINT[] AS buf, 1::BIGINT AS fi, 1::BIGINT AS mi, NULL::BIGINT AS seq, NULL::INT AS e_pack, NULL::INT AS e_place, NULL::VARCHAR AS status FROM l
+        UNION ALL
+        SELECT rank, worker, step + 1, f, m, CASE WHEN flush OR fits AND NOT opening AND cur + x.est >= {LIMITS.target} THEN pack + 1 ELSE pack END,
+            CASE WHEN flush OR fits AND NOT opening AND cur + x.est >= {LIMITS.target} THEN 0 WHEN fits THEN cur + x.est ELSE cur END,
+            CASE WHEN flush OR fits AND NOT opening AND cur + x.est >= {LIMITS.target} THEN 0 WHEN fits THEN place + 1 ELSE place END,
+            CASE WHEN keep THEN list_append(buf, fi) WHEN again THEN buf[2:] ELSE buf END, CASE WHEN opening OR again THEN fi ELSE fi + 1 END, CASE WHEN opening THEN mi + 1 ELSE mi END,
+            CASE WHEN NOT keep THEN x.seq END, CASE WHEN fits THEN pack END, CASE WHEN fits THEN place END, CASE WHEN long THEN 'too long' WHEN flush THEN 'dropped at flush' WHEN fits THEN 'packed' END
+        FROM (SELECT *, NOT long AND NOT opening AND cur + x.est > {LIMITS.most} AND (again OR len(buf) >= {LIMITS.capacity}) AS flush, NOT long AND NOT opening AND cur + x.est > {LIMITS.most} AND NOT again AND len(buf) < {LIMITS.capacity} AS keep,
+                NOT long AND (opening OR cur + x.est <= {LIMITS.most}) AS fits
+            FROM (SELECT *, CASE WHEN opening THEN x.est >= {LIMITS.sample} ELSE x.est > {LIMITS.sample} END AS long
+                FROM (SELECT *, CASE WHEN opening THEN m[mi] WHEN again THEN f[buf[1]] ELSE f[fi] END AS x
+                    FROM (SELECT *, place = 0 AS opening, place > 0 AND cur < {LIMITS.prefer} AND len(buf) > 0 AS again FROM p))) WHERE x IS NOT NULL)),
+    ends AS (SELECT rank, worker, unnest(list_concat(list_concat(list_transform(buf, lambda i: f[i].seq), list_transform(f[fi:], lambda y: y.seq)), list_transform(m[mi:], lambda y: y.seq))) AS seq FROM p QUALIFY row_number() OVER (PARTITION BY rank, worker ORDER BY step DESC) = 1)
+    SELECT rank, worker, seq, coalesce(e_pack, -1)::BIGINT AS pack, coalesce(e_place, -1)::INT AS place, status FROM p WHERE status IS NOT NULL UNION ALL SELECT rank, worker, seq, -1, -1, 'left' FROM ends"""
+
+
+def grouped_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doc_samples(spark, sf_dir).withColumn("group", F.when(F.col("seq") % 5 == 0, "must").otherwise("free")).withColumn("length", F.col("est"))
+
+
+@query(PACK_FULL)
 def pack_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Buffer, preferred samples, mandatory groups and losses at flushes; tests compare it with a literal simulation."""
-    rows = doc_samples(spark, sf_dir).withColumn("group", F.when(F.col("seq") % 5 == 0, "must").otherwise("free")).withColumn("length", F.col("est"))
-    return pack(rows, Limits(8192, 9216, 4096, 4096, 50), ("must",))
+    """Buffer, preferred samples, mandatory groups and losses at flushes; -1 for what is in no pack."""
+    return pack(grouped_samples(spark, sf_dir), LIMITS, ("must",)).fillna(-1, ["pack", "place"])
+
+
+@query(PACK_FULL)
+def pack_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream of samples, which is stopped and goes on from its checkpoint after each third of them."""
+    rows = grouped_samples(spark, sf_dir)
+    path, out, at = (shared_path(spark, x) for x in ("samples", "packs", "checkpoint"))
+    low, high = rows.agg(F.min("seq"), F.max("seq")).first()
+    third = F.least(F.floor((F.col("seq") - low) * 3 / max((high or 0) - (low or 0) + 1, 1)), F.lit(2))
+    ends = rows.select("rank", "worker").distinct().select("rank", "worker", F.lit(high).alias("seq"))
+    provider = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKS)
+    try:
+        for k in range(3):
+            part = rows.where(third == k)
+            (part.unionByName(ends, allowMissingColumns=True) if k == 2 else part).write.mode("append").parquet(path)
+            stream = stream_full(spark.readStream.schema(rows.schema).parquet(path), LIMITS, ("must",))
+            stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(PROVIDER, provider)
+    return spark.read.schema(stream.schema).parquet(out).fillna(-1, ["pack", "place"])
 
 
 CAPTIONS = "(SELECT doc_id, list_transform(string_split(text, '. '), lambda s: s) AS parts FROM documents)"
