@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..sources.readers import positioned, text_lines
 from ..sources.scratch import shared_path
 from ..sources.shards import tar_samples, write_tar
+from ..streaming.epochs import endless
 from .registry import query, table
 
 
@@ -44,3 +45,17 @@ def line_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").select(F.to_json(F.struct("doc_id", "n_chars", "lang", "text")).alias("value")).write.text(path)
     rows = text_lines(spark, path).select("line", F.from_json("value", "doc_id long, n_chars long, lang string").alias("v"))
     return rows.select("line", "v.doc_id", "v.n_chars", "v.lang")
+
+
+@query("""SELECT epoch, (o_custkey % 2)::BIGINT AS file, ((row_number() OVER w - 1) // 500)::BIGINT AS row_group, ((row_number() OVER w - 1) % 500)::BIGINT AS "row", o_orderkey, o_totalprice
+    FROM orders, range(2) AS e(epoch) WINDOW w AS (PARTITION BY o_custkey % 2, epoch ORDER BY o_orderkey)""")
+def endless_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two epochs of two files, streamed in three runs that go on from a checkpoint."""
+    path, out, at = (shared_path(spark, x) for x in ("orders", "epochs", "checkpoint"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", (F.col("o_custkey") % 2).alias("part"))
+    rows.repartition(2, "part").sortWithinPartitions("part", "o_orderkey").write.partitionBy("part").option("parquet.block.row.count.limit", 500).parquet(path)
+    n = spark.read.parquet(path).count()
+    for _ in range(3):
+        stream = endless(spark, path, rows=max(1, -(-2 * n // 3)), notes=f"{at}-notes/end")
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out).where("epoch < 2")

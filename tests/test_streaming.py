@@ -80,3 +80,47 @@ def test_restarts_and_cuts_change_nothing(spark, rocks, tmp_path, mandatory):
     assert sorted(map(str, got.collect())) == want
     statuses = {r["status"] for r in got.select("status").distinct().collect()}
     assert statuses >= {"packed", "too long", "dropped at flush"}
+
+
+def test_places():
+    from quillpack.streaming.epochs import Places
+
+    p = Places([["a", 0, 3], ["a", 1, 0], ["a", 2, 2], ["b", 0, 4]])
+    assert [p.ordinal(p.place(i)) for i in range(40)] == list(range(40)) and p.place(12) == {"epoch": 1, "file": 0, "row_group": 2, "row": 0}
+    for a in range(0, 30, 7):
+        for b in range(a, 45, 5):
+            got = [(e, f, g, r) for e, f, _, g, x, y in p.between(a, b) for r in range(x, y)]
+            assert got == [tuple(p.place(i).values()) for i in range(a, b)]
+    assert list(Places([["a", 0, 0]]).between(0, 0)) == [] and Places([]).place(0)["epoch"] == 0
+
+
+def test_endless_goes_on_after_a_failure(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from quillpack.streaming.epochs import endless
+
+    (tmp_path / "in").mkdir()
+    for name, n in (("a", 25), ("b", 7)):
+        pq.write_table(pa.table({"x": [f"{name}{i}" for i in range(n)], "t": pa.array([None if i % 3 else i for i in range(n)], pa.int32())}), tmp_path / "in" / f"{name}.parquet", row_group_size=10)
+    out, at, notes = str(tmp_path / "out"), str(tmp_path / "at"), str(tmp_path / "notes" / "end")
+
+    def go(fail=False, **how):
+        s = endless(spark, str(tmp_path / "in"), rows=15, notes=notes, **how)
+        s = s.withColumn("x", F.raise_error(F.lit("stopped")).cast("string")) if fail else s
+        s.writeStream.format("parquet").option("path", out).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+
+    for fail in (False, True, False, False, True, True, False):
+        if fail:
+            with pytest.raises(Exception, match="stopped"):
+                go(True)
+        else:
+            go()
+    rows = spark.read.parquet(out).orderBy("epoch", "file", "row_group", "row").collect()
+    names = [f"a{i}" for i in range(25)] + [f"b{i}" for i in range(7)]
+    assert len(rows) >= 60 and [r["x"] for r in rows] == [names[i % 32] for i in range(len(rows))]
+    assert [(r["epoch"], r["row_group"], r["row"]) for r in rows[:32]] == [(0, i // 10, i % 10) for i in range(25)] + [(0, 0, i) for i in range(7)]
+    # from a saved place
+    out, at, notes = str(tmp_path / "out2"), str(tmp_path / "at2"), str(tmp_path / "notes2" / "end")
+    go(start={"epoch": 3, "file": 0, "row_group": 2, "row": 4})
+    assert [r["x"] for r in spark.read.parquet(out).orderBy("epoch", "file", "row_group", "row").collect()] == ["a24", *names[25:], *names[:7]]
