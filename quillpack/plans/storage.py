@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..operators.packing import next_fit
+from ..sources.packs import collated, read_collated, write_collated
 from ..sources.readers import positioned, text_lines
 from ..sources.scratch import shared_path
 from ..sources.shards import tar_samples, write_tar
 from ..streaming.epochs import endless
-from .registry import query, table
+from .registry import duck_words, query, table
+from .samples import DOCS, doc_samples, packed
 
 
 @query("""SELECT concat('s', doc_id % 8, '.tar') AS shard, (row_number() OVER (PARTITION BY doc_id % 8 ORDER BY doc_id) - 1)::BIGINT AS sample_idx, doc_id::VARCHAR AS key,
@@ -59,3 +63,25 @@ def endless_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
         stream = endless(spark, path, rows=max(1, -(-2 * n // 3)), notes=f"{at}-notes/end")
         stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out).where("epoch < 2")
+
+
+@query(packed(DOCS, "(doc_id % 8)::INT", "(doc_id % 64 // 8)::INT", "doc_id", 4096, 4096, f"""
+    , w AS (SELECT doc_id AS seq, list_transform({duck_words("text")}, lambda v: strlen(v)) AS ids FROM documents)
+    SELECT rank, worker, pack::BIGINT AS pack, sum(est)::BIGINT AS sequence_length, (count(*) + 1)::BIGINT AS n_lens, (4096 - sum(est))::BIGINT AS pad, sum(len(ids))::BIGINT AS n_ids, coalesce(sum(list_sum(ids)), 0)::BIGINT AS ids_sum,
+        sum(CASE WHEN k > 0 THEN before ELSE 0 END)::BIGINT AS starts_sum, max(seq)::BIGINT AS last, max(max(seq)) OVER (PARTITION BY rank, worker)::BIGINT AS saved
+    FROM (SELECT p.*, ids, sum(est) OVER (PARTITION BY rank, worker, pack ORDER BY seq) - est AS before FROM p JOIN w USING (seq)) GROUP BY rank, worker, pack"""))
+def collated_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs of documents, their words' lengths as ids, written as one step with the readers' positions and read back."""
+    path, keys = shared_path(spark, "packs"), ["rank", "worker", "pack"]
+    ids = F.transform(T.words(F.col("text")), lambda w: F.octet_length(w))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), ids.alias("ids"))
+    rows = next_fit(doc_samples(spark, sf_dir), 4096).join(docs, "seq").withColumnRenamed("est", "length")
+    rows = rows.withColumn("split_lens", F.array("length")).withColumn("attn_modes", F.array(F.lit("causal"))).withColumn("dataset", F.lit("documents"))
+    rows = rows.withColumn("position", F.array("seq")).withColumn("firsts", F.array(F.lit(0).cast("long")))
+    write_collated(collated(rows, keys, "seq", 4096, joined=["ids"], shifted=["firsts"]), path, 7, keys)
+    packs, positions = read_collated(spark, path)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    saved = positions.select(F.col("reader")[0].cast("int").alias("rank"), F.col("reader")[1].cast("int").alias("worker"), F.col("position")[0].alias("saved"))
+    return packs.join(saved, ["rank", "worker"]).select(
+        *keys, "sequence_length", F.size("sample_lens").cast("long").alias("n_lens"), F.element_at("split_lens", -1).alias("pad"), F.size("ids").cast("long").alias("n_ids"), total("ids").alias("ids_sum"), total("firsts").alias("starts_sum"), F.col("positions")["documents"][0].alias("last"), "saved"
+    )
