@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .draws import draw
+
 
 def loss_weight(n: Column, mode: str) -> Column:
     """Weight of each token of a sample with n of them; 0 for none."""
@@ -88,24 +92,37 @@ def pixel(x: Column) -> Column:
     return F.floor(F.greatest(F.least(x * 0.5 + 0.5, F.lit(1.0)), F.lit(0.0)) * 255).cast("int")
 
 
-def interpolated_ids(height: int, width: int, side: int) -> list[int]:
-    """Position ids of a grid of patches mapped onto a table of side x side, by buckets of 32-bit fractions."""
-    import numpy as np
-
-    bounds = np.arange(1 / side, 1.0, 1 / side, dtype="f4")
-    ends = lambda n: np.searchsorted(bounds, np.arange(0, 1 - 1e-6, 1 / n, dtype="f4"), side="right")
-    return (ends(height)[:, None] * side + ends(width)).ravel().tolist()
-
-
-def composition(total: int, decay: float, seed: int) -> tuple[list[int], list[int]]:
-    """A random composition of total, and its running sums from 0. The number of parts is uniform at decay 1, else geometric."""
-    import numpy as np
-
-    rng = np.random.default_rng(seed)
-    weights = decay ** np.arange(total)
-    n = 1 + int(rng.choice(total, p=weights / weights.sum()))
-    ends = [0, *sorted((1 + rng.choice(total - 1, n - 1, replace=False)).tolist()), total] if total > 1 else [0, total]
-    return np.diff(ends).tolist(), ends
+def _bucket(i: Column, n: Column, side: int) -> Column:
+    """How many of the side's inner bounds are at or below i / n, both as 32-bit fractions: a guess, set right by its neighbours."""
+    step = 1.0 / side
+    bound = lambda k: (F.lit(step) + (k - 1) * step).cast("float")
+    at = (i * (1.0 / n)).cast("float")
+    guess = F.floor(at.cast("double") * side)
+    return F.when((guess + 1 < side) & (bound(guess + 1) <= at), guess + 1).when((guess <= 0) | (bound(guess) <= at), guess).otherwise(guess - 1)
+
+
+def interpolated_ids(height: Column, width: Column, side: int) -> Column:
+    """Position ids of a grid of height x width patches, row by row, mapped onto a table of side x side; an empty grid has none."""
+    ends = lambda n: F.when(n > 0, F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: _bucket(i, n, side))).otherwise(F.array().cast("array<bigint>"))
+    return F.flatten(F.transform(ends(height), lambda y: F.transform(ends(width), lambda x: y * side + x)))
+
+
+def composition(total: Column, decay: float, seed: int, *keys: Column | str) -> Column:
+    """A random composition of total (1 or more): parts, and ends, their running sums from 0.
+
+    The number of parts is uniform at decay 1, else geometric, cut off at total; places to cut at are the first by a draw each, in order.
+    """
+    total = total.cast("long")
+    u = draw(seed, "composition/n", *keys)
+    if decay == 1.0:
+        n = 1 + F.floor(u * total)
+    else:
+        n = F.least(total, 1 + F.floor(F.log(1.0 - u * (1.0 - F.pow(F.lit(decay), total))) / math.log(decay)))
+    places = F.when(total > 1, F.sequence(F.lit(1).cast("long"), total - 1)).otherwise(F.array().cast("array<bigint>"))
+    drawn = F.slice(F.array_sort(F.transform(places, lambda i: F.struct(draw(seed, "composition/cut", *keys, i).alias("u"), i.alias("i")))), F.lit(1), n.cast("int") - 1)
+    ends = F.concat(F.array(F.lit(0).cast("long")), F.array_sort(F.transform(drawn, lambda x: x["i"])), F.array(total))
+    parts = F.zip_with(F.slice(ends, F.lit(2), n.cast("int")), F.slice(ends, F.lit(1), n.cast("int")), lambda b, a: b - a)
+    return F.struct(parts.alias("parts"), ends.alias("ends"))
 
 
 def cropped(values: Column, channels: int, height: int, width: int, to_height: int, to_width: int) -> Column:

@@ -113,6 +113,14 @@ def rotated(x: Column, angles: Column) -> Column:
     return F.zip_with(F.zip_with(x, both, lambda v, a: v * F.cos(a)), F.zip_with(rotated_half(x), both, lambda v, a: v * F.sin(a)), lambda a, b: a + b)
 
 
+def rotated_2d(x: Column, row: Column, col: Column, base: float = 10000.0) -> Column:
+    """A vector whose first half is turned by its patch's row, the second by its column."""
+    width = F.size(x)
+    half = F.floor(width / 2).cast("int")
+    angle = lambda p: F.transform(F.sequence(F.lit(0), F.floor(half / 2).cast("int") - 1), lambda i: p / F.pow(F.lit(base), 2.0 * i / half))
+    return F.concat(rotated(F.slice(x, F.lit(1), half), angle(row)), rotated(F.slice(x, half + 1, half), angle(col)))
+
+
 def latent(z: Column, scale: float = 0.3611, shift: float = 0.1159) -> Column:
     return scale * (z - shift)
 

@@ -207,3 +207,35 @@ def kept_items(plan: Column, p_text: float, p_vit: float, p_vae: float, seed: in
         return F.struct(item.alias("item"), gone.alias("dropped"), F.when(gone & (item["type"] != "text"), 1).otherwise(0).alias("rope"))
 
     return F.transform(plan, of)
+
+
+ITEM = "struct<type:string,enable_cfg:int,loss:int,special_token_loss:int,special_token_label:int,split_start:boolean,split_end:boolean,frame_delta:bigint>"
+
+
+def _item(kind: str, cfg: Column | int, loss: Column | int, start: Column | bool = True, end: Column | bool = True, delta: Column | None = None) -> Column:
+    values = {"type": kind, "enable_cfg": cfg, "loss": loss, "special_token_loss": 0, "special_token_label": None, "split_start": start, "split_end": end, "frame_delta": delta}
+    return F.struct(*((v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in values.items())).cast(ITEM)
+
+
+def text_item(loss: Column | int, cfg: Column | int = 1) -> Column:
+    """The plan item of a text: guided by default, a split of its own."""
+    return _item("text", cfg, loss)
+
+
+def video_items(frames: Column, loss: Column, cfg: Column | int = 1) -> Column:
+    """Plan items of a video, one a frame (index, ...) in order: the first opens a split and the last one ends it, and all but the last say how far the next is.
+
+    With a loss frames are targets, which are never guided.
+    """
+
+    def item(f: Column, i: Column) -> Column:
+        following = F.get(frames, i + 1)["index"] - f["index"]
+        guided = F.when(loss == 1, 0).otherwise(cfg if isinstance(cfg, Column) else F.lit(cfg))
+        return _item("vae_image", guided, loss, i == 0, i == F.size(frames) - 1, following)
+
+    return F.transform(frames, item)
+
+
+def frame_tokens(frames: Column, stride: int) -> Column:
+    """Latent tokens of all frames (h, w)."""
+    return F.aggregate(frames, F.lit(0).cast("long"), lambda a, f: a + F.floor(f["w"] * f["h"] / (stride * stride)))

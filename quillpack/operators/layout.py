@@ -99,3 +99,27 @@ def request_contexts(events: DataFrame, key: str, order: str) -> DataFrame:
         total("kv", every).alias("kv"), total("rope", every).alias("rope"), total("kv", ~F.col("newest")).alias("kv_no_text"), total("rope", ~F.col("newest")).alias("rope_no_text"),
         total("kv", F.col("is_text")).alias("kv_no_image"), total("rope", F.col("is_text")).alias("rope_no_image"),
     )
+
+
+def mask_blocks(samples: DataFrame, keys: list[str], mask: str, causal: Column, block: int = 128) -> DataFrame:
+    """keys, q_block, k_block, pairs, whole: the blocks of a sample's attention mask in which some pair may attend, and how many do.
+
+    mask: 1 for every token that may be seen, 0 for padding (which still looks around). causal: whether tokens see up to themselves only. A block is whole
+    if all of its pairs may. Pairs are counted from running sums of the mask: no pair of tokens is made, only a row for each pair of blocks.
+    """
+    n = F.size("m_")
+    zero = F.array(F.lit(0).cast("long"))
+    rows = samples.select(*keys, F.col(mask).alias("m_"), causal.alias("c_")).where(n > 0)
+    # sums inside of blocks, then over blocks: linear in a sample's length
+    blocks = F.transform(F.sequence(F.lit(0), n - 1, F.lit(block)), lambda b: F.slice("m_", b + 1, block))
+    inner = F.transform(blocks, lambda x: F.aggregate(x, zero, lambda a, v: F.concat(a, F.array(F.element_at(a, -1) + v))))
+    rows = rows.select(*keys, "c_", n.alias("n_"), inner.alias("s_"))
+    rows = rows.select(*keys, "c_", "n_", F.explode(F.transform("s_", lambda s, k: F.struct(k.alias("k_block"), s.alias("s")))).alias("b"), F.size("s_").alias("count_"))
+    rows = rows.select(*keys, "c_", "n_", "b.k_block", "b.s", F.explode(F.sequence(F.when(F.col("c_"), F.col("b.k_block")).otherwise(0), F.col("count_") - 1)).alias("q_block"))
+    queries = F.least(F.lit(block), F.col("n_") - F.col("q_block") * block)
+    tokens = F.size("s") - 1
+    seen = F.element_at("s", -1)
+    # on the diagonal a causal query sees as far as itself
+    own = F.aggregate(F.slice("s", F.lit(2), tokens), F.lit(0).cast("long"), lambda a, x: a + x)
+    pairs = F.when(F.col("c_") & (F.col("q_block") == F.col("k_block")), own).otherwise(queries * seen)
+    return rows.select(*keys, "q_block", "k_block", pairs.cast("long").alias("pairs"), (pairs == queries * tokens).alias("whole")).where("pairs > 0")

@@ -62,6 +62,22 @@ def next_token_loss(rows: DataFrame, seq: str, pos: str, nll_of_label: Column) -
     return rows.withColumn("last_", last).where(~F.col("last_")).agg(F.avg(nll_of_label).alias("loss"))
 
 
+def shifted_cross_entropy(logits: DataFrame, labels: DataFrame, seq: str = "seq", pos: str = "pos", ignored: int = -100) -> DataFrame:
+    """loss, n: the mean, over n positions, of the cross entropy between a position's logits (seq, pos, k, x) and the label of the next one.
+
+    Positions of a sequence follow each other by pos; the last one, and those whose next label is `ignored`, count for nothing; without any,
+    loss is null. A position's logits are reduced to their maximum, then to a sum of exponentials under it, by partial aggregates, and never gathered.
+    """
+    from pyspark.sql import Window
+
+    following = F.lead("label").over(Window.partitionBy(seq).orderBy(pos))
+    targets = labels.select(seq, pos, following.alias("label")).where(F.col("label").isNotNull() & (F.col("label") != ignored))
+    most = logits.groupBy(seq, pos).agg(F.max("x").alias("most"))
+    met = logits.join(targets.join(most, [seq, pos]), [seq, pos])
+    sums = met.groupBy(seq, pos, "most").agg(F.sum(F.exp(F.col("x") - F.col("most"))).alias("s"), F.max(F.when(F.col("k") == F.col("label"), F.col("x"))).alias("hit"))
+    return sums.agg(F.avg(F.col("most") + F.log("s") - F.col("hit")).alias("loss"), F.count("*").alias("n"))
+
+
 def mean_pooled(rows: DataFrame, group: str, vector: str) -> DataFrame:
     """group, dim, value: mean of the vectors by dimension."""
     return rows.select(group, F.posexplode(vector).alias("dim", "x")).groupBy(group, "dim").agg(F.avg(F.col("x").cast("double")).alias("value"))

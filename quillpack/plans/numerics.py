@@ -207,10 +207,14 @@ def cfg_renorm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pair(spark, sf_dir).select("vec_id", F.round(M.norm(M.renormalised(F.col("v"), c, 0.2)), 6).alias("norm"))
 
 
-@query("SELECT k::BIGINT AS k, round(3.0 * (1 - k / 49.0) / (1 + 2.0 * (1 - k / 49.0)), 9) AS t, CASE WHEN 3.0 * (1 - k / 49.0) / (1 + 2.0 * (1 - k / 49.0)) > 0.4 AND 3.0 * (1 - k / 49.0) / (1 + 2.0 * (1 - k / 49.0)) <= 1.0 THEN 4.0::DOUBLE ELSE 1.0::DOUBLE END AS scale FROM range(50) AS r(k)")
+SHIFTED = "3.0 * (1 - event_id % 50 / 49.0) / (1 + 2.0 * (1 - event_id % 50 / 49.0))"
+
+
+@query(f"SELECT event_id, round({SHIFTED}, 9) AS t, CASE WHEN {SHIFTED} > 0.4 AND {SHIFTED} <= 1.0 THEN 4.0 ELSE 1.0 END::DOUBLE AS scale FROM events")
 def timestep_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = M.shifted(1.0 - F.col("id") / 49.0, 3.0)
-    return spark.range(50).select(F.col("id").alias("k"), F.round(t, 9).alias("t"), M.gated(t, 0.4, 1.0, 4.0).alias("scale"))
+    """Where an event stands on a grid of 50 points, shifted, and the guidance there."""
+    t = M.shifted(1.0 - F.col("event_id") % 50 / 49.0, 3.0)
+    return table(spark, sf_dir, "events").select("event_id", F.round(t, 9).alias("t"), M.gated(t, 0.4, 1.0, 4.0).alias("scale"))
 
 
 @query(f"WITH {PAIR}, t AS (SELECT *, 1 / (1 + exp(-(vec_id % 7 - 3.0))) AS t FROM p) SELECT vec_id, round(sqrt(list_sum(list_transform(list_zip(v, u), lambda z: ((1 - t) * z[1] + t * z[2]) ** 2))), 6) AS mix, round(sqrt(list_sum(list_transform(list_zip(v, u), lambda z: (z[2] - z[1]) ** 2))), 6) AS target FROM t")
@@ -281,18 +285,21 @@ def mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.mean_pooled(table(spark, sf_dir, "embeddings"), "label", "embedding").select("label", "dim", F.round("value", 6).alias("value"))
 
 
-@query("SELECT pos::BIGINT AS pos, i::INT AS i, round(sin(pos / 10000.0 ** (2.0 * i / 32)), 9) AS s, round(cos(pos / 10000.0 ** (2.0 * i / 32)), 9) AS c FROM range(64) AS a(pos), range(16) AS b(i)")
+@query("""SELECT p_partkey, round(list_sum(list_transform(range(32), lambda k: (k + 1) * CASE WHEN k % 16 < 8 THEN sin(p[k // 16 + 1] / 10000.0 ** (k % 8 / 8.0)) ELSE cos(p[k // 16 + 1] / 10000.0 ** (k % 8 / 8.0)) END)), 6) AS digest
+    FROM (SELECT p_partkey, [p_partkey % 16, p_size % 16]::DOUBLE[] AS p FROM part)""")
 def sincos_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.range(64).select(F.col("id").alias("pos"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("i"))
-    angle = F.col("pos") * M.frequency(F.col("i"), 32)
-    return rows.select("pos", "i", F.round(F.sin(angle), 9).alias("s"), F.round(F.cos(angle), 9).alias("c"))
+    """A place in a grid by sines and cosines of its column, then of its row."""
+    x = M.table_2d(F.col("p_size") % 16, F.col("p_partkey") % 16, 32)
+    rows = table(spark, sf_dir, "part").select("p_partkey", x.alias("x"))
+    return rows.select("p_partkey", F.round(F.aggregate(F.transform("x", lambda v, k: (k + 1) * v), F.lit(0.0), lambda a, v: a + v), 6).alias("digest"))
 
 
-@query("""SELECT s::BIGINT AS step, round(CASE WHEN s < 300 THEN 1e-4 * s / 300 ELSE 1e-4 END, 12) AS constant,
-    round(CASE WHEN s < 300 THEN 1e-4 * s / 300 ELSE 1e-6 + (1e-4 - 1e-6) * greatest(0, 0.5 * (1 + cos(pi() * (s - 300) / 4800.0))) END, 12) AS cosine FROM range(0, 5100, 50) AS r(s)""")
+@query("""SELECT o_orderkey, round(CASE WHEN s < 300 THEN 1e-4 * s / 300 ELSE 1e-4 END, 12) AS constant,
+    round(CASE WHEN s < 300 THEN 1e-4 * s / 300 ELSE 1e-6 + (1e-4 - 1e-6) * greatest(0, 0.5 * (1 + cos(pi() * (s - 300) / 4800.0))) END, 12) AS cosine FROM (SELECT o_orderkey, o_orderkey % 5100 AS s FROM orders)""")
 def lr_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.col("id")
-    return spark.range(0, 5100, 50).select(s.alias("step"), F.round(M.learning_rate(s, 1e-4, 300, 5100), 12).alias("constant"), F.round(M.learning_rate(s, 1e-4, 300, 5100, 1e-6, "cosine"), 12).alias("cosine"))
+    """The learning rates of the steps that orders are used at."""
+    s = F.col("o_orderkey") % 5100
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(M.learning_rate(s, 1e-4, 300, 5100), 12).alias("constant"), F.round(M.learning_rate(s, 1e-4, 300, 5100, 1e-6, "cosine"), 12).alias("cosine"))
 
 
 @query("SELECT conv_id, turn, n, (sum(n) OVER w)::BIGINT - n AS start, max(n) OVER (PARTITION BY conv_id) AS longest FROM (SELECT conv_id, turn, length(text)::BIGINT AS n FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")

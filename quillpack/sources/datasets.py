@@ -13,9 +13,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.draws import draw
 from ..functions.text import blank, n_tokens, strip
 from ..operators import elements as E
-from .readers import json_lines, parquet_rows
+from .readers import json_lines, parquet_rows, text_lines
 from .shards import tar_samples
 
 # Optional caption columns, in the order that they are gathered in.
@@ -60,6 +61,29 @@ def root(catalog: dict, group: str, dataset: str) -> str:
     return os.path.expandvars(catalog[group][dataset]["data_dir"])
 
 
+def zipped(*lists: DataFrame, ordinal: str = "line") -> DataFrame:
+    """Lists of rows numbered by `ordinal` side by side, as long as the shortest; other columns must have different names."""
+    out = lists[0]
+    for x in lists[1:]:
+        out = out.join(x, ordinal)
+    return out
+
+
+def used_lines(spark: SparkSession, sources: DataFrame, seed: int | None = None) -> DataFrame:
+    """source, folder, line, value: the first `quota` lines (all, if null) of each of sources (line, path, folder, quota), in a drawn order with a seed.
+
+    Sources are configuration: a file each, read by a scan of its own.
+    """
+    out = None
+    for r in sources.orderBy("line").collect():
+        rows = text_lines(spark, r["path"])
+        order = [draw(seed, "lines", "line"), F.col("line")] if seed is not None else [F.col("line")]
+        rows = rows if r["quota"] is None else rows.orderBy(*order).limit(r["quota"])
+        rows = rows.select(F.lit(r["line"]).cast("long").alias("source"), F.lit(r["folder"]).alias("folder"), "line", "value")
+        out = rows if out is None else out.unionByName(rows)
+    return out if out is not None else spark.createDataFrame([], "source long, folder string, line long, value string")
+
+
 def merged_info(infos: list[dict]) -> dict:
     """Side information of several datasets; later ones win."""
     out: dict = {}

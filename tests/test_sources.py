@@ -120,10 +120,33 @@ def test_tokenizer_plumbing(spark):
 def test_arrays(spark):
     v = spark.range(1).select(F.array(*map(F.lit, range(48))).alias("v"))
     assert v.select(arrays.unpatchify(arrays.patchify(F.col("v"), 3, 4, 4, 2), 3, 4, 4, 2).alias("x")).first()["x"] == list(range(48))
-    assert arrays.interpolated_ids(2, 2, 4) == [0, 2, 8, 10] and arrays.interpolated_ids(4, 4, 4) == list(range(16))
-    for seed in range(20):
-        parts, ends = arrays.composition(30, 0.9 if seed % 2 else 1.0, seed)
-        assert sum(parts) == 30 and min(parts) > 0 and ends[-1] == 30 and len(ends) == len(parts) + 1
+    ids = spark.createDataFrame([(2, 2), (4, 4), (0, 3), (5, 1)], "h int, w int").select(arrays.interpolated_ids(F.col("h"), F.col("w"), 4).alias("x")).collect()
+    assert [r["x"] for r in ids] == [[0, 2, 8, 10], list(range(16)), [], [0, 0, 4, 8, 12]]
+    for decay in (1.0, 0.9):
+        rows = spark.range(300).select((F.col("id") % 30 + 1).alias("n"), arrays.composition(F.col("id") % 30 + 1, decay, 3, "id").alias("c")).collect()
+        for r in rows:
+            parts, ends = r["c"]
+            assert sum(parts) == r["n"] and min(parts) > 0 and ends[0] == 0 and ends[-1] == r["n"] and [b - a for a, b in zip(ends, ends[1:], strict=False)] == parts
+        assert len({len(r["c"][0]) for r in rows}) > 5
+
+
+def test_plan_items(spark):
+    from quillpack.operators import elements as E
+
+    df = spark.createDataFrame([([(3, 32, 32), (7, 32, 48)], 1), ([(5, 16, 16)], 0), ([], 0)], "frames array<struct<index:int,h:int,w:int>>, loss int")
+    a, b, c = df.select(E.video_items(F.col("frames"), F.col("loss")).alias("i"), E.frame_tokens(F.col("frames"), 16).alias("n")).collect()
+    assert [tuple(x) for x in a["i"]] == [("vae_image", 0, 1, 0, None, True, False, 4), ("vae_image", 0, 1, 0, None, False, True, None)] and a["n"] == 10
+    assert [tuple(x) for x in b["i"]] == [("vae_image", 1, 0, 0, None, True, True, None)] and (c["i"], c["n"]) == ([], 0)
+
+
+def test_used_lines(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / name).write_text("".join(f"{name}{i}\n" for i in range(5)))
+    sources = spark.createDataFrame([(0, str(tmp_path / "a"), "x", 2), (1, str(tmp_path / "b"), "y", None)], "line long, path string, folder string, quota int")
+    got = [tuple(r) for r in D.used_lines(spark, sources).orderBy("source", "line").collect()]
+    assert got == [(0, "x", 0, "a0"), (0, "x", 1, "a1")] + [(1, "y", i, f"b{i}") for i in range(5)]
+    drawn = {r["value"] for r in D.used_lines(spark, sources.where("quota = 2"), seed=3).collect()}
+    assert len(drawn) == 2 and D.used_lines(spark, sources.limit(0)).count() == 0
 
 
 def test_gathers(spark):
