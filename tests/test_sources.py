@@ -4,13 +4,12 @@ import io
 import json
 import tarfile
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from quillpack.functions import arrays, pixels, tokenizers
+from quillpack.functions import arrays, tokenizers
 from quillpack.operators import gathers as G
 from quillpack.sources import datasets as D
 
@@ -89,20 +88,6 @@ def test_edits(spark, tmp_path):
     ]
 
 
-def test_pixels():
-    rng = np.random.default_rng(1)
-    a = rng.integers(0, 256, (12, 10, 3), dtype=np.uint8)
-    assert pixels.rgb(np.dstack([a, np.full((12, 10), 255, np.uint8)])).tolist() == a.tolist()
-    assert (pixels.rgb(np.dstack([a, np.zeros((12, 10), np.uint8)])) == 255).all()
-    assert pixels.resized(a, 10, 12).tolist() == a.tolist() and pixels.resized(a, 5, 4).shape == (4, 5, 3)
-    assert pixels.normalised(np.full((2, 2, 3), 255, np.uint8)).max() == 1
-    assert pixels.motion_blur(a, 1, 30).tolist() == a.tolist()
-    assert sorted(pixels.shuffled_patches(a, 2, 2, 3).ravel().tolist()) == sorted(a.ravel().tolist())
-    assert (pixels.blanked_patches(np.full((10, 10, 3), 9, np.uint8), 2, 5, 0.5, 1) == 0).sum() == 5 * 10 * 3
-    assert pixels.patch_edges(11, 3) == [0, 3, 6, 11] and pixels.preprocessed(a).shape == (3, 224, 224)
-    assert pixels.grey(a)[..., 0].tolist() == pixels.grey(a)[..., 2].tolist() and pixels.cropped(a, 0.5, 0, 0.5, 1).shape == (12, 5, 3)
-
-
 def test_tokenizer_plumbing(spark):
     assert tokenizers.special_ids({"<|endoftext|>": 3, "x": 7}) == ({"<|startoftext|>": 8, "<|endoftext|>": 3, "<|vision_start|>": 9, "<|vision_end|>": 10}, 3)
     assert tokenizers.joined(["▁a", "b", "</s>", "</s>", "▁c"], {"</s>"}) == "ab </s></s> c"
