@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 
@@ -9,10 +10,10 @@ import numpy as np
 import pytest
 import xxhash
 
-from quillpack.llm import decontaminate, simhash, suffixes
+from quillpack.llm import decontaminate, shingles, simhash, suffixes
 from quillpack.llm.components import components
 
-from .conftest import COLUMNS, EXTRA, prose, rows
+from .conftest import prose, rows
 
 
 def words(t):
@@ -202,10 +203,6 @@ def test_only_dataframe_functions(spark, docs):
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
 
 
-def test_extra_columns_are_kept_apart():
-    assert len(COLUMNS.split(",")) == 5 + len(EXTRA)
-
-
 def similar_groups(sets):
     """Classes of sets at a similarity of 0.8 or more, by brute force."""
     root = list(range(len(sets)))
@@ -260,3 +257,82 @@ def test_rows_of_one_doc_id_in_different_components_stay(spark):
     df = spark.createDataFrame([(1, "one text of its own here"), (1, "quite another text that is no copy"), (1, "one text of its own here"), (2, "quite another text that is no copy"), (None, "no id")], "doc_id long, text string")
     got = sorted((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.near_dedup(spark, df, "").collect())
     assert got == [(0, "no id"), (1, "one text of its own here"), (1, "quite another text that is no copy")]
+
+
+def bucket(spark, n, main=0):
+    """One bucket of n members that share nothing else, each a component, and of `main` members of one component."""
+    rows = [(0, 5, i, i, 0) for i in range(n)] + [(0, 5, 1000000 + i, -1, 1) for i in range(main)]
+    return spark.createDataFrame(rows, "slot int, key long, node long, root long, main int")
+
+
+@pytest.mark.parametrize(("held", "passing"), [(7, 6), (100, 100), (7, 100), (100, 6)])
+def test_cells_let_all_meet_once(spark, monkeypatch, held, passing):
+    monkeypatch.setattr(shingles, "HELD", held)
+    monkeypatch.setattr(shingles, "PASSING", passing)
+    cells = collections.defaultdict(lambda: ([], []))
+    for r in shingles._cells(bucket(spark, 40, 25)).collect():
+        cells[r["i"], r["j"]][r["side"]].append(r["node"])
+    met = collections.Counter()
+    for (i, j), (left, right) in cells.items():
+        if i == j:
+            met.update(tuple(sorted(x)) for x in itertools.combinations(left, 2))
+        met.update((min(x, y), max(x, y)) for x in left for y in right)
+    every = range(40)
+    assert met == collections.Counter([*itertools.combinations(every, 2), *((x, 1000000 + y) for x in every for y in range(25))])
+    assert max(len(left) for left, _ in cells.values()) < 3 * held
+
+
+def test_work_of_a_bucket_grows_with_its_members(spark, monkeypatch):
+    """Members that share one band and nothing else: they are parted by second bands, and hardly any is left to compare."""
+    monkeypatch.setattr(shingles, "SPLIT", 50)
+    left = []
+    for n in (200, 400):
+        rnd = random.Random(n)
+        postings = [(0, 5, i) for i in range(n)] + [(s, rnd.randrange(1 << 40), i) for i in range(n) for s in range(1, 8)]
+        # two near ones share three bands
+        postings += [(s, 9, i) for s in (20, 21) for i in (0, 1)]
+        out = shingles._parted(bucket(spark, n), spark.createDataFrame(postings, "slot int, key long, node long")).collect()
+        assert {r["node"] for r in out} == {0, 1} and {r["slot"] for r in out} == {20, 21}
+        left.append(len(out))
+    assert left[1] <= 2 * left[0]
+    small = shingles._parted(bucket(spark, 50), spark.createDataFrame([(0, 5, i) for i in range(50)], "slot int, key long, node long"))
+    assert small.count() == 50
+
+
+def test_settling_in_small_cells_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "HELD", 3)
+    monkeypatch.setattr(shingles, "PASSING", 4)
+    monkeypatch.setattr(shingles, "PIVOTS", 1)
+    monkeypatch.setattr(shingles, "SAMPLE", 2)
+    rnd = random.Random(5)
+    base = [f"w{i}" for i in range(400)]
+    texts = []
+    for k in range(60):
+        own = base[:]
+        for _ in range(rnd.randrange(14)):
+            own[rnd.randrange(400)] = f"x{k}y{rnd.randrange(50)}"
+        texts.append(" ".join(own))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [set(shingles.shingles(t).tolist()) for t in texts]
+    want = similar_groups(sets)
+    got = {r["doc_id"]: r["component_id"] for r in shingles.similar(df).collect()}
+    assert len(set(got.values())) > 1
+    assert {frozenset(k for k in got if got[k] == c) for c in got.values()} == {frozenset(i for i in range(60) if want[i] == c) for c in want}
+
+
+def test_near_dedup_with_clashing_columns_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    names = ["component_id", "shingle_root", "shingle_set", "shingle_bands", "shingle_sign", "shingle_salt", "salt", "root", "component", "place", "Component_", "node", "slot", "key", "odd name"]
+    long = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, long, 5), (1, long + " end", 4), (1, long, 3), (1, other, 1), (2, long, 9), (3, other, 9), (None, long, 2), (4, None, 1), (5, "", 1)]
+    df = spark.createDataFrame([(d, t, *([n] * len(names))) for d, t, n in rows], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    for parts in (1, 4):
+        out = corpus_pipeline.near_dedup(spark, df.repartition(parts, "odd name"), "")
+        assert out.columns == df.columns
+        # of the rows of one id and component the first by text, then by the other columns
+        assert sorted(((r["doc_id"], r["text"], r["odd name"]) for r in out.collect()), key=str) == sorted([(1, long, 3), (1, other, 1), (None, long, 2), (4, None, 1)], key=str)
+    assert corpus_pipeline.near_dedup(spark, df.limit(0), "").count() == 0
+    with pytest.raises(ValueError, match="component_id"):
+        shingles.similar(df)
