@@ -39,19 +39,43 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Paths of the tables written within passing(), innermost last.
+_passing: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: its lineage starts at files that outlive executors."""
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """df written to the shared folder and read again: its lineage starts at files that outlive executors.
+
+    The table stays until the folder is cleaned up, or, within passing(), until that ends unless it is to be kept.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
+    if _passing and not keep:
+        _passing[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables materialised within are deleted at the end; what goes on may read those alone that were kept."""
+    _passing.append([])
+    try:
+        yield
+    finally:
+        for path in _passing.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        # Spark removes the shuffle files of plans that nothing refers to when the driver collects garbage
+        gc.collect()
+        spark._jvm.System.gc()
+
+
 def fold(doc_id: Column | str, folds: int) -> Column:
     """crc32 of doc_id as text, modulo folds; null for a null doc_id."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % folds

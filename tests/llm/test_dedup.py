@@ -336,3 +336,20 @@ def test_near_dedup_with_clashing_columns_and_repeated_ids(spark):
     assert corpus_pipeline.near_dedup(spark, df.limit(0), "").count() == 0
     with pytest.raises(ValueError, match="component_id"):
         shingles.similar(df)
+
+
+def test_tables_within_passing_are_deleted(spark):
+    import os
+
+    from quillpack.llm import common
+
+    with common.passing(spark):
+        a = common.materialise(spark.range(5), "a")
+        b = common.materialise(a.where("id > 2"), "b", keep=True)
+        gone = a.inputFiles()
+    c = common.materialise(spark.range(2), "c")
+    assert b.count() == 2 and c.count() == 2 and gone and not any(os.path.exists(f.removeprefix("file://")) for f in gone)
+    with pytest.raises(ZeroDivisionError), common.passing(spark):
+        gone = common.materialise(spark.range(5), "d").inputFiles()
+        1 / 0  # noqa: B018
+    assert not os.path.exists(gone[0].removeprefix("file://")) and not common._passing
