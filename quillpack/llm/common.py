@@ -118,6 +118,7 @@ def forget_others(owner: str) -> None:
 
 def give_back() -> None:
     """Memory that is free in this worker goes back to the system; workers that wait for their next task keep theirs otherwise."""
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
