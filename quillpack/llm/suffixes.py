@@ -34,7 +34,7 @@ from .common import column, map_arrow, materialise
 
 WINDOW, PREFIX = 35, 12
 #: Bytes of text in a blob; a longer text is a blob by itself.
-BLOB = 4 << 20
+BLOB = 2 << 20
 MULTIPLIERS = np.random.default_rng(20240229).integers(1, 1 << 63, (2, 4096), dtype="u8") * np.uint64(2) + np.uint64(1)
 
 
@@ -63,6 +63,11 @@ def opened(data: bytes) -> pa.RecordBatch:
         return stream.read_next_batch()
 
 
+def _each(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows one at a time, so that one blob is held at a time."""
+    return (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows))
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return x ^ (x >> np.uint64(32))
@@ -208,7 +213,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, prefix: int = PREFI
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _each(batch):
                 keys, twice, _ = Windows(opened(row["data"]), window, prefix).prefixes()
                 yield _sent(row["blob"], keys, twice, buckets)
 
@@ -222,7 +227,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, prefix: int = PREFI
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _each(batch):
                 _, w, own = wanted(row)
                 keys, twice, _ = w.labels(own)
                 yield _sent(row["blob"], keys, twice, buckets)
@@ -233,7 +238,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, prefix: int = PREFI
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for rows in batches:
-            for row in rows.to_pylist():
+            for row in _each(rows):
                 batch, w, own = wanted(row)
                 keys, _, where = w.labels(own)
                 hit = np.zeros(len(own), bool)
