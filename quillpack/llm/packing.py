@@ -64,7 +64,7 @@ def bundles(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = BLOB)
             return out
 
         for batch in batches:
-            for a, texts in slices(batch, limit=ENCODED):
+            for a, texts in slices(batch, limit=ENCODED // 2):
                 flat, counts = encoder(tokenizer).encode(texts, end_id)
                 own, origin, counts = (x.to_pylist() if isinstance(x, pa.Array) else x.tolist() for x in (column(batch, "doc_id").slice(a, len(texts)), column(batch, "source").slice(a, len(texts)), counts))
                 begin = at = i = 0
