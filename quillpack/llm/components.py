@@ -12,8 +12,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """node, root (the smallest node reachable) of every node in links(a, b), self-links and repeats allowed.
 
     Large-star joins every node's larger neighbours to its smallest one, small-star its smaller ones; a node's
-    neighbours are never gathered, only their minimum is, by partial aggregates, so a hub costs a task no more than its share of
-    rows. The number of links doesn't grow. Ends when a round changes nothing; the rounds grow with the logarithm of the longest path.
+    neighbours are never gathered, only their minimum is, by partial aggregates. In the joins a hub's links have one key: Spark splits them
+    at run time (adaptive execution), else they meet in one task. The number of links doesn't grow. Ends when a round changes nothing; the rounds grow with the logarithm of the longest path.
     """
     edges = materialise(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     total = None
