@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20
 #: Rows of an Arrow batch: a row is a whole text, and an executor holds some batches for each of its cores.
 BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2500
+#: Bytes of one: few rows where texts are long. Both hold where the session has Spark's own default.
+BATCH_SIZE, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -129,6 +131,8 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[di
     conf = df.sparkSession.conf
     if conf.get(BATCH) == "10000":  # Spark's own default; what a user has set stays
         conf.set(BATCH, BATCH_ROWS)
+    if conf.get(BATCH_SIZE) == "67108864b":
+        conf.set(BATCH_SIZE, str(BATCH_BYTES))
     schema = arrow_schema(ddl)
     owner = f"{f.__module__}.{f.__qualname__}"
 
