@@ -1,15 +1,18 @@
 """Mixture-controlled packing: deficit round-robin over source queues.
 
 Each window of 2048 tokens is filled from one queue per source. A round adds to every queue's deficit its share of a
-window and serves packets while the deficit is positive; what a packet overdraws is carried to the next window. The
-packets of a window thus keep target proportions up to one packet a source, at every prefix of the output.
+window and serves packets while the deficit is positive; what a packet overdraws is carried to the next window, and
+from bundle to bundle, whatever tasks pack them. The packets of a window thus keep target proportions up to one packet a source, at
+every prefix of the output.
 
 Documents are encoded where they are read, in blobs. The queue of a source is its documents in the order of tasks, blobs and rows,
 so the counts of blobs place every id in its queue. The output is cut into bundles of BUNDLE ids, and what a
 bundle holds of each queue is what its targets give up to there: sources advance at the rate of their shares until they end, and
-sources without a share follow when all others have ended. Blobs are cut at these places and their cuts dealt to the bundles, so a
-bundle is on target whatever order or files the input has; documents that cross a cut go on in the next bundle.
-A bundle is packed by itself. Windows are full; a bundle's rest is cut into sequences whose lengths are powers of two,
+sources without a share follow when all others have ended. Blobs are cut behind the packet that reaches such a place and their cuts
+dealt to the bundles, whatever order or files the input has; documents that cross a cut go on in the next bundle.
+The packet at a cut is served before it is due. By how much is the deficit that its source enters the next bundle with: what the targets give it
+in all earlier bundles, less the place in its queue where the bundle's first packet of it lies. Both are sums over all bundles before, so bundles
+are packed side by side with the deficits that one pass over all of them would carry. Windows are full; a bundle's rest is cut into sequences whose lengths are powers of two,
 which need no padding. All ids are packed, so a target that differs from the corpus' own proportions holds as long as each source lasts.
 The driver and each task hold a row for each source.
 """
@@ -32,7 +35,7 @@ from .tokens import ENCODED, encoder
 WINDOW, GRAIN = 2048, 512
 #: Ids in a bundle, and in a blob, where a longer document is one by itself.
 BUNDLE, BLOB = 1 << 21, 1 << 17
-#: Ids in one cut that is dealt.
+#: Ids in one cut that is dealt, up to a packet.
 CUT = 1 << 17
 BUNDLES = "task int, bundle int, doc_ids array<long>, sources array<string>, lengths array<long>, before array<struct<source:string,n:long>>, wide boolean, ids binary"
 CUTS = "target long, source string, at long, doc_ids array<long>, starts array<long>, lengths array<long>, doc_tokens array<long>, wide boolean, ids binary"
@@ -165,8 +168,21 @@ def rates(held: dict[str, int], target: dict[str, float] | None, size: int) -> t
     return rate, start, np.r_[np.interp(np.arange(1, count) * float(size), given, when), np.inf]
 
 
-def cuts(made: DataFrame, held: dict[str, int], rate: dict[str, float], start: dict[str, float], times: np.ndarray) -> DataFrame:
-    """Blobs (with served, the ids of each source in earlier tasks) cut by source and bundle; at: the place in the source's queue."""
+def due(n: float, rate: float, start: float, times: np.ndarray | float) -> np.ndarray:
+    """What a source of n ids has been given by the times: where its queue is cut."""
+    return np.minimum(float(n), rate * np.maximum(0.0, np.asarray(times) - start)).astype("i8")
+
+
+def carried(source: str | None, at: int, bundle: int, held: dict[str, int], rate: dict[str, float], start: dict[str, float], times: np.ndarray) -> float:
+    """The deficit of a source whose first packet in a bundle lies at a place of its queue; 0 or less, above minus one packet."""
+    return float(due(held[source], rate[source], start[source], times[bundle - 1]) - at) if bundle else 0.0
+
+
+def cuts(made: DataFrame, held: dict[str, int], rate: dict[str, float], start: dict[str, float], times: np.ndarray, grain: int) -> DataFrame:
+    """Blobs (with served, the ids of each source in earlier tasks) cut by source and bundle; at: the place in the source's queue.
+
+    A packet, a document's next grain ids, is whole and in the bundle in which it begins to be due.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for row in itertools.chain.from_iterable(map(as_rows, batches)):
@@ -178,20 +194,21 @@ def cuts(made: DataFrame, held: dict[str, int], rate: dict[str, float], start: d
             for i, s in enumerate(row["sources"]):
                 queues.setdefault(s, []).append(i)
             for s, queue in queues.items():
-                ends = np.minimum(float(held[s]), rate[s] * np.maximum(0.0, times - start[s])).astype("i8")
+                ends = due(held[s], rate[s], start[s], times)
                 at = served[s] + before.get(s, 0)
                 made_at, out, size = at, [], 0
                 k = int(np.searchsorted(ends, at, "right"))
                 for i in queue:
                     done, n = 0, int(lengths[i])
                     while done < n:
-                        take = min(n - done, int(ends[k]) - at, CUT - size)
+                        room = min(int(ends[k]) - at, CUT - size)
+                        take = min(n - done, -(-room // grain) * grain)
                         out.append((row["doc_ids"][i], done, take, n, int(begins[i]) + done))
                         done, at, size = done + take, at + take, size + take
-                        if at == ends[k] or size == CUT:
+                        if at >= ends[k] or size >= CUT:
                             yield packet(k, s, made_at, out, flat, row["wide"])
                             made_at, out, size = at, [], 0
-                            if at == ends[k]:
+                            if at >= ends[k]:
                                 k = int(np.searchsorted(ends, at, "right"))
                 if out:
                     yield packet(k, s, made_at, out, flat, row["wide"])
@@ -208,7 +225,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, target: dict[str, flo
     """Pieces of all documents; sequence_id is in the order of the output. target: weights of sources; by default each source's part of all tokens.
 
     A null text is empty (its end id alone is packed), a null source is a source of its own, repeated rows are
-    documents of their own, an empty table has no pieces, other columns are left out.
+    documents of their own, an empty table has no pieces, other columns are left out. A source that has served more than it was due enters
+    the next bundle with that deficit.
     """
     made = bundles(docs, tokenizer, end_id)
     own = made.select("task", F.explode(F.arrays_zip("sources", "lengths")).alias("x")).groupBy("task", F.col("x.sources").alias("source")).agg(F.sum("x.lengths").alias("n"))
@@ -228,7 +246,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, target: dict[str, flo
             lengths: list[int] = []
             tokens: list[int] = []
             flat: list[bytes] = []
+            deficit: dict[str | None, float] = {}
             for row in packets:
+                if row["source"] not in deficit:
+                    deficit[row["source"]] = carried(row["source"], row["at"], bundle, held, rate, start, times)
                 sources += [row["source"]] * len(row["doc_ids"])
                 keys += row["doc_ids"]
                 begins += row["starts"]
@@ -238,14 +259,14 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, target: dict[str, flo
             ids = memoryview(b"".join(flat))
             starts = np.cumsum([0, *lengths]).tolist()
             share = {s: rate[s] for s in set(sources) if not start[s]}
-            doc, first, length, sequence, offset, full = map(list, zip(*schedule(sources, lengths, share, {}, window, grain), strict=True))
+            doc, first, length, sequence, offset, full = map(list, zip(*schedule(sources, lengths, share, deficit, window, grain), strict=True))
             yield {
                 "doc_id": [keys[i] for i in doc], "source": [sources[i] for i in doc], "start": [begins[i] + a for i, a in zip(doc, first, strict=True)], "length": length,
                 "ids_crc32": [zlib.crc32(ids[4 * (starts[i] + a) : 4 * (starts[i] + a + n)]) for i, a, n in zip(doc, first, length, strict=True)],
                 "doc_tokens": [tokens[i] for i in doc], "sequence_id": [(bundle << 24) + k for k in sequence], "offset": offset, "sequence_length": full,
             }
 
-    dealt = cuts(made.join(carry, "task"), held, rate, start, times)
+    dealt = cuts(made.join(carry, "task"), held, rate, start, times, grain)
     # tasks of some bundles each, whatever the size of the input
     tasks = min(MOST_TASKS, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(times) // 8))
     return map_arrow(dealt.repartition(tasks, "target").sortWithinPartitions("target", "source", "at"), run, PIECES)

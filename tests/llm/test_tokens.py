@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillpack.llm import planes
-from quillpack.llm.packing import pack, schedule
+from quillpack.llm.packing import due, pack, rates, schedule
 from quillpack.llm.token_counts import count_tokens
 from quillpack.llm.tokens import PieceEncoder
 
@@ -189,3 +189,42 @@ def test_mixture_of_input_sorted_by_source(spark, target):
             n += p["length"]
             if n <= lasts - 8192:
                 assert all(abs(seen[s] - share[s] * n) < 2 * 512 + 2048 for s in "abc")
+
+
+def test_deficits_are_carried_from_bundle_to_bundle(spark):
+    """Every bundle ends with what one pass over all of them would owe: each source has served what it is due, and at most a packet more."""
+    rnd = random.Random(11)
+    own = [(i, rnd.choice("aaabbc"), " ".join(rnd.choice(["one", "two", "three"]) for _ in range(rnd.choice([5, 200, 900, 3000])))) for i in range(400)]
+    df = spark.createDataFrame(own, "doc_id long, source string, text string").repartition(5)
+    size = 8 * 2048
+    pieces = sorted(pack(df, BPE, 1, size=size).collect(), key=lambda p: (p["sequence_id"], p["offset"]))
+    held = collections.Counter()
+    for p in pieces:
+        held[p["source"]] += p["length"]
+    held = dict(sorted(held.items()))
+    rate, start, times = rates(held, None, size)
+    bundles = [p["sequence_id"] >> 24 for p in pieces]
+    assert bundles[-1] == len(times) - 1 > 15
+    served, seen, over = collections.Counter(), 0, 0
+    for k in range(len(times)):
+        for p, b in zip(pieces, bundles, strict=True):
+            if b == k:
+                served[p["source"]] += p["length"]
+        owed = {s: int(due(held[s], rate[s], start[s], times[k])) - served[s] for s in held}
+        assert all(-512 < x <= 0 for x in owed.values())
+        over += sum(x < 0 for x in owed.values())
+    assert over > 20 and served == held
+    # at every window of the whole output, over the seams between bundles too
+    served, seen = collections.Counter(), 0
+    for p in pieces:
+        served[p["source"]] += p["length"]
+        seen += p["length"]
+        assert all(abs(served[s] - seen * held[s] / sum(held.values())) < 2 * 512 + 2048 for s in held)
+    # the pieces of a document follow each other, cut at packets alone or where a window ends
+    parts = collections.defaultdict(list)
+    for p in pieces:
+        parts[p["doc_id"]].append((p["start"], p["length"], p["doc_tokens"], p["offset"] + p["length"] == p["sequence_length"]))
+    for ps in parts.values():
+        ps.sort()
+        assert ps[0][0] == 0 and sum(n for _, n, _, _ in ps) == ps[0][2]
+        assert all(a + n == b for (a, n, _, _), (b, _, _, _) in zip(ps, ps[1:]))
