@@ -15,7 +15,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 4096) -> DataFram
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit of every row; no shuffle.
 
     A null or empty text has no tokens; repeated rows are counted again; a null doc_id stays null; other columns are
-    left out. A worker holds some MB of texts and two bounded memories of chunks.
+    left out. A worker holds some MB of texts, their distinct chunks and the transitions and pairs compiled so far.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:

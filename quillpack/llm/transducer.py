@@ -12,27 +12,78 @@ stands for; a transition is the look-up of a node, of the entries that end there
 pair is stable, and emits the difference of the counts. Nodes, transitions and pairs are compiled as texts need them.
 
 No entry holds a character followed by a word mark: where one follows the other, every state goes to the same state.
-The map of a chunk that begins with a word mark, from entry state to (exit state, count), is therefore a constant,
-and a text cut in front of its word marks is counted by looking up its chunks' maps and adding them up. Where a
-chunk is long, it is cut anywhere; a Map then keeps the characters up to its first such place as its head. Maps compose
-associatively, and a scan over them in pairs gives the whole.
+The map of a chunk that begins with a word mark, from entry state to (exit state, count), is therefore a constant.
+A slice of texts is cut into such chunks. The maps of its distinct chunks are worked out side by side: each is a lane, and
+a step takes the next character of all lanes through transitions kept in arrays. The composition of constant maps adds
+their counts, so a running sum over all chunks of the slice is their prefix scan, and a text's tokens are the
+difference of two of its places. A chunk of many characters is cut anywhere; a Map then keeps the characters up to the first two
+that no entry holds together as its head. Maps compose associatively, and a scan over them in pairs gives the whole.
 """
 
 from __future__ import annotations
 
-import gc
 import re
 from functools import lru_cache
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 MARK = "▁"
 #: A chunk longer than this many characters is cut and its parts' maps composed.
-CHUNK = 1 << 15
-#: Chunk maps and stable pairs remembered per worker (those met first); others are worked out again.
-WORDS, PAIRS = 500_000, 1_000_000
+CHUNK = 64
+#: Chunks worked out side by side.
+LANES = 1 << 14
+#: Stable pairs remembered per worker (those met first); others are worked out again.
+PAIRS = 1_000_000
 START = 0
 
 
+class Table:
+    """Whole numbers above 0 to whole numbers from 0, many look-ups at a time."""
+
+    def __init__(self, bits: int = 16):
+        self.bits, self.size = bits, 0
+        self.keys, self.values = np.zeros(1 << bits, "i8"), np.zeros(1 << bits, "i4")
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype("u8") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype("i8")
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """-1 for keys that the table hasn't."""
+        at = self._slot(keys)
+        found, out = self.keys[at], self.values[at]
+        left = np.flatnonzero(found != keys)
+        while len(left):
+            none = found[left] == 0
+            out[left[none]] = -1
+            left = left[~none]
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+            found[left], out[left] = self.keys[at[left]], self.values[at[left]]
+            left = left[found[left] != keys[left]]
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Adds keys that are new and distinct; at most half of the slots are taken."""
+        self.size += len(keys)
+        if self.size << 1 > len(self.keys):
+            held = self.keys > 0
+            keys, values = np.r_[self.keys[held], keys], np.r_[self.values[held], values]
+            self.bits = max(16, self.size.bit_length() + 1)
+            self.keys, self.values = np.zeros(1 << self.bits, "i8"), np.zeros(1 << self.bits, "i4")
+        at = self._slot(keys)
+        while len(keys):
+            # of the keys that meet in a free slot, the first takes it
+            free = np.flatnonzero(self.keys[at] == 0)
+            slots, which = np.unique(at[free], return_index=True)
+            took = free[which]
+            self.keys[slots], self.values[slots] = keys[took], values[took]
+            rest = np.ones(len(keys), bool)
+            rest[took] = False
+            keys, values, at = keys[rest], values[rest], (at[rest] + 1) & ((1 << self.bits) - 1)
+
+
 class State(NamedTuple):
     """node, and last tokens and counts of the text's last prefixes, as many as the longest entry has characters."""
 
@@ -74,8 +125,12 @@ class Transducer:
         self.beside = {p[i : i + 2] for p in scores for i in range(len(p) - 1)}
         self.moves: list[dict[str, int]] = [{} for _ in texts]
         self.pairs: dict[int, bool] = {}
-        self.words: dict[str, int] = {}
-        self.parts: dict[str, int] = {}
+        # the same for lanes: characters by number, entries that end at a node in a row, transitions and pairs met so far
+        self.characters = np.full(0x110000, -1, "i4")
+        self.characters[[ord(c) for c in self.single]] = np.arange(len(self.single))
+        self.begins = np.cumsum([0, *map(len, self.ends)])
+        self.end_size, self.end_entry = np.array([e for ends in self.ends for e in ends], "i4").reshape(-1, 2).T.copy()
+        self.moved, self.stable = Table(), Table()
         if any(MARK in p.lstrip(MARK) for p in scores):
             raise ValueError("an entry reaches over the beginning of a word")
 
@@ -167,73 +222,93 @@ class Transducer:
         return maps[0]
 
     def tokens(self, text: str) -> int:
-        """Tokens of a run of characters from the start state."""
-        if len(text) <= CHUNK:
-            return self._short(text)
+        """Tokens of a run of characters from the start state, by the maps of its parts."""
         whole = self.scan([self.chunk(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)])
         return self.run(whole.head).count[-1] + whole.count
 
-    def _short(self, text: str) -> int:
-        """run() from the start state, for the count alone."""
-        at, last, count = 0, [START], [0]
-        moves, ends, pairs = self.moves, self.ends, self.pairs
-        for c in text:
-            node = moves[at].get(c)
-            if node is None:
-                node = self._move(at, c)
-            if node < 0:
-                at = 0
-                last.append(START)
-                count.append(count[-1] + len(c.encode("utf-8", "surrogatepass")))
-                continue
-            at = node
-            for n, t in ends[node]:
-                u = last[-n]
-                stable = pairs.get(u << 20 | t)
-                if stable is None:
-                    stable = self._pair(u, t)
-                if stable:
-                    count.append(count[-n] + 1)
-                    last.append(t)
-                    break
-        return count[-1]
-
-    def _part(self, text: str) -> int:
-        n = self.parts.get(text)
-        if n is None:
-            n = self.tokens(text)
-            if len(self.parts) < WORDS:
-                self.parts[text] = n
-        return n
-
-    def _word(self, word: str) -> int:
-        """Tokens of a word mark and a word; cut again where no entry holds the two characters that meet."""
-        if word.isalpha():
-            return self._part(MARK + word)
-        cut, parts = MARK + word, []
-        for i in range(len(cut) - 1, 0, -1):
-            if not (cut[i].isalpha() and cut[i - 1].isalpha()) and cut[i - 1 : i + 1] not in self.beside:
-                parts.append(cut[i:])
-                cut = cut[:i]
-        return sum(map(self._part, parts), self._part(cut))
+    def _moves(self, nodes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Nodes behind characters that entries have; new transitions are compiled."""
+        keys = nodes.astype("i8") * len(self.characters) + codes + 1
+        to = self.moved.get(keys)
+        new = np.flatnonzero(to < 0)
+        if len(new):
+            distinct, which, where = np.unique(keys[new], return_index=True, return_inverse=True)
+            made = np.array([self._move(n, chr(c)) for n, c in zip(nodes[new[which]].tolist(), codes[new[which]].tolist(), strict=True)], "i4")
+            self.moved.put(distinct, made)
+            to[new] = made[where]
+        return to
+
+    def _stable(self, before: np.ndarray, entries: np.ndarray) -> np.ndarray:
+        keys = before.astype("i8") << 20 | entries
+        found = self.stable.get(keys)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            distinct, where = np.unique(keys[new], return_inverse=True)
+            made = np.array([self._pair(k >> 20, k & 0xFFFFF) for k in distinct.tolist()], "i4")
+            if self.stable.size < PAIRS:
+                self.stable.put(distinct, made)
+            found[new] = made[where]
+        return found > 0
+
+    def _lanes(self, chunks: list[str]) -> np.ndarray:
+        """Tokens of chunks from the start state; the longest chunk comes first and the others in order."""
+        sizes = np.fromiter(map(len, chunks), "i8", len(chunks))
+        codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), "<u4").astype("i4")
+        first = np.cumsum(sizes) - sizes
+        node = np.zeros(len(chunks), "i4")
+        last, count = (np.zeros((int(sizes[0]) + 1, len(chunks)), "i4") for _ in range(2))
+        for j, m in enumerate(np.searchsorted(-sizes, -np.arange(sizes[0])).tolist(), 1):
+            c = codes[first[:m] + j - 1]
+            known = self.characters[c] >= 0
+            lanes = np.flatnonzero(known)
+            if len(lanes) < m:  # characters without an entry are bytes
+                node[:m][~known] = 0
+                count[j, :m] = count[j - 1, :m] + 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
+            node[lanes] = self._moves(node[lanes], c[lanes])
+            at = self.begins[node[lanes]]
+            while len(lanes):
+                n, t = self.end_size[at], self.end_entry[at]
+                ok = self._stable(last[j - n, lanes], t)
+                done = lanes[ok]
+                last[j, done] = t[ok]
+                count[j, done] = count[j - n[ok], done] + 1
+                lanes, at = lanes[~ok], at[~ok] + 1
+        return count[sizes, np.arange(len(chunks))]
+
+    def chunk_counts(self, chunks: list[str]) -> np.ndarray:
+        """Counts of the constant maps of chunks that begin with a word mark."""
+        out = np.zeros(len(chunks), "i8")
+        sizes = np.fromiter(map(len, chunks), "i8", len(chunks))
+        for i in np.flatnonzero(sizes > CHUNK).tolist():
+            out[i] = self.tokens(chunks[i])
+        order = np.argsort(-sizes, kind="stable")
+        order = order[np.count_nonzero(sizes > CHUNK) :]
+        for a in range(0, len(order), LANES):
+            own = order[a : a + LANES]
+            out[own] = self._lanes([chunks[i] for i in own.tolist()])
+        return out
 
     def counts(self, texts: list[str]) -> list[int]:
         """Tokens of whole texts, a word mark in front; meant for some MB at a time."""
-        gc.disable()
-        chunks = []
-        for t in texts:
-            words = t.replace(MARK, " ").split(" ") if t else []
-            if "" in words:  # word marks in a row belong to the chunk that they begin
-                words = [w[1:] for w in re.findall(f"{MARK}+[^{MARK}]*", MARK + MARK.join(words))]
-            chunks.append(words)
-        new = list(set().union(*chunks).difference(self.words))
-        self.words.update(zip(new, map(self._word, new), strict=True))
-        get = self.words.__getitem__
-        out = [sum(map(get, ws)) for ws in chunks]
-        for w in new[max(0, WORDS - len(self.words) + len(new)) :]:
-            del self.words[w]
-        gc.enable()
-        return out
+        if not texts:
+            return []
+        lists = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), MARK, " "), " ")
+        at = lists.offsets.to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        words, where = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        n = self.chunk_counts([MARK + w for w in words])
+        before = np.concatenate(([0], np.cumsum(n[where])))
+        out = np.diff(before[at])
+        # word marks in a row belong to the chunk that they begin
+        empty = np.concatenate(([0], np.cumsum(where == words.index("")))) if "" in words else None
+        odd = np.flatnonzero(np.diff(empty[at])).tolist() if empty is not None else []
+        if odd:
+            chunks = [re.findall(f"{MARK}+[^{MARK}]*", MARK + texts[i].replace(" ", MARK)) if texts[i] else [] for i in odd]
+            number = {c: k for k, c in enumerate(dict.fromkeys(c for cs in chunks for c in cs))}
+            n = self.chunk_counts(list(number))
+            before = np.cumsum([0, *(n[number[c]] for cs in chunks for c in cs)])
+            out[odd] = np.diff(before[np.cumsum([0, *map(len, chunks)])])
+        return out.tolist()
 
 
 @lru_cache(maxsize=2)

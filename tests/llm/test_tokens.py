@@ -159,6 +159,25 @@ def test_counts_equal_the_library(docs, none):
     assert count_tokens(none, PIECE).count() == 0
 
 
+def test_chunks_side_by_side(monkeypatch):
+    """Runs about and over the length at which chunks are cut, characters without an entry, and more chunks than lanes."""
+    import sentencepiece
+
+    from quillpack.llm import transducer
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    rnd = random.Random(11)
+    runs = ["".join(rnd.choice(a) for _ in range(n)) for a in ("a", "etaoinsr", "日本語の文", "é\u0301ß\U0001f600x", "-=#/.") for n in (1, 62, 63, 64, 65, 127, 129, 700)]
+    ts = [*runs, " ".join(runs), "  ".join(runs), "a" * 20000, "", " ", "\u2581"]
+    monkeypatch.setattr(transducer, "LANES", 7)
+    assert transducer.compiled(PIECE).counts(ts) == list(map(len, model.encode(ts)))
+    assert transducer.compiled(PIECE).counts([]) == []
+    table, keys = transducer.Table(4), np.array(rnd.sample(range(1, 1 << 40), 5000), "i8")
+    for a in range(0, 5000, 700):
+        table.put(keys[a : a + 700], np.arange(a, min(a + 700, 5000), dtype="i4"))
+    assert table.get(keys).tolist() == list(range(5000)) and (table.get(np.setdiff1d(np.arange(1, 1000), keys)) == -1).all()
+
+
 @pytest.mark.parametrize("target", [None, {"a": 3.0, "b": 1.0}])
 def test_mixture_of_input_sorted_by_source(spark, target):
     """A task for each source, and a document longer than a bundle."""
