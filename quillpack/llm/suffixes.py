@@ -1,26 +1,24 @@
-"""Repeated passages: sampled suffixes compared by hashes of two fixed depths.
-
-A passage of `window` words is removed wherever it starts twice or more, in one text or in several. No suffix tree
-is built: of the tree over all suffixes, only whether a path branches at two depths is asked. A suffix that shares its prefix with no
-other is a leaf and is never looked at again.
-
-* First level: sampled suffixes. Every window holds a sampled position, the least of its `prefix`-word hashes, and equal windows
-  have it at equal places. The sampled suffixes are known by hashes of their first `prefix` words, which are dealt to
-  a fixed number of ranges; leaves are cut.
-* Second level: the windows over a sampled suffix that is no leaf, parted by their first `window` words. A path that two
-  suffixes share to that depth is a deep internal node: its windows repeat. Runs of words under them are
-  the spans; maximal repeats, of one passage each, aren't told apart.
-
-Nodes are known by hashes of their path labels: 64 bits on the first level, where a false meeting only costs a look,
-128 on the second. Texts travel as blobs of some MB, compressed, with all their columns. A blob sends each distinct prefix once, with
-a mark if it has it twice, and gets back one bit for each: a passage that a third of all documents share costs a task one entry a
-blob, not one a document.
+"""Repeated passages by suffix trees, partitioned by prefixes of variable length.
+
+A passage of `window` words is removed wherever it starts twice or more, in one text or in several.
+
+* Prefixes are counted. Every window holds a sampled position, the least of its `prefix`-word hashes, and equal windows have it at equal
+  places. The suffixes that begin with a window are dealt out by the `prefix` words at its sampled position; where these occur only once, all of them are
+  leaves and are cut. Where they occur more often than a group may hold, they are lengthened to the whole window.
+* Groups are ranges of prefixes, as many as keep one at some MB of text whatever the session's settings are. A group gets the stretches of
+  text around its sampled positions, every distinct one once from a blob, with a count, and gives each distinct one's words numbers. Ranks by doubling bring its
+  suffixes into their order down to the depth of a window. Suffixes of equal rank are under one node; it is a deep internal node if it has two or more.
+* A node tells of its windows whether all are followed, and whether all are preceded, by one and the same word. Windows in a row that
+  only occur together are a span: it begins at a left-diverse node and ends at a right-branching one, and repeats as a whole.
+
+Words are compared as they are; hashes only choose prefixes and groups. Texts travel as blobs of some MB, compressed, with all their columns. A blob sends
+each distinct prefix and stretch once: a passage that a third of all documents share costs a task one entry a blob, not one a document.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +33,18 @@ from .common import column, map_arrow, materialise
 WINDOW, PREFIX = 35, 12
 #: Bytes of text in a blob; a longer text is a blob by itself.
 BLOB = 2 << 20
+#: Occurrences of a prefix that a group may hold; those of more are lengthened.
+HEAVY = 100_000
+#: Bytes of all texts for each range of prefix counts, and for each group of suffixes.
+RANGE, GROUP = 64 << 20, 8 << 20
+LEAF, FITS, LONGER = range(3)
+#: What a group says of a window.
+DEEP, FOLLOWED, PRECEDED = 1, 2, 4
 MULTIPLIERS = np.random.default_rng(20240229).integers(1, 1 << 63, (2, 4096), dtype="u8") * np.uint64(2) + np.uint64(1)
 
 
 def blobs(docs: DataFrame, size: int = BLOB) -> DataFrame:
-    """blob, data: batches of docs in Arrow's stream format, written to the shared folder."""
+    """blob, size (bytes of text), data: batches of docs in Arrow's stream format, written to the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         made = TaskContext.get().partitionId() << 32
@@ -52,10 +57,10 @@ def blobs(docs: DataFrame, size: int = BLOB) -> DataFrame:
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                     out.write_batch(batch.slice(a, b - a))
-                yield {"blob": [made], "data": [sink.getvalue().to_pybytes()]}
+                yield {"blob": [made], "size": [int(ends[b - 1] - start)], "data": [sink.getvalue().to_pybytes()]}
                 made, a = made + 1, b
 
-    return materialise(map_arrow(docs, run, "blob long, data binary"), "blobs")
+    return materialise(map_arrow(docs, run, "blob long, size long, data binary"), "blobs")
 
 
 def opened(data: bytes) -> pa.RecordBatch:
@@ -101,157 +106,199 @@ class Windows:
         self.words = [(t.as_py() or "").encode("utf-8", "surrogatepass").split() for t in column(batch, "text")]
         self.window = window
         h = xxhash.xxh64_digest
-        self.hashes: dict[int, np.ndarray] = {}
-        counts, keys, places = [], [], []
+        #: Runs of windows with one sampled position: text, first window, how many, prefix.
+        texts, firsts, counts, keys = [], [], [], []
         for i, w in enumerate(self.words):
             if len(w) >= window:
-                self.hashes[i] = own = np.frombuffer(b"".join(map(h, w)), ">u8").astype("u8")
-                p = rolled(own, prefix)
+                p = rolled(np.frombuffer(b"".join(map(h, w)), ">u8").astype("u8"), prefix)
                 at = sampled(p, window - prefix + 1)
-                keys.append(p[at])
-                places.append(at + (i << 32))
-                counts.append(len(at))
-        self.texts = list(self.hashes)
-        self.counts = np.array(counts, "i8")
-        self.keys = np.concatenate(keys) if keys else np.zeros(0, "u8")
-        self.places = np.concatenate(places) if places else np.zeros(0, "i8")
+                first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])  # a place never comes back once left
+                texts.append(np.full(len(first), i))
+                firsts.append(first)
+                counts.append(np.diff(np.r_[first, len(at)]))
+                keys.append(p[at[first]])
+        joined = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        self.texts, self.firsts, self.counts, self.keys = joined(texts, "i8"), joined(firsts, "i8"), joined(counts, "i8"), joined(keys, "u8")
 
     def prefixes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(distinct sampled prefixes in order, whether the blob has it at two places, each window's index)."""
+        """(distinct sampled prefixes in order, at how many places each is, each run's index)."""
         distinct, where = np.unique(self.keys, return_inverse=True)
-        new = np.ones(len(where), bool)
-        new[1:] = self.places[1:] != self.places[:-1]  # a place never comes back once left
-        return distinct, np.bincount(where[new], minlength=len(distinct)) > 1, where
-
-    def labels(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """128-bit labels of the wanted windows: (distinct in order as pairs, whether twice in the blob, each one's index)."""
-        parts, at = [], 0
-        for i, n in zip(self.texts, self.counts.tolist(), strict=True):
-            own = wanted[at : at + n]
-            if own.any():
-                parts.append(np.stack([rolled(self.hashes[i], self.window, k)[own] for k in (0, 1)], 1))
-            at += n
-        pairs = np.concatenate(parts) if parts else np.zeros((0, 2), "u8")
-        order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-        ranked = pairs[order]
-        first = np.ones(len(ranked), bool)
-        first[1:] = (ranked[1:] != ranked[:-1]).any(1)
-        number = np.cumsum(first) - 1
-        where = np.empty(len(ranked), "i8")
-        where[order] = number
-        return ranked[first], np.bincount(where, minlength=int(first.sum())) > 1, where
+        return distinct, np.bincount(where, minlength=len(distinct)), where
+
+    def stretches(self, codes: np.ndarray, groups: int) -> tuple[list[bytes], np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """(distinct stretches by group, how often each occurs, where each group's part begins, (stretch, text, first window) of all).
+
+        codes: of each run's prefix. A stretch is the words of a run's windows between the word before and the word behind; either is empty
+        at an end of the text. Of a prefix that is lengthened every window has a stretch of its own.
+        """
+        number: dict[bytes, int] = {}
+        group: list[int] = []
+        found, window = [], self.window
+        wanted = np.flatnonzero(codes != LEAF)
+        for i, a, n, key, code in zip(*(x[wanted].tolist() for x in (self.texts, self.firsts, self.counts, self.keys, codes)), strict=True):
+            w = self.words[i]
+            for first, many in [(a, n)] if code == FITS else [(a + k, 1) for k in range(n)]:
+                end = first + many + window - 1
+                own = b" ".join((w[first - 1] if first else b"", *w[first:end], w[end] if end < len(w) else b""))
+                at = number.setdefault(own, len(number))
+                if at == len(group):
+                    inner = key if code == FITS else xxhash.xxh64_intdigest(b" ".join(w[first:end]))
+                    group.append(((inner >> 32) * groups) >> 32)
+                found.append((at, i, first))
+        order = np.argsort(group, kind="stable")
+        place = np.empty(len(order), "i8")
+        place[order] = np.arange(len(order))
+        times = np.bincount(place[[x[0] for x in found]], minlength=len(order)) if found else np.zeros(0, "i8")
+        every = list(number)
+        return [every[k] for k in order.tolist()], times, np.array(group, "i8")[order], [(int(place[at]), i, first) for at, i, first in found]
+
+
+def _cut(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of each of ordered 64-bit keys."""
+    return (((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype("i8")
+
+
+def _sent(blob: int, at: np.ndarray, times: np.ndarray, part: Callable[[int, int], bytes]) -> dict:
+    """A row for each bucket of ordered entries."""
+    full, first = np.unique(at, return_index=True)
+    cuts = [*first.tolist(), len(at)]
+    pairs = list(zip(cuts[:-1], cuts[1:], strict=True))
+    return {"blob": np.full(len(full), blob), "bucket": full, "entries": [part(a, b) for a, b in pairs], "times": [times[a:b].astype("u4").tobytes() for a, b in pairs]}
+
+
+def _answered(sent: DataFrame, answer: Callable[[list[dict]], list[bytes]]) -> DataFrame:
+    """blob, parts: answers to the blob's entries by bucket. A task holds one bucket at a time, whatever number of them it gets."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        rows: list[dict] = []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if rows and r["bucket"] != rows[0]["bucket"]:
+                    yield told(rows)
+                    rows = []
+                rows.append(r)
+        if rows:
+            yield told(rows)
 
-def _cut(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's part of ordered 64-bit keys begins; one more at the end."""
-    at = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    return np.searchsorted(at, np.arange(buckets + 1, dtype="u8"))
+    def told(rows: list[dict]) -> dict:
+        return {"blob": [r["blob"] for r in rows], "bucket": [r["bucket"] for r in rows], "answer": answer(rows)}
 
+    out = map_arrow(sent.repartition("bucket").sortWithinPartitions("bucket"), run, "blob long, bucket long, answer binary")
+    return out.groupBy("blob").agg(F.collect_list(F.struct("bucket", "answer")).alias("parts"))
 
-SENT = "blob long, bucket int, keys binary, twice binary"
 
+SENT = "blob long, bucket long, entries binary, times binary"
 
-def _sent(blob: int, keys: np.ndarray, twice: np.ndarray, buckets: int) -> dict:
-    cut = _cut(keys if keys.ndim == 1 else keys[:, 0], buckets)
-    full = np.flatnonzero(np.diff(cut))
-    return {"blob": np.full(len(full), blob), "bucket": full.astype("i4"), "keys": [keys[cut[k] : cut[k + 1]].tobytes() for k in full], "twice": [np.packbits(twice[cut[k] : cut[k + 1]]).tobytes() for k in full]}
 
+def _counted(rows: list[dict], heavy: int) -> list[bytes]:
+    """Of every prefix, a byte: it is at one place, its suffixes fit into a group, or it must be lengthened."""
+    keys = [np.frombuffer(r["entries"], "u8") for r in rows]
+    distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
+    times = np.bincount(where, np.concatenate([np.frombuffer(r["times"], "u4") for r in rows]))
+    codes = np.where(times < 2, LEAF, np.where(times > heavy, LONGER, FITS)).astype("u1")[where]
+    return [x.tobytes() for x in np.split(codes, np.cumsum([len(k) for k in keys])[:-1])]
 
-def _repeated(sent: DataFrame, width: int) -> DataFrame:
-    """blob, parts: for each bucket one bit a key, set if the key is at another place too, in this blob or another."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        rows = {}
-        for batch in batches:
-            for r in batch.to_pylist():
-                rows.setdefault(r["bucket"], []).append(r)
-            # the rows come in order of bucket: all but the last are whole
-            for k in sorted(rows)[:-1]:
-                yield answer(rows.pop(k))
-        for k in sorted(rows):
-            yield answer(rows[k])
-
-    def answer(rows: list[dict]) -> dict:
-        parts = [np.frombuffer(r["keys"], "u8").reshape(-1, width) for r in rows]
-        keys = np.concatenate(parts)
-        twice = np.concatenate([np.unpackbits(np.frombuffer(r["twice"], np.uint8), count=len(p)).astype(bool) for r, p in zip(rows, parts, strict=True)])
-        order = np.lexsort(tuple(keys[:, k] for k in reversed(range(width))))
-        ranked = keys[order]
-        same = np.zeros(len(ranked) + 1, bool)
-        same[1:-1] = (ranked[1:] == ranked[:-1]).all(1)
-        twice[order] |= same[1:] | same[:-1]
-        cuts = np.cumsum([0, *map(len, parts)])
-        return {"blob": [r["blob"] for r in rows], "bucket": [r["bucket"] for r in rows], "bits": [np.packbits(twice[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]}
-
-    bits = map_arrow(sent.repartition("bucket").sortWithinPartitions("bucket"), run, "blob long, bucket int, bits binary")
-    return bits.groupBy("blob").agg(F.collect_list(F.struct("bucket", "bits")).alias("parts"))
-
-
-def _bits(parts: list[dict] | None, keys: np.ndarray, buckets: int) -> np.ndarray:
-    cut = _cut(keys if keys.ndim == 1 else keys[:, 0], buckets)
-    out = np.zeros(len(keys), bool)
-    for p in parts or []:
-        a, b = cut[p["bucket"]], cut[p["bucket"] + 1]
-        out[a:b] = np.unpackbits(np.frombuffer(p["bits"], np.uint8), count=b - a).astype(bool)
-    return out
-
-
-def repeated_passages(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, clean: bool = False) -> DataFrame:
+def ranks(numbers: np.ndarray, depth: int) -> np.ndarray:
+    """Ranks of the suffixes of a row of numbers by their first `depth`; for those that have as many."""
+    rank, reach = np.unique(numbers, return_inverse=True)[1], 1
+    while reach < depth:
+        step = min(reach, depth - reach)
+        rank = np.unique(rank[:-step] * (len(numbers) + 1) + rank[step:], return_inverse=True)[1]
+        reach += step
+    return rank
+
+
+def _nodes(rows: list[dict], window: int) -> list[bytes]:
+    """Of every stretch, a byte a window, from the nodes at that depth of the tree over the group's suffixes."""
+    number: dict[bytes, int] = {}
+    parts = [[number.setdefault(x, len(number)) for x in r["entries"].split(b"\n")] for r in rows]
+    times = np.bincount(np.concatenate(parts), np.concatenate([np.frombuffer(r["times"], "u4") for r in rows]))
+    words: dict[bytes, int] = {b"": 0}
+    sizes = np.fromiter((x.count(b" ") + 1 for x in number), "i8", len(number))
+    flat = np.fromiter((words.setdefault(w, len(words)) for x in number for w in x.split(b" ")), "i8", int(sizes.sum()))
+    del number, words
+    windows = sizes - window - 1
+    ends = np.cumsum(windows)
+    stretch = np.repeat(np.arange(len(sizes)), windows)
+    starts = np.arange(ends[-1]) - (ends - windows)[stretch] + (np.cumsum(sizes) - sizes)[stretch] + 1
+    rank = ranks(flat, window)[starts]
+    order = np.argsort(rank, kind="stable")
+    first = np.flatnonzero(np.diff(rank[order], prepend=-1))
+    node = np.empty(len(order), "i8")
+    node[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(order)]))
+    said = np.where(np.add.reduceat(times[stretch[order]], first) > 1, DEEP, 0)
+    for beside, bit in ((flat[starts + window], FOLLOWED), (flat[starts - 1], PRECEDED)):
+        least = np.minimum.reduceat(beside[order], first)
+        said |= np.where((least > 0) & (least == np.maximum.reduceat(beside[order], first)), bit, 0)
+    flags = said.astype("u1")[node].tobytes()
+    own = [flags[b - n : b] for b, n in zip(ends.tolist(), windows.tolist(), strict=True)]
+    return [b"".join([own[k] for k in part]) for part in parts]
+
+
+def _told(parts: list[dict] | None) -> np.ndarray:
+    """Answers to all of a blob's entries, which are ordered by bucket."""
+    return np.frombuffer(b"".join(p["answer"] for p in sorted(parts or [], key=lambda p: p["bucket"])), "u1")
+
+
+def repeated_passages(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, clean: bool = False, heavy: int = HEAVY, group: int = GROUP) -> DataFrame:
     """Each row's repeated passages.
 
-    doc_id, n_words, n_removed, kept_sha256, spans (first and last word of every run of removed words; passages that
-    touch or overlap are one span, which needn't repeat as a whole); or, with clean, the
+    doc_id, n_words, n_removed, kept_sha256, spans (first and last word of passages that repeat as a whole: the longest runs of windows
+    that have all their occurrences in common; spans overlap where a part of one occurs elsewhere too); or, with clean, the
     columns of docs with the kept words, joined by one space, as text. Texts without a repeat are left as they are then.
     A null or empty text has no words and stays; repeated rows are texts of their own, so all their windows repeat; columns of other names
-    pass through with clean. A task holds a blob, or a bucket.
+    pass through with clean; without rows there are none. A task holds a blob, or a group: prefixes that occur `heavy` times at most, of about `group` bytes of
+    all texts, each distinct stretch once.
     """
     if not 0 < prefix <= window:
         raise ValueError("prefix must be within the window")
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = blobs(docs if clean else docs.select("doc_id", "text"))
+    size = table.agg(F.sum("size")).first()[0] or 0
+    ranges, groups = 1 + size // RANGE, 1 + size // group
+    table = table.drop("size")
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for row in _each(batch):
-                keys, twice, _ = Windows(opened(row["data"]), window, prefix).prefixes()
-                yield _sent(row["blob"], keys, twice, buckets)
+                keys, times, _ = Windows(opened(row["data"]), window, prefix).prefixes()
+                yield _sent(row["blob"], _cut(keys, ranges), times, lambda a, b, keys=keys: keys[a:b].tobytes())
 
-    level1 = materialise(_repeated(map_arrow(table, first, SENT), 1), "prefixes")
+    level1 = materialise(_answered(map_arrow(table, first, SENT), lambda rows: _counted(rows, heavy)), "prefixes")
 
-    def wanted(row: dict) -> tuple[pa.RecordBatch, Windows, np.ndarray]:
+    def wanted(row: dict) -> tuple[pa.RecordBatch, Windows, tuple]:
         batch = opened(row["data"])
         w = Windows(batch, window, prefix)
-        keys, _, where = w.prefixes()
-        return batch, w, _bits(row["parts1"], keys, buckets)[where]
+        _, _, where = w.prefixes()
+        return batch, w, w.stretches(_told(row["parts1"])[where], groups)
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for row in _each(batch):
-                _, w, own = wanted(row)
-                keys, twice, _ = w.labels(own)
-                yield _sent(row["blob"], keys, twice, buckets)
+                every, times, at, _ = wanted(row)[2]
+                yield _sent(row["blob"], at, times, lambda a, b, every=every: b"\n".join(every[a:b]))
 
-    # merged at every size: what the bits need grows with the input, so they are never broadcast
+    # merged at every size: what the answers need grows with the input, so they are never broadcast
     half = table.hint("merge").join(level1.withColumnRenamed("parts", "parts1"), "blob", "left")
-    level2 = materialise(_repeated(map_arrow(half, second, SENT), 2), "windows")
+    level2 = materialise(_answered(map_arrow(half, second, SENT), lambda rows: _nodes(rows, window)), "nodes")
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for rows in batches:
             for row in _each(rows):
-                batch, w, own = wanted(row)
-                keys, _, where = w.labels(own)
-                hit = np.zeros(len(own), bool)
-                hit[np.flatnonzero(own)] = _bits(row["parts2"], keys, buckets)[where]
+                batch, w, (every, _, _, found) = wanted(row)
+                told = _told(row["parts2"])
+                ends = np.cumsum([x.count(b" ") - window for x in every])
+                said: dict[int, np.ndarray] = {}
+                for k, i, a in found:
+                    own = told[ends[k - 1] if k else 0 : ends[k]]
+                    said.setdefault(i, np.zeros(len(w.words[i]) - window + 1, "u1"))[a : a + len(own)] = own
                 covers: dict[int, np.ndarray] = {}
-                at = 0
-                for i, n in zip(w.texts, w.counts.tolist(), strict=True):
-                    starts = np.flatnonzero(hit[at : at + n])
-                    at += n
+                for i, flags in said.items():
+                    starts = np.flatnonzero(flags & DEEP)
                     if len(starts):
                         edge = np.zeros(len(w.words[i]) + 1, "i4")
-                        np.add.at(edge, starts, 1)
-                        np.add.at(edge, starts + window, -1)
+                        edge[starts] += 1
+                        edge[starts + window] -= 1
                         covers[i] = np.cumsum(edge[:-1]) > 0
                 if clean:
                     texts = column(batch, "text").to_pylist()
@@ -264,8 +311,13 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, prefix: int = PREFI
                     gone = covers.get(i)
                     removed.append(0 if gone is None else int(gone.sum()))
                     sha.append(hashlib.sha256(b" ".join(words if gone is None else [x for x, g in zip(words, gone.tolist(), strict=True) if not g])).hexdigest())
-                    turn = np.flatnonzero(np.diff(np.r_[False, gone, False].astype("i1"))) if gone is not None else []
-                    spans.append([{"first": int(a), "last": int(b) - 1} for a, b in zip(turn[::2], turn[1::2], strict=True)])
+                    if gone is None:
+                        spans.append([])
+                        continue
+                    starts, flags = np.flatnonzero(said[i] & DEEP), said[i]
+                    # the next window goes on with this one if neither occurs without the other
+                    on = (np.diff(starts) == 1) & (flags[starts[:-1]] & FOLLOWED > 0) & (flags[starts[1:]] & PRECEDED > 0)
+                    spans.append([{"first": int(a), "last": int(b) + window - 1} for a, b in zip(starts[np.r_[True, ~on]], starts[np.r_[~on, True]], strict=True)])
                 yield {"doc_id": column(batch, "doc_id"), "n_words": list(map(len, w.words)), "n_removed": removed, "kept_sha256": sha, "spans": spans}
 
     both = half.hint("merge").join(level2.withColumnRenamed("parts", "parts2"), "blob", "left")

@@ -121,25 +121,65 @@ def test_passages(docs, none):
     assert suffixes.repeated_passages(none).count() == 0 and suffixes.repeated_passages(none, clean=True).columns == none.columns
 
 
-@pytest.mark.parametrize(("window", "prefix", "blob"), [(5, 2, 60), (8, 3, 1 << 20), (4, 4, 10)])
-def test_passages_of_few_words(spark, monkeypatch, window, prefix, blob):
-    """Few distinct words, so that repeats overlap in every way; small blobs, so that they meet across tasks."""
+def whole_repeats(texts, window):
+    """Longest runs of repeated windows that have all their occurrences in common, by text; and how often each window occurs."""
+    places = collections.defaultdict(set)
+    ws = [words(t) for t in texts]
+    for i, w in enumerate(ws):
+        for a in range(len(w) - window + 1):
+            places[tuple(w[a : a + window])].add((i, a))
+    out = []
+    for w in ws:
+        own = [places[tuple(w[a : a + window])] for a in range(len(w) - window + 1)]
+        spans = []
+        for a, p in enumerate(own):
+            if len(p) < 2:
+                continue
+            if spans and spans[-1][1] == a + window - 2 and {(i, b + 1) for i, b in own[a - 1]} == p:
+                spans[-1][1] += 1
+            else:
+                spans.append([a, a + window - 1])
+        out.append(spans)
+    return out, {k: len(v) for k, v in places.items()}
+
+
+@pytest.mark.parametrize(
+    ("window", "prefix", "blob", "heavy", "group"), [(5, 2, 60, 1000, 1 << 20), (5, 2, 60, 4, 50), (8, 3, 1 << 20, 1, 1 << 20), (4, 4, 10, 30, 100), (1, 1, 40, 1000, 100)]
+)
+def test_passages_of_few_words(spark, monkeypatch, window, prefix, blob, heavy, group):
+    """Few distinct words, so that repeats overlap in every way; small blobs, so that they meet across tasks; prefixes of both lengths, many groups."""
     rnd = random.Random(6)
     texts = [prose(rnd, rnd.randrange(30), list("abc")) for _ in range(60)]
+    long = prose(rnd, 40, [f"w{i}" for i in range(500)])
+    texts += [f"{prose(rnd, 6, list('abc'))} {long} x{i}" for i in range(3)] + [long, long.split(" ", 20)[-1]]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     monkeypatch.setattr(suffixes, "blobs", lambda d, f=suffixes.blobs: f(d, blob))
     want = kept(texts, window)
-    got = {r["doc_id"]: r for r in suffixes.repeated_passages(df, window, prefix).collect()}
+    spans, times = whole_repeats(texts, window)
+    got = {r["doc_id"]: r for r in suffixes.repeated_passages(df, window, prefix, heavy=heavy, group=group).collect()}
     for i, (w, g) in enumerate(want):
         assert (got[i]["n_words"], got[i]["n_removed"]) == (len(w), sum(g))
+        assert [[s["first"], s["last"]] for s in got[i]["spans"]] == spans[i]
         cover = [False] * len(w)
-        for s in got[i]["spans"]:
-            cover[s["first"] : s["last"] + 1] = [True] * (s["last"] + 1 - s["first"])
+        for a, b in spans[i]:
+            cover[a : b + 1] = [True] * (b + 1 - a)
+            # a span repeats as a whole, as often as its first window
+            inner = f" {' '.join(w[a : b + 1])} "
+            assert sum(f" {' '.join(v)} ".startswith(inner, k) for v, _ in want for k in range(len(" ".join(v)) + 1)) == times[tuple(w[a : a + window])]
         assert cover == g
-    clean = {r["doc_id"]: r["text"] for r in suffixes.repeated_passages(df, window, prefix, clean=True).collect()}
+    clean = {r["doc_id"]: r["text"] for r in suffixes.repeated_passages(df, window, prefix, True, heavy, group).collect()}
     assert clean == {i: " ".join(x for x, y in zip(w, g, strict=True) if not y) if any(g) else texts[i] for i, (w, g) in enumerate(want)}
 
 
+def test_order_of_suffixes():
+    rnd = np.random.default_rng(5)
+    for depth in (1, 2, 3, 7, 8, 35):
+        numbers = rnd.integers(0, 3, 400)
+        suffixes_of = [tuple(numbers[i : i + depth]) for i in range(len(numbers) - depth + 1)]
+        place = {x: i for i, x in enumerate(sorted(set(suffixes_of)))}
+        assert suffixes.ranks(numbers, depth).tolist() == [place[x] for x in suffixes_of]
+
+
 def bench_words(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
 
