@@ -36,7 +36,7 @@ BLOB = 2 << 20
 #: Occurrences of a prefix that a group may hold; those of more are lengthened.
 HEAVY = 100_000
 #: Bytes of all texts for each range of prefix counts, and for each group of suffixes.
-RANGE, GROUP = 64 << 20, 8 << 20
+RANGE, GROUP = 64 << 20, 2 << 20
 LEAF, FITS, LONGER = range(3)
 #: What a group says of a window.
 DEEP, FOLLOWED, PRECEDED = 1, 2, 4
