@@ -116,7 +116,7 @@ class Windows:
                 texts.append(np.full(len(first), i))
                 firsts.append(first)
                 counts.append(np.diff(np.r_[first, len(at)]))
-                keys.append(p[at[first]])
+                keys.append(mixed(p[at[first]]))  # the least hashes of windows are small: dealt out evenly once mixed
         joined = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
         self.texts, self.firsts, self.counts, self.keys = joined(texts, "i8"), joined(firsts, "i8"), joined(counts, "i8"), joined(keys, "u8")
 
