@@ -99,6 +99,32 @@ def test_pairs_agree_with_tokens(spark):
     assert [by_segment[99, s] for s in range(3)] == [9, 10, 10]
 
 
+SPLITS = [("a", [(3, "full"), (2, "noise"), (4, "causal"), (1, "noise"), (2, "full")]), ("b", [(1, "causal")]), ("c", [(2, "noise"), (3, "noise"), (2, "causal")])]
+
+
+def split_rows(spark):
+    rows = [(key, i, n, mode, sum(x for x, _ in splits[:i])) for key, splits in SPLITS for i, (n, mode) in enumerate(splits)]
+    return spark.createDataFrame(rows, "k string, split_ord int, len long, mode string, start long")
+
+
+def seen_by_pairs():
+    out = {}
+    for key, splits in SPLITS:
+        t = [(i, mode) for i, (n, mode) in enumerate(splits) for _ in range(n)]
+        for a, (i, mode) in enumerate(t):
+            out[key, a] = [b for b, (j, other) in enumerate(t) if (a >= b or (i == j and mode in ("full", "noise"))) and not (other == "noise" and i != j)]
+    return out
+
+
+def test_mask_rows(spark):
+    from quillpack.plans import details
+
+    rows = L.mask_rows(split_rows(spark), ["k"], lambda x: x).collect()
+    assert {(r["k"], r["pos"]): r["seen"] for r in rows} == seen_by_pairs() and len(rows) == len(seen_by_pairs())
+    # no pair of tokens is made
+    assert "Join" not in details.attn_mask_rows(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
 def literal(samples, m, mandatory):
     """The packer by its description, over one ordered list."""
     free = [s for s in samples if s[1] not in mandatory]
