@@ -125,6 +125,14 @@ def test_mask_rows(spark):
     assert "Join" not in details.attn_mask_rows(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_tokens_seen(spark):
+    from quillpack.plans import details
+
+    rows = L.tokens_seen(split_rows(spark), ["k"]).collect()
+    assert {(r["k"], r["pos"]): r["seen"] for r in rows} == {k: len(x) for k, x in seen_by_pairs().items()}
+    assert "Join" not in details.attn_pairs_token(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
 def literal(samples, m, mandatory):
     """The packer by its description, over one ordered list."""
     free = [s for s in samples if s[1] not in mandatory]
