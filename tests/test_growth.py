@@ -46,3 +46,20 @@ def test_pair_cosine(spark, monkeypatch, block):
     got, want = {(r["q"], r["id"]): r["cosine"] for r in rows}, cosines()
     assert len(rows) == len(want) and got.keys() == want.keys()
     assert all(got[k] is None if x is None else np.isclose(got[k], x, equal_nan=True) for k, x in want.items())
+
+
+def test_pair_sigmoid_loss(spark, monkeypatch):
+    from quillpack.operators import reductions as R
+
+    monkeypatch.setattr(R, "BLOCK", 2)
+    some = [x for x in VECTORS if x[0] != 3]
+    want = {}
+    for (q, k), c in cosines().items():
+        if c is not None and k != 3:
+            x = 10 * c - 10
+            want[q] = want.get(q, 0.0) + math.log(1 + math.exp(-x if q == k else x))
+    df = spark.createDataFrame(some, "id long, v array<double>")
+    loss = R.sigmoid_loss_to_queries(df, df.where("id % 100 = 0"), "id", "v", 10.0, -10.0).first()["loss"]
+    assert loss == pytest.approx(sum(want.values()) / len(want))
+    # a query's sums are shuffled, no pair
+    assert "cosine" not in plan(QUERIES["pair_sigmoid_loss"](spark, SF))
