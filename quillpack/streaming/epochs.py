@@ -22,6 +22,8 @@ from ..sources.readers import row_groups
 from ..sources.scratch import located, opened
 
 PLACE = ("epoch", "file", "row_group", "row")
+#: Rows of an input partition, at least, and input partitions of a batch, about at most: each reads its file's footer.
+PIECE, PIECES = 1 << 16, 256
 
 
 class Places:
@@ -35,6 +37,7 @@ class Places:
             self.first.append(self.total)
             self.total += n
         self.at = {(self.files[p], g): first for (p, g, _), first in zip(self.groups, self.first, strict=True)}
+        self.rows_of = {(self.files[p], g): n for p, g, n in self.groups}
 
     def ordinal(self, place: dict) -> int:
         return place["epoch"] * self.total + (self.at[place["file"], place["row_group"]] + place["row"] if self.total else 0)
@@ -61,14 +64,33 @@ class Places:
 
 @dataclass
 class Piece(InputPartition):
+    """Rows first up to last, counted from the beginning of the first of some row groups (group, rows) of a file."""
+
     epoch: int
     file: int
     path: str
-    group: int
+    groups: list[tuple[int, int]]
     first: int
     last: int
 
 
+def pieces(places: Places, start: int, end: int) -> Iterator[Piece]:
+    """The rows from start up to end: row groups that follow each other in a file, put together up to PIECE rows or a PIECES-th of all."""
+    size = max(PIECE, -(-(end - start) // PIECES))
+    own: Piece | None = None
+    for epoch, file, path, group, a, b in places.between(start, end):
+        n = places.rows_of[file, group]
+        if own and (own.epoch, own.file) == (epoch, file) and own.last - own.first + b - a <= size:
+            own.last += b - a
+            own.groups.append((group, n))
+            continue
+        if own:
+            yield own
+        own = Piece(epoch, file, path, [(group, n)], a, b)
+    if own:
+        yield own
+
+
 class EpochReader(DataSourceStreamReader):
     def __init__(self, options: dict, schema: StructType):
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -78,6 +100,10 @@ class EpochReader(DataSourceStreamReader):
         self.start = json.loads(options["start"]) if "start" in options else self.places.place(0)
         self.schema = to_arrow_schema(schema)
 
+    def __getstate__(self) -> dict:
+        # every task is sent the reader, and needs no row groups but its own
+        return {k: v for k, v in self.__dict__.items() if k != "places"}
+
     def initialOffset(self) -> dict:  # noqa: N802
         return self.start
 
@@ -97,17 +123,22 @@ class EpochReader(DataSourceStreamReader):
         return self.places.place(end)
 
     def partitions(self, start: dict, end: dict) -> list[Piece]:
-        return [Piece(*x) for x in self.places.between(self.places.ordinal(start), self.places.ordinal(end))]
+        return list(pieces(self.places, self.places.ordinal(start), self.places.ordinal(end)))
 
     def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
+        import numpy as np
         import pyarrow.parquet as pq
 
         names, at = self.schema.names[len(PLACE) :], 0
+        groups, sizes = np.array(partition.groups, "i8").T
+        ends = sizes.cumsum()
         with opened(partition.path) as f:
-            for batch in pq.ParquetFile(f).iter_batches(row_groups=[partition.group], columns=names, batch_size=1024):
+            for batch in pq.ParquetFile(f).iter_batches(row_groups=groups.tolist(), columns=names, batch_size=8192):
                 a, b = max(partition.first - at, 0), min(partition.last - at, len(batch))
                 if a < b:
-                    own = [pa.array([x] * (b - a)) for x in (partition.epoch, partition.file, partition.group)] + [pa.array(range(at + a, at + b))]
+                    row = np.arange(at + a, at + b)
+                    k = np.searchsorted(ends, row, "right")
+                    own = [pa.array(np.full(b - a, x)) for x in (partition.epoch, partition.file)] + [pa.array(groups[k]), pa.array(row - (ends - sizes)[k])]
                     cols = own + [batch.column(n).slice(a, b - a) for n in names]
                     yield pa.RecordBatch.from_arrays([c.cast(t.type) for c, t in zip(cols, self.schema, strict=True)], schema=self.schema)
                 at += len(batch)

@@ -63,3 +63,16 @@ def test_pair_sigmoid_loss(spark, monkeypatch):
     assert loss == pytest.approx(sum(want.values()) / len(want))
     # a query's sums are shuffled, no pair
     assert "cosine" not in plan(QUERIES["pair_sigmoid_loss"](spark, SF))
+
+
+def test_endless_epochs():
+    from quillpack.streaming import epochs
+
+    places = epochs.Places([[f, g, 500] for f in "ab" for g in range(1000)])
+    found = list(epochs.pieces(places, 250, 1_200_300))
+    assert len(found) < 40 and sum(p.last - p.first for p in found) == 1_200_050
+    rows = [(p.epoch, p.file, p.groups[0][0] + k // 500, k % 500) for p in found for k in range(p.first, p.last)]
+    assert rows == [(i // 1_000_000, i // 500_000 % 2, i // 500 % 1000, i % 500) for i in range(250, 1_200_300)]
+    reader = object.__new__(epochs.EpochReader)
+    reader.__dict__.update(places=places, schema=None)
+    assert len(pickle.dumps(reader)) < 500
