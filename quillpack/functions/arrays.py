@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +11,11 @@ from pyspark.sql import functions as F
 from .draws import draw
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), x worked out once however often f names it: Spark repeats a column within higher-order functions."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def loss_weight(n: Column, mode: str) -> Column:
     """Weight of each token of a sample with n of them; 0 for none."""
     x = n.cast("double")
@@ -104,7 +110,8 @@ def _bucket(i: Column, n: Column, side: int) -> Column:
 def interpolated_ids(height: Column, width: Column, side: int) -> Column:
     """Position ids of a grid of height x width patches, row by row, mapped onto a table of side x side; an empty grid has none."""
     ends = lambda n: F.when(n > 0, F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: _bucket(i, n, side))).otherwise(F.array().cast("array<bigint>"))
-    return F.flatten(F.transform(ends(height), lambda y: F.transform(ends(width), lambda x: y * side + x)))
+    # columns are worked out once, not once a row of the grid
+    return once(ends(width), lambda xs: F.flatten(F.transform(ends(height), lambda y: F.transform(xs, lambda x: y * side + x))))
 
 
 def composition(total: Column, decay: float, seed: int, *keys: Column | str) -> Column:

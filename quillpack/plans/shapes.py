@@ -42,8 +42,11 @@ BUCKET = f"(SELECT count(*) FROM range(1, {SIDE}) AS b(k) WHERE (1::DOUBLE / {SI
     SELECT p_partkey, coalesce(ids, md5('')) AS ids FROM part LEFT JOIN g USING (p_partkey)""")
 def interpolated_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grids of many sizes, finer and coarser than the table of positions, and of its very size."""
-    ids = A.interpolated_ids(F.col("p_partkey") % 37, F.col("p_size") % 29 + 1, SIDE)
-    return table(spark, sf_dir, "part").select("p_partkey", F.md5(F.array_join(ids.cast("array<string>"), ",")).alias("ids"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 37).alias("h"), (F.col("p_size") % 29 + 1).alias("w"))
+    # few sizes: a size's ids are worked out once and joined
+    ids = A.interpolated_ids(F.col("h"), F.col("w"), SIDE)
+    sizes = rows.select("h", "w").distinct().select(F.col("h").alias("h_"), F.col("w").alias("w_"), F.md5(F.array_join(ids.cast("array<string>"), ",")).alias("ids"))
+    return rows.join(sizes, F.col("h").eqNullSafe(F.col("h_")) & F.col("w").eqNullSafe(F.col("w_"))).select("p_partkey", "ids")
 
 
 @query("""WITH l AS (SELECT vec_id // 8 AS seq, vec_id % 8 AS pos, unnest(range(len(embedding))) AS k, unnest(embedding)::DOUBLE * 5 AS x FROM embeddings),

@@ -76,3 +76,8 @@ def test_endless_epochs():
     reader = object.__new__(epochs.EpochReader)
     reader.__dict__.update(places=places, schema=None)
     assert len(pickle.dumps(reader)) < 500
+
+
+def test_interpolated_positions(spark):
+    text = plan(QUERIES["interpolated_positions"](spark, SF))
+    assert "Aggregate" in text and "Join" in text
