@@ -11,7 +11,7 @@ import json
 import tarfile
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -126,6 +126,22 @@ class Range(InputPartition):
     end: int | None
     first: int | None
     error: str | None
+    #: Ranges of the shard that the same task reads behind this one.
+    more: tuple[Range, ...] = ()
+
+
+def dealt(ranges: list[list], size: int) -> Iterator[Range]:
+    """Ranges that follow each other in a shard, put together up to size bytes; longer ones, and those without an end, by themselves."""
+    own, total = [], 0
+    for r in (Range(*x) for x in ranges):
+        n = size + 1 if r.start is None or r.end is None else r.end - r.start
+        if own and (own[-1].shard != r.shard or total + n > size):
+            yield replace(own[0], more=tuple(own[1:]))
+            own, total = [], 0
+        own.append(r)
+        total += n
+    if own:
+        yield replace(own[0], more=tuple(own[1:]))
 
 
 class TarReader(DataSourceReader):
@@ -133,10 +149,18 @@ class TarReader(DataSourceReader):
         self.ranges = json.loads(options["ranges"])
         self.batch, self.largest = int(options.get("batch", BATCH)), int(options.get("largest", LARGEST))
 
+    def __getstate__(self) -> dict:
+        # every task is sent the reader, and needs its own ranges alone
+        return {k: v for k, v in self.__dict__.items() if k != "ranges"}
+
     def partitions(self) -> list[Range]:
-        return [Range(*x) for x in self.ranges]
+        return list(dealt(self.ranges, self.batch))
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        for own in (partition, *partition.more):
+            yield from self._read(own)
+
+    def _read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("shard", pa.string()), ("sample_idx", pa.int64()), ("key", pa.string()), ("members", pa.map_(pa.string(), pa.binary())), ("error", pa.string())])
 
         def made(rows: list[tuple]) -> pa.RecordBatch:

@@ -81,3 +81,13 @@ def test_endless_epochs():
 def test_interpolated_positions(spark):
     text = plan(QUERIES["interpolated_positions"](spark, SF))
     assert "Aggregate" in text and "Join" in text
+
+
+def test_tar_scan():
+    from quillpack.sources import shards
+
+    ranges = [[f"s{i % 2}", a, a + 100, a, None] for i in range(2) for a in range(0, 10_000, 100)] + [["s1", None, None, None, "damaged"], ["s2", 0, None, 0, None]]
+    found = list(shards.dealt(ranges, 1000))
+    assert len(found) == 22 and [[x.shard, x.start, x.end, x.first, x.error] for p in found for x in (p, *p.more)] == ranges
+    reader = shards.TarReader({"ranges": "[" + ",".join(["[\"s\", 0, 1, 0, null]"] * 1000) + "]"})
+    assert len(pickle.dumps(reader)) < 500
