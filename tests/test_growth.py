@@ -91,3 +91,9 @@ def test_tar_scan():
     assert len(found) == 22 and [[x.shard, x.start, x.end, x.first, x.error] for p in found for x in (p, *p.more)] == ranges
     reader = shards.TarReader({"ranges": "[" + ",".join(["[\"s\", 0, 1, 0, null]"] * 1000) + "]"})
     assert len(pickle.dumps(reader)) < 500
+
+
+def test_default_tokenizer(spark):
+    df = QUERIES["default_tokenizer"](spark, SF)
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(doc_id" in text
