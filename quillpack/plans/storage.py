@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators.packing import next_fit
 from ..sources.packs import collated, read_collated, write_collated
 from ..sources.readers import positioned, text_lines
-from ..sources.scratch import shared_path
+from ..sources.scratch import parts, shared_path
 from ..sources.shards import tar_samples, write_tar
 from ..streaming.epochs import endless
 from .registry import duck_words, query, table
@@ -46,7 +46,7 @@ def line_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as JSON lines in order of doc_id, and numbered by their lines."""
     path = shared_path(spark, "lines")
     docs = table(spark, sf_dir, "documents")
-    docs.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").select(F.to_json(F.struct("doc_id", "n_chars", "lang", "text")).alias("value")).write.text(path)
+    docs.repartitionByRange(parts(docs), "doc_id").sortWithinPartitions("doc_id").select(F.to_json(F.struct("doc_id", "n_chars", "lang", "text")).alias("value")).write.text(path)
     rows = text_lines(spark, path).select("line", F.from_json("value", "doc_id long, n_chars long, lang string").alias("v"))
     return rows.select("line", "v.doc_id", "v.n_chars", "v.lang")
 

@@ -73,7 +73,7 @@ def text_lines(spark: SparkSession, *paths: str) -> DataFrame:
     # one row a split of a file: as many as tasks
     before = F.coalesce(F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = splits.select(F.col("file"), F.col("block"), (before - F.col("first")).alias("shift"))
-    return lines.join(offsets, ["file", "block"]).select((F.col("id") + F.col("shift")).alias("line"), "value")
+    return lines.join(F.broadcast(offsets), ["file", "block"]).select((F.col("id") + F.col("shift")).alias("line"), "value")
 
 
 def json_lines(spark: SparkSession, path: str, schema: str, seed: int | None = None, most: int | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -23,6 +23,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def parts(df: DataFrame, each: int = 32 << 20, least: int = 4) -> int:
+    """How many parts of about `each` bytes df makes, as the optimizer estimates its size from its files."""
+    return max(least, -(-int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // each))
+
+
 def located(path: str):
     """(file system, path in it) of a path or URI, by pyarrow."""
     from pyarrow import fs

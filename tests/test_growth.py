@@ -97,3 +97,14 @@ def test_default_tokenizer(spark):
     df = QUERIES["default_tokenizer"](spark, SF)
     text = df._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(doc_id" in text
+
+
+def test_line_ordinals(spark):
+    from quillpack.sources.readers import text_lines
+    from quillpack.sources.scratch import parts
+
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    assert parts(df) == 4 and parts(df, 10_000) > 20
+    joined = text_lines(spark, str(Path(__file__).parent / "test_growth.py")).where(F.col("line") >= 0)
+    assert "SortMergeJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert "strategy=broadcast" in plan(joined)
