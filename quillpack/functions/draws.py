@@ -14,8 +14,13 @@ def _col(x: Column | str | int) -> Column:
 
 def draw(seed: int, purpose: str, *keys: Column | str | int) -> Column:
     """Uniform on [0, 1): the first 32 bits of an MD5 of seed, purpose and keys. Equal keys draw alike."""
+    return F.conv(draw_rank(seed, purpose, *keys), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
+def draw_rank(seed: int, purpose: str, *keys: Column | str | int) -> Column:
+    """Eight hex digits that sort as draw() does: enough where only the order of draws counts."""
     text = F.concat_ws("|", F.lit(str(seed)), F.lit(purpose), *(_col(k).cast("string") for k in keys))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return F.substring(F.md5(text), 1, 8)
 
 
 def draw_int(low: Column | int, high: Column | int, seed: int, purpose: str, *keys: Column | str | int) -> Column:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import once
+from .draws import draw, draw_rank
+
 
 def divisible(v: Column, stride: int) -> Column:
     """The nearest multiple of stride, at least one."""
@@ -63,18 +66,17 @@ def frames_rate(total: Column, native: Column, rate: float, most: int | None = N
 
 def frames_drawn(total: Column, n: int, seed: int, *keys: Column | str) -> Column:
     """A frame of each of n equal intervals, its last frame excluded; if an interval is that short, a sorted draw without return."""
-    from .draws import draw
-
-    take = F.least(F.lit(n).cast("long"), total.cast("long"))
-    ends = _bounds(total.cast("double"), take)
-    low = lambda i: F.get(ends, i - 1)
-    room = lambda i: F.get(ends, i) - 1 - low(i)
+    total = total.cast("long")
+    take = F.least(F.lit(n).cast("long"), total)
+    end = lambda i: F.floor(i * total.cast("double") / take).cast("long")
     order = F.sequence(F.lit(1), take.cast("int"))
-    drawn = F.transform(order, lambda i: (low(i) + F.floor(draw(seed, "frame", *keys, i) * room(i))).cast("long"))
-    mixed = F.transform(F.sequence(F.lit(0).cast("long"), total.cast("long") - 1), lambda i: F.struct(draw(seed, "shuffle", *keys, i).alias("u"), i.alias("i")))
+    # an interval's first frame, and how many there are in front of its last one
+    spans = F.transform(order, lambda i: F.struct(i.alias("i"), end(i - 1).alias("low"), (end(i) - 1 - end(i - 1)).alias("room")))
+    drawn = lambda s: F.transform(s, lambda x: (x["low"] + F.floor(draw(seed, "frame", *keys, x["i"]) * x["room"])).cast("long"))
+    mixed = F.transform(F.sequence(F.lit(0).cast("long"), total - 1), lambda i: F.struct(draw_rank(seed, "shuffle", *keys, i).alias("u"), i.alias("i")))
     fallback = F.array_sort(F.transform(F.slice(F.array_sort(mixed), F.lit(1), take.cast("int")), lambda s: s["i"]))
-    out = F.when(F.exists(order, lambda i: room(i) <= 0), fallback).otherwise(drawn)
-    return F.concat(out, F.array_repeat(F.element_at(out, -1), (F.lit(n) - take).cast("int")))
+    out = once(spans, lambda s: F.when(F.exists(s, lambda x: x["room"] <= 0), fallback).otherwise(drawn(s)))
+    return once(out, lambda f: F.concat(f, F.array_repeat(F.element_at(f, -1), (F.lit(n) - take).cast("int"))))
 
 
 def over_white(value: Column, alpha: Column) -> Column:

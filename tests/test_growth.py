@@ -108,3 +108,8 @@ def test_line_ordinals(spark):
     joined = text_lines(spark, str(Path(__file__).parent / "test_growth.py")).where(F.col("line") >= 0)
     assert "SortMergeJoin" not in joined._jdf.queryExecution().executedPlan().toString()
     assert "strategy=broadcast" in plan(joined)
+
+
+@pytest.mark.parametrize(("name", "draws"), [("frames_rand", 2)])
+def test_draws_are_not_repeated(spark, name, draws):
+    assert plan(QUERIES[name](spark, SF)).count("md5(") <= draws
