@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .draws import draw
+from .draws import draw, draw_rank
 
 
 def once(x: Column, f: Callable[[Column], Column]) -> Column:
@@ -126,10 +126,10 @@ def composition(total: Column, decay: float, seed: int, *keys: Column | str) ->
     else:
         n = F.least(total, 1 + F.floor(F.log(1.0 - u * (1.0 - F.pow(F.lit(decay), total))) / math.log(decay)))
     places = F.when(total > 1, F.sequence(F.lit(1).cast("long"), total - 1)).otherwise(F.array().cast("array<bigint>"))
-    drawn = F.slice(F.array_sort(F.transform(places, lambda i: F.struct(draw(seed, "composition/cut", *keys, i).alias("u"), i.alias("i")))), F.lit(1), n.cast("int") - 1)
+    drawn = F.slice(F.array_sort(F.transform(places, lambda i: F.struct(draw_rank(seed, "composition/cut", *keys, i).alias("u"), i.alias("i")))), F.lit(1), n.cast("int") - 1)
     ends = F.concat(F.array(F.lit(0).cast("long")), F.array_sort(F.transform(drawn, lambda x: x["i"])), F.array(total))
-    parts = F.zip_with(F.slice(ends, F.lit(2), n.cast("int")), F.slice(ends, F.lit(1), n.cast("int")), lambda b, a: b - a)
-    return F.struct(parts.alias("parts"), ends.alias("ends"))
+    parts = lambda e: F.zip_with(F.slice(e, F.lit(2), F.size(e) - 1), F.slice(e, F.lit(1), F.size(e) - 1), lambda b, a: b - a)
+    return once(ends, lambda e: F.struct(parts(e).alias("parts"), e.alias("ends")))
 
 
 def cropped(values: Column, channels: int, height: int, width: int, to_height: int, to_width: int) -> Column:

@@ -78,11 +78,6 @@ def test_endless_epochs():
     assert len(pickle.dumps(reader)) < 500
 
 
-def test_interpolated_positions(spark):
-    text = plan(QUERIES["interpolated_positions"](spark, SF))
-    assert "Aggregate" in text and "Join" in text
-
-
 def test_tar_scan():
     from quillpack.sources import shards
 
@@ -99,6 +94,16 @@ def test_default_tokenizer(spark):
     assert text.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(doc_id" in text
 
 
+def test_interpolated_positions(spark):
+    text = plan(QUERIES["interpolated_positions"](spark, SF))
+    assert "Aggregate" in text and "Join" in text
+
+
+@pytest.mark.parametrize(("name", "draws"), [("compositions", 4), ("frames_rand", 2)])
+def test_draws_are_not_repeated(spark, name, draws):
+    assert plan(QUERIES[name](spark, SF)).count("md5(") <= draws
+
+
 def test_line_ordinals(spark):
     from quillpack.sources.readers import text_lines
     from quillpack.sources.scratch import parts
@@ -108,8 +113,3 @@ def test_line_ordinals(spark):
     joined = text_lines(spark, str(Path(__file__).parent / "test_growth.py")).where(F.col("line") >= 0)
     assert "SortMergeJoin" not in joined._jdf.queryExecution().executedPlan().toString()
     assert "strategy=broadcast" in plan(joined)
-
-
-@pytest.mark.parametrize(("name", "draws"), [("frames_rand", 2)])
-def test_draws_are_not_repeated(spark, name, draws):
-    assert plan(QUERIES[name](spark, SF)).count("md5(") <= draws
