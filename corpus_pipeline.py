@@ -28,6 +28,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the least doc_id of each component of texts with a similarity of 0.8 or more (five-word shingles).
 
+    Candidates come from op4's byte-position SimHash index, those that it can't promise to find from MinHash; all are verified on whole shingle sets.
+
     Of a component's rows with that doc_id the first by text, then by the other columns, stays, and rows with one doc_id in different components all
     do; rows without a doc_id stay. Columns may have any names. Without documents there is no row.
     """

@@ -1,9 +1,12 @@
-"""Near copies by similarity: MinHash candidates, verified on whole shingle sets.
+"""Near copies by similarity: candidates of the byte-position SimHash index and of MinHash, verified on whole shingle sets.
 
 Two texts are near if the Jaccard similarity of their sets of five-word shingles (words lower-cased in ASCII and parted by ASCII
 white space, fewer words than five being one shingle) is 0.8 or more. Shingles are compared as 64-bit hashes. Texts with
 equal sets are one member, whatever their number.
 
+A set has a SimHash fingerprint, and the inverted index of op4 (simhash.py) gives the fingerprints within three bits; sets of one fingerprint, and the least
+ones of two that are linked, are candidates. Most pairs near 0.8 differ in more bits than the index promises to find, so MinHash gives the rest.
+
 A set has HASHES least hashes, in BANDS bands of ROWS; a pair at 0.8 shares no band with a probability of (1 - 0.8 ** 4) ** 32,
 5e-8. Only pairs whose signatures agree in AGREE of HASHES places (a pair at 0.8 fails that with a probability of about 1e-6) are verified. First,
 every member of a bucket is tried against the bucket's least one, then, where the bucket's members are still in more than one component, against
@@ -28,6 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import column, map_arrow, materialise, passing, slices
 from .components import components
+from .simhash import fingerprint_links, folded
 
 WORDS = 5
 BANDS, ROWS = 32, 4
@@ -41,7 +45,7 @@ SAMPLE = 512
 HELD, PASSING, SPLIT = 500, 20_000, 2_000
 _DRAWS = np.random.default_rng(42).integers(0, 1 << 63, (2, HASHES), dtype="u8")
 FLIPS, FACTORS = _DRAWS[0] << np.uint64(1), _DRAWS[1] << np.uint64(1) | np.uint64(1)
-SET, BAND, SIGN, ROW = "shingle_set", "shingle_bands", "shingle_sign", "shingle_row"
+SET, BAND, SIGN, ROW, PRINT = "shingle_set", "shingle_bands", "shingle_sign", "shingle_row", "shingle_print"
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
@@ -71,7 +75,7 @@ def near(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """docs with the hash of each text's set, its bands and a byte of each least hash; no shuffle."""
+    """docs with the hash of each text's set, its bands, a byte of each least hash, and its fingerprint; no shuffle."""
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -84,10 +88,11 @@ def signed(docs: DataFrame) -> DataFrame:
                     SET: np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], "u8").view("i8"),
                     BAND: [b"".join(xxhash.xxh64_digest(x.tobytes()) for x in s.reshape(BANDS, ROWS)) for s in signs],
                     SIGN: [s.astype("u1").tobytes() for s in signs],
+                    PRINT: np.array([folded(s.astype(">u8").view("u1").reshape(-1, 8)) for s in sets], "u8").view("i8"),
                 }
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_arrow(docs, run, f"{ddl}, {SET} long, {BAND} binary, {SIGN} binary")
+    return map_arrow(docs, run, f"{ddl}, {SET} long, {BAND} binary, {SIGN} binary, {PRINT} long")
 
 
 def _postings(members: DataFrame) -> DataFrame:
@@ -102,6 +107,15 @@ def _postings(members: DataFrame) -> DataFrame:
     return map_arrow(members.select("node", BAND), run, "slot int, key long, node long")
 
 
+def _indexed(members: DataFrame) -> DataFrame:
+    """Pairs a, b of the sets that the byte-position index finds: of one fingerprint, and the least ones of linked fingerprints."""
+    least = materialise(members.groupBy(PRINT).agg(F.min("node").alias("least")), "prints")
+    same = members.select("node", PRINT).join(least, PRINT).where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    sides = [least.select(F.col(PRINT).alias(x), F.col("least").alias(y)) for x, y in (("a", "x"), ("b", "y"))]
+    linked = fingerprint_links(least.select(F.col(PRINT).alias("fp"))).join(sides[0], "a").join(sides[1], "b")
+    return same.union(linked.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+
+
 def _likely(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """Pairs a, b whose signatures agree in AGREE places."""
 
@@ -322,12 +336,13 @@ def _settled(cells: DataFrame) -> DataFrame:
 
 def similar_links(rows: DataFrame) -> DataFrame:
     """Links a, b between the sets of signed rows, enough to join all that are near."""
-    members = materialise(rows.groupBy(SET).agg(F.first(BAND).alias(BAND), F.first(SIGN).alias(SIGN)).withColumnRenamed(SET, "node"), "members")
+    members = materialise(rows.groupBy(SET).agg(F.first(BAND).alias(BAND), F.first(SIGN).alias(SIGN), F.first(PRINT).alias(PRINT)).withColumnRenamed(SET, "node"), "members")
     postings = materialise(_postings(members), "postings")
     # most texts have no near copy: what follows is about the buckets of several members alone
     least = postings.groupBy("slot", "key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     shared = materialise(postings.join(least, ["slot", "key"]).select("slot", "key", "node", "a"), "shared")
-    tried = materialise(_likely(shared.where("node != a").select("a", F.col("node").alias("b")).distinct(), members), "pairs")
+    likely = _likely(shared.where("node != a").select("a", F.col("node").alias("b")).distinct(), members)
+    tried = materialise(_indexed(members).union(likely).distinct(), "pairs")
     links = _verified(tried, rows)
     own = members.select("node", SIGN)
     pairs = _pivots(materialise(_mixed(shared, components(links)), "apart"), own)
@@ -356,7 +371,7 @@ def similar(docs: DataFrame, root: str = "shingle_root", component: str = "compo
         named = materialise(own.join(own.groupBy("root").agg(F.min("least").alias("component")), "root").select(SET, "root", "component"), "named", keep=True)
     # many copies have one set: the hot side is split over tasks by a salt that the other side repeats
     salted = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    hot = rows.drop(BAND, SIGN, ROW).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    hot = rows.drop(BAND, SIGN, ROW, PRINT).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     return hot.join(salted, [SET, "salt"]).select(*kept, "root", "component").toDF(*docs.columns, root, component)
 
 

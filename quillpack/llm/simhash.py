@@ -43,7 +43,11 @@ def fingerprint(text: str, words: int = 3) -> int:
         return 0
     grams = [b" ".join(w)] if len(w) < words else map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False))
     h = xxhash.xxh64_digest
-    rows = np.frombuffer(b"".join([h(g, 42) for g in grams]), np.uint8).reshape(-1, 8)
+    return folded(np.frombuffer(b"".join([h(g, 42) for g in grams]), np.uint8).reshape(-1, 8))
+
+
+def folded(rows: np.ndarray) -> int:
+    """Bit b is set if it is in over half of some hashes, given as rows of eight bytes, the highest first; 0 for none."""
     ones = np.zeros(64, np.int64)
     for a in range(0, len(rows), 1 << 14):
         ones += np.unpackbits(rows[a : a + (1 << 14)], axis=1).sum(0, dtype=np.int64)

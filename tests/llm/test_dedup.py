@@ -393,3 +393,22 @@ def test_tables_within_passing_are_deleted(spark):
         gone = common.materialise(spark.range(5), "d").inputFiles()
         1 / 0  # noqa: B018
     assert not os.path.exists(gone[0].removeprefix("file://")) and not common._passing
+
+
+def test_near_dedup_takes_the_byte_index(spark, monkeypatch):
+    """What op4's index finds is joined, and verified, without any candidate of MinHash."""
+    from pyspark.sql import functions as F
+
+    from corpus_pipeline import near_dedup
+    from quillpack.llm.simhash import folded
+
+    fold = lambda t: folded(shingles.shingles(t).astype(">u8").view("u1").reshape(-1, 8))
+    words = [f"w{i * 7919 % 1000}" for i in range(300)]
+    first = " ".join(words)
+    copies = [" ".join([*words[:i], "other", *words[i + 1 :]]) for i in range(300)]
+    near = next(t for t in copies if 0 < (fold(t) ^ fold(first)).bit_count() <= 3)
+    far = " ".join(f"v{i}" for i in range(300))
+    docs = spark.createDataFrame([(1, first), (2, near), (3, far)], "doc_id long, text string")
+    monkeypatch.setattr(shingles, "_likely", lambda pairs, members: pairs.limit(0))
+    monkeypatch.setattr(shingles, "_postings", lambda members: members.select(F.lit(0).alias("slot"), F.lit(0).cast("long").alias("key"), "node").limit(0))
+    assert sorted(r["doc_id"] for r in near_dedup(spark, docs, "").collect()) == [1, 3]
