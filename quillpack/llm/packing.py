@@ -29,8 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, map_arrow, materialise, slices
-from .tokens import ENCODED, encoder
+from .common import column, map_arrow, materialise
+from .tokens import encoded
 
 WINDOW, GRAIN = 2048, 512
 #: Ids in a bundle, and in a blob, where a longer document is one by itself.
@@ -67,9 +67,8 @@ def bundles(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = BLOB)
             return out
 
         for batch in batches:
-            for a, texts in slices(batch, limit=ENCODED):
-                flat, counts = encoder(tokenizer).encode(texts, end_id)
-                own, origin, counts = (x.to_pylist() if isinstance(x, pa.Array) else x.tolist() for x in (column(batch, "doc_id").slice(a, len(texts)), column(batch, "source").slice(a, len(texts)), counts))
+            for a, rows, flat, counts in encoded(batch, tokenizer, end_id):
+                own, origin, counts = (x.to_pylist() if isinstance(x, pa.Array) else x.tolist() for x in (column(batch, "doc_id").slice(a, rows), column(batch, "source").slice(a, rows), counts))
                 begin = at = i = 0
                 for k, n in enumerate(counts):
                     if total and total + n > size:

@@ -18,8 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, map_arrow, scratch, slices
-from .tokens import ENCODED, encoder
+from .common import column, map_arrow, scratch
+from .tokens import encoded
 
 #: Ids in a block, ids in a segment (a longer document has a segment to itself).
 BLOCK, SEGMENT = 1 << 14, 1 << 20
@@ -86,9 +86,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, bits:
 
         for batch in batches:
             keys = column(batch, "doc_id")
-            for a, texts in slices(batch, limit=ENCODED):
-                flat, counts = encoder(tokenizer).encode(texts, end_id)
-                own, counts = keys.slice(a, len(texts)).to_pylist(), counts.tolist()
+            for a, rows, flat, counts in encoded(batch, tokenizer, end_id):
+                own, counts = keys.slice(a, rows).to_pylist(), counts.tolist()
                 begin = at = i = 0
                 for k, n in enumerate(counts):
                     if total and total + n > segment:

@@ -11,16 +11,21 @@ from __future__ import annotations
 
 import os
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import give_back, slices
+
 #: Words that a worker remembers: those met first, the frequent ones among them. Others are encoded anew in each slice.
 WORDS = 600_000
+#: Of those, what encoded() remembers: a slice takes memory for each of them, as for each of its own words.
+HELD = 200_000
 #: Characters of texts that are encoded at a time.
-ENCODED = 4 << 20
+ENCODED = 2 << 20
 #: Words in one text that the library is given, and texts in a call.
 JOINED, CALL = 64, 256
 #: White space to some libraries.
@@ -117,7 +122,15 @@ class PieceEncoder:
 @lru_cache(maxsize=2)
 def encoder(path: str) -> PieceEncoder:
     """One encoder per file and worker process."""
-    return PieceEncoder(path)
+    return PieceEncoder(path, HELD)
+
+
+def encoded(batch: pa.RecordBatch, path: str, end: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, rows, ids, how many of each text) of a batch's texts, slice by slice; what one took is given back before the next."""
+    for a, texts in slices(batch, limit=ENCODED):
+        flat, counts = encoder(path).encode(texts, end)
+        give_back()
+        yield a, len(texts), flat, counts
 
 
 def forget() -> None:

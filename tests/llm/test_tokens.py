@@ -2,7 +2,10 @@
 
 import collections
 import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -43,6 +46,37 @@ def test_pieces_equal_the_library():
         assert len(e.known) <= e.most and len(e.encode([])[0]) == 0
 
 
+def packed_memory():
+    """MB that a process of its own takes for blobs of 32 MB of texts, besides library and vocabulary."""
+    import resource
+    import types
+
+    import pyarrow as pa
+
+    from quillpack.llm import packing
+
+    packing.map_arrow, packing.materialise = lambda df, f, ddl: f, lambda f, name: f
+    packing.TaskContext = types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0))
+    run = packing.bundles(types.SimpleNamespace(select=lambda *c: None), BPE)
+    rnd = random.Random(5)
+    stock = ["".join(rnd.choices("abcdefghij", k=6)) for _ in range(700_000)]
+
+    def batch(n, words):
+        return pa.RecordBatch.from_pydict({"doc_id": list(range(n)), "source": ["a"] * n, "text": [" ".join(rnd.choices(stock, k=words)) for _ in range(n)]})
+
+    list(run([batch(1, 1)]))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    ids = sum(len(b["ids"][0]) // (4 if b["wide"][0] else 2) for b in run(batch(1100, 1000) for _ in range(4)))
+    assert ids > 4_000_000
+    print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
+
+
+def test_encoding_takes_bounded_memory():
+    # a process of its own, as a worker is
+    got = subprocess.run([sys.executable, "-c", "from tests.llm.test_tokens import packed_memory; packed_memory()"], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    assert float(got.stdout) < 130  # 191 with slices of 4 MB and 600 000 words remembered, 77 now
+
+
 def test_null_source_is_its_own(spark):
     df = spark.createDataFrame([(i, (None, "", "b")[i % 3], "one two " * 400) for i in range(30)], "doc_id long, source string, text string")
     got = collections.Counter()
